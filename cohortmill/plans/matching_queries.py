@@ -359,7 +359,7 @@ def _(spark, sf):
 
 
 @query("g9_review_item_backfill", V.oracle_with("match_results", f"""{_LEGACY},
-rep AS (SELECT match_result_id, bucket, 'historical_snapshot' AS category, state_reason AS reason_code, {0} AS ordinal FROM leg JOIN match_results m USING (match_result_id)
+rep AS (SELECT match_result_id, bucket, 'historical_snapshot' AS category, leg.state_reason AS reason_code, {0} AS ordinal FROM leg JOIN match_results m USING (match_result_id)
   WHERE m.has_report AND bucket <> 'hard_blockers'),
 hist AS (SELECT match_result_id, CASE WHEN state = 'blocked_unsupported' THEN 'unsupported' ELSE 'review_required' END AS bucket, 'historical_snapshot' AS category,
     coalesce(state_reason, 'legacy_state_unverifiable') AS reason_code, 0 AS ordinal FROM match_results m
