@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,46 +22,6 @@ def _mention(text: Column, label, start: Column, end: Column) -> Column:
         start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(None).cast("string").alias("expanded_text"))
 
 
-def _chars(col: Column) -> Column:
-    return F.split(col, "")
-
-
-def token_spans(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds _chars, _from and _to: characters and the word spans (0-based start, exclusive end)."""
-    masked = F.regexp_replace(F.col(text), r"[^\p{L}\p{N}]", " ")
-    d = df.withColumn("_chars", _chars(F.col(text))).withColumn("_mask", _chars(masked))
-    n = F.size("_mask")
-    places = F.when(F.length(F.col(text)) > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    word = lambda i: F.element_at("_mask", i) != " "
-    d = d.withColumn("_pos", places)
-    return d.withColumn(
-        "_from", F.filter("_pos", lambda i: word(i) & ((i == 1) | (F.get("_mask", i - 2) == " ")))
-    ).withColumn(
-        "_to", F.filter("_pos", lambda i: word(i) & ((i == F.size("_mask")) | (F.get("_mask", i) == " ")))
-    ).drop("_mask", "_pos")
-
-
-def _span_text(i: Column, j: Column) -> Column:
-    """Text from word i to word j (1-based)."""
-    start = F.element_at("_from", i)
-    return F.array_join(F.slice("_chars", start, F.element_at("_to", j) - start + 1), "")
-
-
-def candidate_spans(width: int, first_words: list[str]) -> Column:
-    """Spans of 1..width words that start with a word some phrase starts with, with their keys."""
-    # sequence(1, 0) would count down, so texts without words are guarded here
-    words = F.when(F.size("_from") > 0, F.sequence(F.lit(1), F.size("_from"))).otherwise(F.array().cast("array<int>"))
-    starts = F.filter(words, lambda i: F.lower(_span_text(i, i)).isin(first_words))
-
-    def spans(i: Column) -> Column:
-        last = F.least(i + width - 1, F.size("_from"))
-        return F.transform(F.sequence(i, last), lambda j: F.struct(
-            _span_text(i, j).alias("text"), (F.element_at("_from", i) - 1).alias("start"), F.element_at("_to", j).alias("end"),
-            (j - i + 1).alias("words")))
-
-    return F.flatten(F.transform(starts, spans))
-
-
 def longest_first(spans: Column) -> Column:
     """Non-overlapping spans, longer ones first and then earlier ones; returned in text order."""
     ranked = F.array_sort(F.transform(spans, lambda s: F.struct(
@@ -70,95 +32,92 @@ def longest_first(spans: Column) -> Column:
     return F.array_sort(F.transform(kept, lambda s: F.struct(s["start"], s["end"], s["text"], s["label"])))
 
 
-def tag(df: DataFrame, phrases: DataFrame, text: str = "text", inline: int = INLINE_PHRASES) -> DataFrame:
-    """Adds ``mentions`` from a phrase table (phrase, kind, label).
-
-    A dictionary within ``inline`` phrases becomes a constant and tagging stays inside the row. A
-    larger one is joined: candidate spans are exploded, matched on the phrase key and grouped back
-    by text. Both give the same mentions.
-    """
-    some = phrases.select("kind", "phrase", "label").limit(inline + 1).collect()
-    if len(some) <= inline:
-        return _tag_inline(df, some, text)
-    return _tag_joined(df, phrases, text)
-
+def _variants(raw: str, words: list[str]) -> tuple[tuple[str, str], ...]:
+    return ("exact", raw), ("lower", " ".join(raw.lower().split())), ("loose", " ".join(words))
 
-def _shape(rows) -> tuple[int, list[str]]:
-    import re
 
-    words = [re.findall(r"[^\W_]+", r["phrase"].lower()) for r in rows]
-    return max(len(w) for w in words), sorted({w[0] for w in words if w})
+def _phrase_parts(phrase: str, kind: str) -> tuple[list[str], tuple[str, str]]:
+    words = [w.lower() for w in _WORD.findall(phrase)]
+    return words, _variants(phrase, words)[_KINDS.index(kind)]
 
 
-def _label_of(text: Column, table: dict[str, str]) -> Column:
-    lookup = F.from_json(F.lit(json.dumps(table)), "map<string,string>")
-    out = F.lit(None).cast("string")
-    for prefix, key in zip(("e:", "l:", "o:"), span_keys(text)):
-        keys = [k for k in table if k.startswith(prefix)]
-        if keys:
-            out = F.when(key.isin(keys), F.element_at(lookup, key)).otherwise(out)
-    return out
+_WORD = re.compile(r"[^\W_]+")
+_KINDS = ["exact", "lower", "loose"]
 
 
-def span_keys(text: Column) -> list[Column]:
-    """Keys in rising precedence: exact, any-case, punctuation-free ("o:")."""
-    low = F.lower(F.regexp_replace(text, r"(?U)\s+", " "))
-    loose = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    return [F.concat(F.lit("e:"), text), F.concat(F.lit("l:"), low), F.concat(F.lit("o:"), loose)]
+def _spans(text: str, reach: dict[str, int] | None, widest: int):
+    """(raw, words, start, end) of the word runs that may be a phrase."""
+    found = [(m.group().lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
+    for i, (word, start, _) in enumerate(found):
+        limit = widest if reach is None else reach.get(word, 0)
+        for n in range(1, min(limit, len(found) - i) + 1):
+            end = found[i + n - 1][2]
+            yield text[start:end], [w for w, _, _ in found[i:i + n]], start, end
 
 
-def _table(rows) -> dict[str, str]:
-    import re
+def tag(df: DataFrame, phrases: DataFrame, text: str = "text", inline: int = INLINE_PHRASES) -> DataFrame:
+    """Adds ``mentions`` from a phrase table (phrase, kind, label): longest phrase first, then the
+    earlier one, no overlaps.
 
-    out: dict[str, str] = {}
+    A dictionary within ``inline`` phrases travels with the task and texts are tagged in Arrow
+    batches. A larger one is never shipped: the word runs of each text are joined to it and the
+    hits are grouped back by text. Both give the same mentions.
+    """
+    rows = phrases.select("phrase", "kind", "label").limit(inline + 1).collect()
+    if len(rows) > inline:
+        return _tag_joined(df, phrases, text)
+    table: dict[tuple[str, str], str] = {}
+    reach: dict[str, int] = {}
     for r in rows:
-        if r["kind"] == "exact":
-            key = "e:" + r["phrase"]
-        elif r["kind"] == "lower":
-            key = "l:" + r["phrase"].lower()
-        else:
-            key = "o:" + " ".join(re.findall(r"[^\W_]+", r["phrase"].lower()))
-        out.setdefault(key, r["label"])
-    return out
-
-
-def _tag_inline(df: DataFrame, rows, text: str) -> DataFrame:
-    width, first = _shape(rows)
-    table = _table(rows)
-    d = token_spans(df, text).withColumn("_spans", candidate_spans(width, first))
-    labelled = F.filter(
-        F.transform("_spans", lambda s: F.struct(s["text"].alias("text"), s["start"].alias("start"), s["end"].alias("end"),
-                                                 s["words"].alias("words"), _label_of(s["text"], table).alias("label"))),
-        lambda s: s["label"].isNotNull())
-    d = d.withColumn("_hits", labelled)
-    found = F.transform(longest_first(F.col("_hits")), lambda s: _mention(s["text"], s["label"], s["start"], s["end"]))
-    return d.withColumn("mentions", found).drop("_chars", "_from", "_to", "_spans", "_hits")
+        words, key = _phrase_parts(r["phrase"], r["kind"])
+        table.setdefault(key, r["label"])
+        reach[words[0]] = max(reach.get(words[0], 0), len(words))
+    kind = pa.list_(pa.struct([("text", pa.string()), ("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("expanded_text", pa.string())]))
+
+    @F.arrow_udf(f"array<{MENTION}>")
+    def mentions(column: pa.Array) -> pa.Array:
+        out = []
+        for value in column.to_pylist():
+            hits = []
+            for raw, words, start, end in _spans(value or "", reach, 0):
+                label = next((table[v] for v in _variants(raw, words) if v in table), None)
+                if label:
+                    hits.append((-len(words), start, end, raw, label))
+            kept = []
+            for h in sorted(hits):
+                if all(h[2] <= k[1] or h[1] >= k[2] for k in kept):
+                    kept.append(h)
+            out.append([dict(text=k[3], label=k[4], start=k[1], end=k[2], expanded_text=None) for k in sorted(kept, key=lambda k: k[1])])
+        return pa.array(out, type=kind)
+
+    return df.withColumn("mentions", mentions(F.col(text)))
 
 
 def _tag_joined(df: DataFrame, phrases: DataFrame, text: str) -> DataFrame:
-    words = F.filter(F.split(F.lower("phrase"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
-    width = phrases.select(F.max(F.size(words)).alias("w")).first()["w"]
-    cols = df.columns
-    rows = df.withColumn("_id", F.xxhash64(*[F.col(c).cast("string") if c != text else F.col(c) for c in cols if c != "mentions"]))
-    spans = token_spans(rows.select("_id", text).distinct(), text)
-    every = F.when(F.size("_from") > 0, F.sequence(F.lit(1), F.size("_from"))).otherwise(F.array().cast("array<int>"))
-    exploded = spans.select("_id", "_chars", "_from", "_to", F.explode(every).alias("i")).select(
-        "*", F.explode(F.sequence(F.col("i"), F.least(F.col("i") + width - 1, F.size("_from")))).alias("j")
-    ).select("_id", _span_text(F.col("i"), F.col("j")).alias("text"), (F.element_at("_from", F.col("i")) - 1).alias("start"),
-             F.element_at("_to", F.col("j")).alias("end"), (F.col("j") - F.col("i") + 1).alias("words"))
-    keyed = exploded.withColumn("key", F.explode(F.array(*span_keys(F.col("text")))))
-    loose = F.trim(F.regexp_replace(F.lower("phrase"), r"[^\p{L}\p{N}]+", " "))
-    table = phrases.select(
-        F.when(F.col("kind") == "exact", F.concat(F.lit("e:"), F.col("phrase")))
-        .when(F.col("kind") == "lower", F.concat(F.lit("l:"), F.lower("phrase"))).otherwise(F.concat(F.lit("o:"), loose)).alias("key"), "label"
-    ).groupBy("key").agg(F.min("label").alias("label"))
-    hits = keyed.join(table, "key").groupBy("_id", "start", "end").agg(
-        F.max_by(F.struct("text", "words", "label"), F.col("key")).alias("h"))
-    grouped = hits.groupBy("_id").agg(F.collect_list(F.struct(
+    split = F.filter(F.split(F.lower("phrase"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
+    widest = phrases.select(F.max(F.size(split)).alias("w")).first()["w"]
+    kind = pa.list_(pa.struct([("key", pa.string()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())]))
+
+    @F.arrow_udf("array<struct<key:string,text:string,start:int,end:int,words:int>>")
+    def runs(column: pa.Array) -> pa.Array:
+        return pa.array([[
+            dict(key=f"{k}:{v}", text=raw, start=start, end=end, words=len(words))
+            for raw, words, start, end in _spans(value or "", None, widest) for k, v in _variants(raw, words)
+        ] for value in column.to_pylist()], type=kind)
+
+    low = F.lower("phrase")
+    value = F.when(F.col("kind") == "exact", F.col("phrase")).when(F.col("kind") == "lower", F.regexp_replace(low, r"\s+", " ")).otherwise(
+        F.array_join(split, " "))
+    table = phrases.groupBy(F.concat_ws(":", "kind", value).alias("key")).agg(F.min("label").alias("label"))
+    texts = df.select(F.col(text).alias("_t")).distinct()
+    hits = texts.select("_t", F.explode(runs(F.col("_t"))).alias("r")).select("_t", "r.*").join(table, "key")
+    # exact before any-case before punctuation-free, as the key names sort
+    one = hits.groupBy("_t", "start", "end").agg(F.min(F.struct("key", "text", "words", "label")).alias("h"))
+    grouped = one.groupBy("_t").agg(F.collect_list(F.struct(
         F.col("h.text").alias("text"), "start", "end", F.col("h.words").alias("words"), F.col("h.label").alias("label"))).alias("_hits"))
     found = F.transform(longest_first(F.col("_hits")), lambda s: _mention(s["text"], s["label"], s["start"], s["end"]))
-    joined = rows.join(grouped, "_id", "left")
-    return joined.withColumn("mentions", F.coalesce(found, F.array().cast(f"array<{MENTION}>"))).drop("_id", "_hits")
+    joined = df.join(grouped, F.col(text) == F.col("_t"), "left")
+    return joined.withColumn("mentions", F.coalesce(found, F.array().cast(f"array<{MENTION}>"))).drop("_t", "_hits")
 
 
 def add_regex_mentions(mentions: Column, text: Column, pattern: str, label: str) -> Column:

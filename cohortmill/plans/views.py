@@ -150,7 +150,7 @@ VIEWS["coding_lookups"] = """
 _NEEDS = {
     "criteria": ["lines"], "facts": ["lines"], "match_results": ["lines"], "result_criteria": ["lines"],
     "decisions": ["lines", "criteria"], "narrative_lines": ["lines"], "narratives": ["lines", "narrative_lines"],
-    "items": ["lines", "narrative_lines"], "mentions": ["lines"], "studies": ["lines", "narrative_lines", "narratives"],
+    "items": ["lines", "narrative_lines"], "mentions": ["lines"],
 }
 
 
@@ -163,9 +163,10 @@ def needs(*names: str) -> list[str]:
     return out
 
 
-def ctes(*names: str) -> str:
+def ctes(*names: str, spark: bool = False) -> str:
     """"name AS (...)" list with dependencies first; prefix with WITH."""
-    return ",\n".join(f"{n} AS ({VIEWS[n]})" for n in needs(*names))
+    own = {"narratives": _SPARK_NARRATIVES} if spark else {}
+    return ",\n".join(f"{n} AS ({own.get(n, VIEWS[n])})" for n in needs(*names))
 
 
 def oracle(names: str, body: str) -> str:
@@ -183,7 +184,7 @@ def register(spark: SparkSession, sf_dir: str) -> None:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     register(spark, sf_dir)
-    return spark.sql(f"WITH {ctes(name)} SELECT * FROM {name}")
+    return spark.sql(f"WITH {ctes(name, spark=True)} SELECT * FROM {name}")
 
 
 _STORED: dict[tuple[str, str, str], str] = {}
@@ -217,3 +218,67 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     concept = F.array(F.struct(F.col("code_system").alias("system"), F.col("code"), none.alias("display"), none.alias("match_type")))
     return f.withColumn("coded_concepts", F.when(F.col("code").isNotNull(), concept))
+
+
+# Eligibility sentences with table values in them: one sentence per (order, line).
+VIEWS["narrative_lines"] = """
+  SELECT ok, ln, CASE (q * 7 + ln * 5 + ok) % 34
+    WHEN 0 THEN 'Age >= ' || CAST(q AS STRING) || ' years'
+    WHEN 1 THEN 'ANC >= ' || CAST(q AS STRING) || '.5 x 10⁹/L'
+    WHEN 2 THEN 'Hemoglobin ' || CAST(q AS STRING) || '-' || CAST(q + 20 AS STRING) || ' g/dL.'
+    WHEN 3 THEN 'Serum creatinine <= ' || CAST(q AS STRING) || '.0 ULN'
+    WHEN 4 THEN 'ECOG performance status 0 to ' || CAST(q % 4 AS STRING)
+    WHEN 5 THEN 'Patients must be at least ' || CAST(q AS STRING) || ' years old.'
+    WHEN 6 THEN 'Prior treatment with ' || drug || ' within ' || CAST(q AS STRING) || ' weeks'
+    WHEN 7 THEN 'No prior ' || drug || ' therapy, unless stopped more than ' || CAST(q AS STRING) || ' months ago'
+    WHEN 8 THEN 'Histologically confirmed ' || disease
+    WHEN 9 THEN '* Has active ' || disease || ' or hiv infection'
+    WHEN 10 THEN 'EGFR mutation positive or ALK rearrangement positive'
+    WHEN 11 THEN 'Female patients only'
+    WHEN 12 THEN 'Willing and able to provide informed consent'
+    WHEN 13 THEN 'Pregnant or breastfeeding women'
+    WHEN 14 THEN 'Has a pacemaker or metallic implant'
+    WHEN 15 THEN 'Claustrophobia precluding imaging'
+    WHEN 16 THEN 'Systemic corticosteroids are excluded except for physiologic replacement doses of prednisone.'
+    WHEN 17 THEN 'Concurrent use of strong CYP3A4 inhibitors (except for systemic itraconazole, ketoconazole, or voriconazole)'
+    WHEN 18 THEN 'Has received a live vaccine within ' || CAST(q AS STRING) || ' days before the first dose'
+    WHEN 19 THEN 'Stage III or IV unresectable ' || disease
+    WHEN 20 THEN 'Must have adequate renal function' || CASE WHEN q % 2 = 0 THEN ' as determined by the investigator' ELSE '' END
+    WHEN 21 THEN 'Known hypersensitivity to study drug'
+    WHEN 22 THEN 'Documented disease progression after receiving ' || drug || ' and at least ' || CAST(q AS STRING) || ' cycles (oral and iv) of cisplatin'
+    WHEN 23 THEN 'Have received at least ' || CAST(q AS STRING) || ' targeted therapies, including disease progression after receiving at least 1 ' || drug
+    WHEN 24 THEN 'Has a diagnosis of ' || disease || ' or is receiving systemic steroid therapy or corticosteroids within ' || CAST(q AS STRING) || ' days'
+    WHEN 25 THEN 'Advanced solid tumors of the following types: melanoma, sarcoma (bone, soft tissue), or lymphoma, who have failed ' || drug
+    WHEN 26 THEN 'Tumor tissue or plasma tested by IHC or next-generation sequencing'
+    WHEN 27 THEN 'Must not have ' || disease || ' since ' || CAST(q AS STRING) || ' weeks'
+    WHEN 28 THEN 'A ' || nm || ' of unclear relevance, number ' || CAST(q AS STRING)
+    WHEN 29 THEN 'Failed at least ' || CAST(q AS STRING) || ' prior line of systemic therapy'
+    WHEN 30 THEN 'Has received PD-1/PD-L1 inhibitor therapy or KRAS inhibitor'
+    WHEN 31 THEN 'Recovered from major surgery for no more than ' || CAST(q AS STRING) || ' days prior to ' || CAST(q + 1 AS STRING) || ' weeks'
+    WHEN 32 THEN 'Squamous ' || disease || ' not limited to non-small cell, absence of ' || nm
+    ELSE 'The main inclusion criteria include but are not limited to the following:' END AS text
+  FROM (SELECT *, CASE ok % 5 WHEN 0 THEN 'breast cancer' WHEN 1 THEN 'NSCLC' WHEN 2 THEN 'melanoma' WHEN 3 THEN 'brain metastases' ELSE 'inflammatory bowel disease' END AS disease,
+      CASE pk % 4 WHEN 0 THEN 'trastuzumab' WHEN 1 THEN 'paclitaxel' WHEN 2 THEN 'chemotherapy' ELSE 'pembrolizumab' END AS drug FROM lines) AS named"""
+_MARKED = """SELECT ok, CAST(ln AS INT) * 2 AS place, CASE ln % 5 WHEN 0 THEN CAST(ln AS STRING) || '. ' WHEN 1 THEN '- ' WHEN 2 THEN '   ' WHEN 3 THEN '' ELSE CAST(ln AS STRING) || ') ' END
+      || text AS line FROM narrative_lines
+    UNION ALL SELECT DISTINCT ok, 0, 'Inclusion Criteria:' FROM narrative_lines WHERE ok % 4 <> 0
+    UNION ALL SELECT DISTINCT ok, 7, '  exclusion criteria ' FROM narrative_lines WHERE ok % 4 = 1
+    UNION ALL SELECT DISTINCT ok, 9, CASE WHEN ok % 3 = 0 THEN '2.' ELSE '' END FROM narrative_lines"""
+VIEWS["narratives"] = f"SELECT ok AS doc_id, string_agg(line, chr(10) ORDER BY place, line) AS text FROM ({_MARKED}) AS marked GROUP BY ok"
+# The same view where ordered string aggregation is written differently.
+_SPARK_NARRATIVES = f"SELECT ok AS doc_id, listagg(line, chr(10)) WITHIN GROUP (ORDER BY place, line) AS text FROM ({_MARKED}) AS marked GROUP BY ok"
+VIEWS["items"] = "SELECT ok * 10 + ln AS item_id, text FROM narrative_lines"
+VIEWS["mentions"] = """
+  SELECT ok * 10 + ln AS mention_id, ok AS criterion_id, CAST(ln AS INT) AS mention_no,
+    CASE ln % 3 WHEN 0 THEN 'DISEASE' WHEN 1 THEN 'DRUG' ELSE 'OTHER' END AS label,
+    CASE ok % 7 WHEN 0 THEN upper(nm) || ' ' || p_type WHEN 1 THEN p_brand WHEN 2 THEN substr(nm, 1, length(nm) - 1) || ' ' || lower(p_type)
+      WHEN 3 THEN nm || ' (A1) ' || lower(p_type) WHEN 4 THEN 'non ' || nm || ' ' || lower(p_type)
+      WHEN 5 THEN nm || '/' || lower(p_type) ELSE 'unheard ' || CAST(q AS STRING) END AS text,
+    ok % 3 <> 1 AS fuzzy
+  FROM lines JOIN part ON p_partkey = pk"""
+VIEWS["catalogue"] = """
+  SELECT CASE p_type WHEN 'ECONOMY' THEN 'mesh' WHEN 'PROMO' THEN 'nci' WHEN 'STANDARD' THEN 'mesh' WHEN 'LARGE' THEN 'snomed' ELSE 'nci' END AS system,
+    CAST(p_partkey AS STRING) AS code, p_name || ' ' || lower(p_type) AS display, lower(p_brand) AS syn1,
+    p_name || '+' || CAST(p_size AS STRING) AS syn2, p_partkey AS place
+  FROM part"""
+CODE_SYSTEMS = {"DISEASE": ["nci", "mesh"], "DRUG": ["snomed", "nci"]}
