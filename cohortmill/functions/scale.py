@@ -82,6 +82,14 @@ def stage(df: DataFrame, *cluster: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def barrier(df: DataFrame) -> DataFrame:
+    """Same rows, but later filters are not copied down into the expressions that made the columns.
+
+    Long derived columns would otherwise be repeated inside every pushed-down predicate.
+    """
+    return df.select(F.explode(F.array(F.struct("*"))).alias("_row")).select("_row.*")
+
+
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Size check before a broadcast: counts at most ``rows`` + 1 rows."""
     return df.limit(rows + 1).count() <= rows

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortmill.functions import patterns as P
 from cohortmill.functions import text as T
+from cohortmill.functions.scale import barrier
 from cohortmill.operators import values as V
 
 STRINGS = "array<string>"
@@ -285,11 +286,11 @@ def add_path(df: DataFrame) -> DataFrame:
 
 def classify(df: DataFrame, group_key: list[str]) -> DataFrame:
     """Adds every classification column to rows with text and mentions."""
-    d = add_category(add_label_counts(add_signals(df)))
+    d = barrier(add_category(add_label_counts(add_signals(df))))
     text = F.col("text")
     d = d.withColumn("exception_text", V.exception_text(text)).withColumn("timeframe", V.timeframe(text)).withColumn(
         "negated", V.negation_start(text).isNotNull())
-    d = add_path(add_context(add_medication(d)))
+    d = barrier(add_path(add_context(add_medication(d))))
     full, sex = F.col("path") == "full", F.col("path") == "sex_only"
     d = d.withColumn("quantity", F.when(full, first_quantity(text, F.col("mentions"))))
     # "at least 18 years" in an age criterion is an age, not a timeframe
@@ -319,7 +320,7 @@ def classify(df: DataFrame, group_key: list[str]) -> DataFrame:
     group = F.sha1(F.concat_ws(":", *[F.col(c).cast("string") for c in group_key], F.lit("logic")))
     plain = ~sex
     assay = (F.size("specimen_types") > 0) | (F.size("testing_modalities") > 0)
-    return d.select(
+    return barrier(d.select(
         *df.columns, "path",
         F.when(sex, "other").otherwise(F.col("category")).alias("category"),
         F.when(plain, F.col("category")).alias("primary_semantic_category"),
@@ -338,4 +339,4 @@ def classify(df: DataFrame, group_key: list[str]) -> DataFrame:
         operator.alias("read_operator"), F.when(operator == "OR", group).alias("read_group"),
         F.round("confidence", 10).alias("confidence"), review.alias("needs_review"),
         F.when(review, "complex_criteria").alias("needs_review_reason"),
-    )
+    ))
