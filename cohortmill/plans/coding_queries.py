@@ -147,7 +147,7 @@ def _(spark, sf):
 
 @query("k9_negated_phrases", V.oracle_with(NV, _BASE, f"SELECT DISTINCT nv AS norm, unnest({_NEG('nv')}) AS phrase FROM q WHERE nv LIKE 'non %'"))
 def _(spark, sf):
-    n = mentions(spark, sf).select(T.normalize_lookup(F.explode("variants")).alias("norm")).distinct()
+    n = mentions(spark, sf).select(F.explode("variants").alias("v")).select(T.normalize_lookup(F.col("v")).alias("norm")).distinct()
     return n.where(F.col("norm").startswith("non ")).select("norm", F.explode(K.negated_phrases(F.col("norm"))).alias("phrase"))
 
 

@@ -273,7 +273,7 @@ VIEWS["mentions"] = """
     CASE ln % 3 WHEN 0 THEN 'DISEASE' WHEN 1 THEN 'DRUG' ELSE 'OTHER' END AS label,
     CASE ok % 7 WHEN 0 THEN upper(nm) || ' ' || p_type WHEN 1 THEN p_brand WHEN 2 THEN substr(nm, 1, length(nm) - 1) || ' ' || lower(p_type)
       WHEN 3 THEN nm || ' (A1) ' || lower(p_type) WHEN 4 THEN 'non ' || nm || ' ' || lower(p_type)
-      WHEN 5 THEN nm || '/' || lower(p_type) ELSE 'unheard ' || CAST(q AS STRING) END AS text,
+      WHEN 5 THEN nm || '/' || lower(p_type) ELSE CASE WHEN ok % 2 = 0 THEN nm || ' x' || substr(lower(p_type), 2, length(p_type) - 2) || 'x' ELSE 'unheard ' || CAST(q AS STRING) END END AS text,
     ok % 3 <> 1 AS fuzzy
   FROM lines JOIN part ON p_partkey = pk"""
 VIEWS["catalogue"] = """
