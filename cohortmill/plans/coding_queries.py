@@ -49,8 +49,9 @@ sys(label, system, sr) AS (VALUES {', '.join(f"('{lab}', '{s}', {i})" for lab, n
 q AS (SELECT var.*, system, sr, {NORM('v')} AS nv FROM var JOIN sys USING (label)),
 ctext AS (SELECT system, code, display, 0 AS k, display AS t FROM catalogue UNION ALL SELECT system, code, display, 1, syn1 FROM catalogue UNION ALL SELECT system, code, display, 2, syn2 FROM catalogue),
 ex AS (SELECT q.*, c.code, c.display, 1 AS tier, 0.0 AS score FROM q JOIN catalogue c ON c.system = q.system AND {CNORM('c.display')} = q.nv),
-syn AS (SELECT DISTINCT q.*, c.code, c.display, 2 AS tier, 0.0 AS score FROM q JOIN ctext c ON c.system = q.system AND c.k > 0 AND c.t IN (v, lower(v), nv, {STRIPPED('v')}, lower({STRIPPED('v')}),
-    {NORM(STRIPPED('v'))}, trim(regexp_replace(translate(v, '/_', '  '), '\\s+', ' ', 'g')), lower(trim(regexp_replace(translate(v, '/_', '  '), '\\s+', ' ', 'g')))))"""
+qf AS (SELECT DISTINCT q.*, unnest([v, lower(v), nv, {STRIPPED('v')}, lower({STRIPPED('v')}), {NORM(STRIPPED('v'))}, trim(regexp_replace(translate(v, '/_', '  '), '\\s+', ' ', 'g')),
+    lower(trim(regexp_replace(translate(v, '/_', '  '), '\\s+', ' ', 'g')))]) AS form FROM q),
+syn AS (SELECT DISTINCT qf.* EXCLUDE (form), c.code, c.display, 2 AS tier, 0.0 AS score FROM qf JOIN ctext c ON c.system = qf.system AND c.k > 0 AND c.t = qf.form)"""
 _ORD = "ORDER BY tier, variant_no, score, sr, lower(display), lower(code)"
 _ONE = lambda src: f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label, text, fuzzy {_ORD}) AS rn FROM {src}) WHERE rn = 1)"
 _FZ = f"""{_BASE},
