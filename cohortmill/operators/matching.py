@@ -621,7 +621,8 @@ def summaries(results: DataFrame, effective: DataFrame, trials: DataFrame) -> Da
         F.when(s == "blocked_unsupported", "blocked"),
         F.when(o.isin("unknown", "requires_review"), "open"),
     ))
-    place = F.struct(F.col("group_id").isNotNull().alias("g"), F.col("ord").alias("o"), F.col("criterion_id").alias("c"))
+    place = F.struct(F.col("group_id").isNotNull().alias("g"), F.col("ord").alias("o"), F.col("criterion_id").alias("c"),
+                     F.col("group_id").alias("k"))
     rows = effective.select("patient_id", "trial_id", "category", place.alias("_place"), F.explode(classes).alias("_class"))
     w = Window.partitionBy("patient_id", "trial_id", "_class").orderBy("_place")
     # row_number <= 2 is pushed below the shuffle as a group limit, so two rows per class travel.

@@ -211,7 +211,7 @@ def _(spark, sf):
 
 def _cats(cond):
     return f"""(SELECT patient_id, trial_id, string_agg(category, ', ' ORDER BY n) AS txt FROM (SELECT patient_id, trial_id, category,
-      row_number() OVER (PARTITION BY patient_id, trial_id ORDER BY group_id IS NOT NULL, ord, criterion_id) AS n FROM eff WHERE {cond}) WHERE n <= 2 GROUP BY 1, 2)"""
+      row_number() OVER (PARTITION BY patient_id, trial_id ORDER BY group_id IS NOT NULL, ord, criterion_id, group_id) AS n FROM eff WHERE {cond}) WHERE n <= 2 GROUP BY 1, 2)"""
 
 
 @query("m27_summary_text", osql(S.MATCH_VIEWS, S.RESULTS, f"""SELECT r.patient_id, r.trial_id,
