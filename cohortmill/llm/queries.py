@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortmill.llm import secret_scan, sharding, urls
+from cohortmill.functions.ship import ship
+from cohortmill.llm import decontaminate, secret_scan, sharding, urls
 from cohortmill.llm.rows import text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +29,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -85,6 +87,34 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf, "pages").select("page_id", "url"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")), URL_RULES, URL_LIMIT, URL_Z)
 
 
+OP5_SQL = r"""
+WITH w AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+v AS (
+  SELECT DISTINCT item_id, least(13, len(words)) AS n, array_to_string(words[i:i + least(13, len(words)) - 1], ' ') AS win
+  FROM (SELECT *, unnest(range(1, greatest(len(words) - 13, 0) + 2)) AS i FROM w WHERE len(words) > 0)),
+d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words FROM documents),
+pos AS (SELECT rid, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM v) WHERE len(words) >= n),
+hit AS (SELECT rid, i, v.n, item_id FROM (SELECT rid, i, n, array_to_string(words[i:i + n - 1], ' ') AS win FROM pos) a JOIN v USING (n, win)),
+covered AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hit) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY rid)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM d LEFT JOIN covered USING (rid) LEFT JOIN items USING (rid)"""
+
+
+@query("op5_fm_index", OP5_SQL)
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark hits of all documents."""
+    out = decontaminate.find_benchmark(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+    )
+
+
 @query("op7_two_pass_shuffle")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     """Shards of all documents by the ``key`` law, from the written shard files."""

@@ -44,7 +44,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray, ends_word: np.ndarray, lower: bool):
         self.data = data
-        inside = ~ends_word[data]
+        inside = ~ends_word[LOWER[data]] if lower else ~ends_word[data]
         before = np.empty_like(inside)
         if len(inside):
             before[0] = False
