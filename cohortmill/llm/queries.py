@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortmill.functions.ship import ship
-from cohortmill.llm import decontaminate, secret_scan, sharding, urls
+from cohortmill.llm import decontaminate, minhash, secret_scan, sharding, urls
 from cohortmill.llm.rows import text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,6 +115,13 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op6_signature_join")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicate groups of all documents: three words, 85 per cent."""
+    out = minhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"), shingle_words=3, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query("op7_two_pass_shuffle")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     """Shards of all documents by the ``key`` law, from the written shard files."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortmill.functions.scale import work_dir
 
-NO_ID = -(2**63)
+NO_ID = 2**63 - 1  # stands for a null id, after all others
 
 
 def text_of(col: str) -> Column:
