@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortmill.functions.ship import ship
-from cohortmill.llm import decontaminate, minhash, secret_scan, sharding, urls
+from cohortmill.llm import decontaminate, minhash, secret_scan, sharding, substrings, urls
 from cohortmill.llm.rows import text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,25 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf, "pages").select("page_id", "url"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")), URL_RULES, URL_LIMIT, URL_Z)
 
 
+OP2_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^ \t-\r]+'), []) AS words FROM documents),
+pos AS (SELECT rid, i, array_to_string(words[i:i + 34], ' ') AS win FROM (SELECT *, unnest(range(1, len(words) - 33)) AS i FROM d WHERE len(words) >= 35)),
+again AS (SELECT win FROM pos GROUP BY win HAVING count(*) > 1),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS p FROM pos JOIN again USING (win)),
+kept AS (
+  SELECT rid, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n
+  FROM (SELECT rid, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM d) ANTI JOIN gone USING (rid, p) GROUP BY rid)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)"""
+
+
+@query("op2_suffix_trees", OP2_SQL)
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents without the 35-word sequences that stand elsewhere, too."""
+    out = substrings.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 OP5_SQL = r"""
 WITH w AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
