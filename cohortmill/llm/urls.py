@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortmill.llm.rows import stored
+
 TWO_PART_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "or.jp", "com.br", "co.in", "co.za", "com.cn")
-LEVELS = ("suffix", "domain", "host")
 
 
 def lower_ascii(c: Column) -> Column:
@@ -36,24 +37,22 @@ def shrink(groups: DataFrame, parent_mean: Column) -> DataFrame:
     """Beta-binomial shrinkage of (n, bad) towards ``parent_mean``.
 
     The prior's strength k is fitted to the level by moments: rho is the share of variance between groups beyond the binomial
-    one and k = 1 / rho - 1, kept within 1 and 10,000. Adds ``mean`` and ``strength`` (k + n). No groups: no rows.
+    one and k = 1 / rho - 1, kept within 1 and 9,999. Adds ``mean`` and ``strength`` (k + n). The fit is one aggregated row, the
+    only thing that reaches the driver. No groups: no rows.
     """
     g = groups.withColumn("_p", parent_mean)
     pq = F.col("_p") * (1 - F.col("_p"))
     fit = g.agg(
         F.sum((F.col("bad") - F.col("n") * F.col("_p")) * (F.col("bad") - F.col("n") * F.col("_p")) - F.col("n") * pq).alias("over"),
         F.sum(F.col("n") * (F.col("n") - 1) * pq).alias("room"),
-    ).select(F.coalesce(F.when(F.col("room") > 0, F.greatest(F.lit(1e-4), F.least(F.lit(0.5), F.col("over") / F.col("room")))), F.lit(0.5)).alias("_rho"))
-    k = 1 / F.col("_rho") - 1
-    k = F.greatest(F.lit(1.0), F.least(F.lit(10000.0), k))
-    # one row, an ungrouped aggregate
-    return g.join(F.broadcast(fit)).withColumn("_k", k).withColumn(
-        "mean", (F.col("bad") + F.col("_k") * F.col("_p")) / (F.col("n") + F.col("_k"))
-    ).withColumn("strength", F.col("n") + F.col("_k")).drop("_p", "_rho", "_k")
+    ).first()
+    rho = max(1e-4, min(0.5, fit["over"] / fit["room"])) if fit["room"] and fit["room"] > 0 else 0.5
+    k = F.lit(1 / rho - 1)
+    return g.withColumn("mean", (F.col("bad") + k * F.col("_p")) / (F.col("n") + k)).withColumn("strength", F.col("n") + k).drop("_p")
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """Posterior bad rate per host from ``outcomes`` (host, bad 0 / 1; null outcomes do not count).
+def host_reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, float]:
+    """Posterior bad rates of hosts, domains, suffixes and overall from ``outcomes`` (host, bad 0 / 1; null outcomes do not count).
 
     The suffix shrinks towards the overall rate, the domain towards its suffix, the host towards its domain. Every step is a
     grouped count with map-side combine over the step before, so a host with a third of all rows costs one row per task.
@@ -62,10 +61,11 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
         outcomes.where(F.col("bad").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
         .withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
     )
+    host = stored(host, "hosts")  # counted once, fitted level by level
     domain = host.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffix = domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    overall = suffix.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("overall"))
-    suffix = shrink(suffix.join(F.broadcast(overall)), F.col("overall")).select("suffix", F.col("mean").alias("suffix_mean"), F.col("strength").alias("suffix_strength"))
+    overall = suffix.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("overall")).first()["overall"]
+    suffix = shrink(suffix, F.lit(overall)).select("suffix", F.col("mean").alias("suffix_mean"), F.col("strength").alias("suffix_strength"))
     domain = shrink(domain.join(suffix, "suffix"), F.col("suffix_mean")).select("domain", F.col("mean").alias("domain_mean"), F.col("strength").alias("domain_strength"))
     host = shrink(host.join(domain, "domain"), F.col("domain_mean"))
     return host.select("host", F.col("mean").alias("host_mean"), F.col("strength").alias("host_strength")), domain, suffix, overall
@@ -96,8 +96,8 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str
     hosts, domains, suffixes, overall = host_reputation(labelled.select("host", "bad"))
     seen = p.select("host").distinct().withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
     rated = (
-        seen.join(hosts, "host", "left").join(domains, "domain", "left").join(suffixes, "suffix", "left").join(F.broadcast(overall))
-        .select("host", F.coalesce("host_mean", "domain_mean", "suffix_mean", "overall").alias("m"),
+        seen.join(hosts, "host", "left").join(domains, "domain", "left").join(suffixes, "suffix", "left")
+        .select("host", F.coalesce("host_mean", "domain_mean", "suffix_mean", F.lit(overall)).alias("m"),
                 F.coalesce("host_strength", "domain_strength", "suffix_strength", F.lit(1.0)).alias("s"))
         .select("host", F.round("m", 6).alias("bad_rate"), F.round(F.col("m") - z * F.sqrt(F.col("m") * (1 - F.col("m")) / (F.col("s") + 1)), 6).alias("lower_bound"))
     )
