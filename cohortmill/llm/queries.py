@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortmill.functions.ship import ship
-from cohortmill.llm import decontaminate, minhash, secret_scan, sharding, substrings, urls
+from cohortmill.llm import decontaminate, minhash, mixing, quality, secret_scan, sharding, substrings, urls
 from cohortmill.llm.rows import text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,6 +106,55 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+MIX_BUDGET, MIX_SEED = 0.5, 23
+
+
+def _rake_sql() -> str:
+    """The raking rounds, one CTE per margin."""
+    out, last = [], "w0"
+    for i in range(1, mixing.ROUNDS + 1):
+        for dim in ("source", "lang", "topic"):
+            name = f"r{i}_{dim}"
+            out.append(f"""{name} AS MATERIALIZED (
+  SELECT source, lang, topic, n, CASE WHEN s > 0 THEN w * target / s ELSE w END AS w
+  FROM {last} JOIN (SELECT {dim}, sum(w) AS s FROM {last} GROUP BY {dim}) USING ({dim}) JOIN t_{dim} USING ({dim}))""")
+            last = name
+        out.append(f"w{i} AS MATERIALIZED (SELECT source, lang, topic, n, least(w, n / ({MIX_BUDGET} * (SELECT total FROM a))) AS w FROM {last})")
+        last = f"w{i}"
+    return ",\n".join(out)
+
+
+_COUNTS_SQL = " UNION ALL ".join(f"SELECT rid, len(regexp_extract_all(low, '{p}')) AS c, {-i} AS k, '{t}' AS t FROM d" for i, (t, p) in enumerate(sorted(mixing.TOPICS.items()), 1))
+_LANG_SQL = ", ".join(f"('{k}', {v})" for k, v in mixing.LANGUAGES.items())
+OP4_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) AS tokens,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, coalesce(text, '') AS text FROM documents),
+tc AS ({_COUNTS_SQL}),
+tp AS (SELECT rid, CASE WHEN max(c) > 0 THEN arg_max(t, c * 100 + k) ELSE 'other' END AS topic FROM tc GROUP BY rid),
+x AS MATERIALIZED (SELECT d.*, topic FROM d JOIN tp USING (rid)),
+c AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS n FROM x GROUP BY ALL),
+a AS MATERIALIZED (SELECT CAST(sum(n) AS DOUBLE) AS total FROM c),
+g_source AS (SELECT source, sqrt(sum(n)) AS raw FROM c GROUP BY source), t_source AS MATERIALIZED (SELECT source, raw / (SELECT sum(raw) FROM g_source) AS target FROM g_source),
+g_topic AS (SELECT topic, sqrt(sum(n)) AS raw FROM c GROUP BY topic), t_topic AS MATERIALIZED (SELECT topic, raw / (SELECT sum(raw) FROM g_topic) AS target FROM g_topic),
+l(lang, share) AS (VALUES {_LANG_SQL}),
+g_lang AS (SELECT lang, coalesce(share, (SELECT min(share) FROM l)) AS raw FROM (SELECT DISTINCT lang FROM c) LEFT JOIN l USING (lang)),
+t_lang AS MATERIALIZED (SELECT lang, CAST(raw AS DOUBLE) / (SELECT CAST(sum(raw) AS DOUBLE) FROM g_lang) AS target FROM g_lang),
+w0 AS MATERIALIZED (SELECT source, lang, topic, n, n / (SELECT total FROM a) AS w FROM c),
+{_rake_sql()},
+rates AS (SELECT source, lang, topic, round(CASE WHEN n > 0 THEN least(1.0, w * ({MIX_BUDGET} * (SELECT total FROM a)) / n) ELSE 0.0 END, 9) AS keep_rate FROM w{mixing.ROUNDS})
+SELECT doc_id, CAST(tokens AS BIGINT) AS tokens, topic, keep_rate,
+  CAST(('0x' || substr(md5('{MIX_SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(text)), 1, 8)) AS BIGINT) / 4294967296.0 < keep_rate AS selected
+FROM x JOIN rates USING (source, lang, topic)"""
+
+
+@query("op4_raked_mixture", OP4_SQL)
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    """Keep rate and choice of every document."""
+    out = mixing.mix_sources(table(spark, sf, "documents"), budget=MIX_BUDGET, seed=MIX_SEED)
+    return out.select("doc_id", "tokens", "topic", "keep_rate", "selected")
+
+
 OP5_SQL = r"""
 WITH w AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
@@ -184,3 +233,10 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"),
         F.sha2(secret_scan.spans_text(base), 256).alias("base_sha256"), secret_scan.spans_text(F.col("secrets")).alias("spans"),
     )
+
+
+@query("op10_site_quality")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    """Posterior quality of all documents."""
+    out = quality.judge_quality(table(spark, sf, "documents"), table(spark, sf, "labels").select("doc_id", "quality"))
+    return out.select("doc_id", F.round("quality_evidence", 6).alias("evidence"), F.round("quality", 6).alias("quality"), "accepted")
