@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortmill.functions.ship import ship
-from cohortmill.llm import decontaminate, minhash, mixing, quality, secret_scan, sharding, substrings, urls
+from cohortmill.llm import decontaminate, licences, minhash, mixing, quality, secret_scan, sharding, substrings, urls
 from cohortmill.llm.rows import text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,6 +106,18 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query("op3_licence_classifier")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    """Licence paragraphs of all documents."""
+    out = licences.scan_licences(table(spark, sf, "documents").select("doc_id", "text"))
+    sure = F.filter("licences", lambda x: x["confirmed"])
+    return out.select(
+        "doc_id", "n_paragraphs", F.size("licences").alias("n_predicted"), F.size(sure).alias("n_confirmed"),
+        F.array_join(F.sort_array(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("families"),
+        F.array_join(F.transform("licences", lambda x: F.concat_ws(":", x["paragraph"].cast("string"), x["family"])), ",").alias("predicted"),
+    )
+
+
 MIX_BUDGET, MIX_SEED = 0.5, 23
 
 
