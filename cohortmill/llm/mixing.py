@@ -8,19 +8,24 @@ from pyspark.sql import Window
 
 from cohortmill.llm.rows import stored, text_of
 
-#: Topics as patterns counted in the lower-cased text; the most frequent one holds, ties by name, none at all is "other".
-TOPICS = {"agents": "er[^a-z]|or[^a-z]|eur[^a-z]|dor[^a-z]", "deeds": "ing[^a-z]|ung[^a-z]|ment[^a-z]|ci.n[^a-z]", "things": "tion[^a-z]|heit[^a-z]|eau[^a-z]|dad[^a-z]"}
+#: Topics by word endings (with the space after them) counted in the lower-cased text; the most frequent one holds, ties by name, none
+#: at all is "other".
+TOPICS = {"agents": ["er ", "or ", "eur "], "deeds": ["ing ", "ung ", "ment "], "things": ["tion ", "heit ", "eau ", "dad "]}
 LANGUAGES = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
 ROUNDS = 12
 OWN = ("tokens", "topic", "keep_rate", "selected")
 
 
-def topic_of(text: Column, topics: dict[str, str] = TOPICS) -> Column:
-    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    best = F.array_max(F.array(F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"), F.lit("other").alias("t")), *[
-        F.struct(F.regexp_count(low, F.lit(p)).alias("n"), F.lit(-i).alias("k"), F.lit(t).alias("t")) for i, (t, p) in enumerate(sorted(topics.items()), 1)
-    ]))
-    return F.when(best["n"] > 0, best["t"]).otherwise("other")
+def topic_of(text: Column, topics: dict[str, list[str]] = TOPICS) -> Column:
+    low = F.lower(text)
+
+    def count(ending: str) -> Column:
+        return F.round((F.octet_length(low) - F.octet_length(F.replace(low, F.lit(ending), F.lit("")))) / len(ending.encode())).cast("int")
+
+    ranked = [
+        F.struct(sum((count(e) for e in endings), F.lit(0)).alias("n"), F.lit(-i).alias("k"), F.lit(t).alias("t")) for i, (t, endings) in enumerate(sorted(topics.items()), 1)
+    ]
+    return F.array_max(F.array(F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"), F.lit("other").alias("t")), *ranked)).getField("t")
 
 
 def draw(seed: int, doc_id: str, text: str) -> Column:
@@ -72,7 +77,7 @@ def rake(cells: DataFrame, margins: dict[str, DataFrame], budget: float, rounds:
 
 
 def mix_sources(docs: DataFrame, budget: float = 0.5, languages: dict[str, float] | None = None, source_power: float = 0.5, topic_power: float = 0.5,
-                topics: dict[str, str] | None = None, seed: int = 23, source: str = "source", lang: str = "lang", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+                topics: dict[str, list[str]] | None = None, seed: int = 23, source: str = "source", lang: str = "lang", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns of ``docs`` plus tokens (words), topic, keep_rate and selected: a sample whose tokens follow target marginals.
 
     Token counts per cell (source, language, topic) are raked to three margins: sources to tokens ** ``source_power``, topics to

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortmill.functions.ship import ship
-from cohortmill.llm import decontaminate, licences, minhash, mixing, quality, secret_scan, sharding, substrings, urls
+from cohortmill.llm import decontaminate, licences, minhash, mixing, neighbours, quality, secret_scan, sharding, substrings, urls
 from cohortmill.llm.rows import text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,12 +136,14 @@ def _rake_sql() -> str:
     return ",\n".join(out)
 
 
-_COUNTS_SQL = " UNION ALL ".join(f"SELECT rid, len(regexp_extract_all(low, '{p}')) AS c, {-i} AS k, '{t}' AS t FROM d" for i, (t, p) in enumerate(sorted(mixing.TOPICS.items()), 1))
+_COUNTS_SQL = " UNION ALL ".join(
+    "SELECT rid, " + " + ".join(f"(length(low) - length(replace(low, '{e}', ''))) // {len(e)}" for e in endings) + f" AS c, {-i} AS k, '{t}' AS t FROM d"
+    for i, (t, endings) in enumerate(sorted(mixing.TOPICS.items()), 1))
 _LANG_SQL = ", ".join(f"('{k}', {v})" for k, v in mixing.LANGUAGES.items())
 OP4_SQL = f"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) AS tokens,
-    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, coalesce(text, '') AS text FROM documents),
+    lower(coalesce(text, '')) AS low, coalesce(text, '') AS text FROM documents),
 tc AS ({_COUNTS_SQL}),
 tp AS (SELECT rid, CASE WHEN max(c) > 0 THEN arg_max(t, c * 100 + k) ELSE 'other' END AS topic FROM tc GROUP BY rid),
 x AS MATERIALIZED (SELECT d.*, topic FROM d JOIN tp USING (rid)),
@@ -252,3 +254,9 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     """Posterior quality of all documents."""
     out = quality.judge_quality(table(spark, sf, "documents"), table(spark, sf, "labels").select("doc_id", "quality"))
     return out.select("doc_id", F.round("quality_evidence", 6).alias("evidence"), F.round("quality", 6).alias("quality"), "accepted")
+
+
+@query("op8_nn_descent")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    """Links and groups of all embeddings."""
+    return neighbours.near_vectors(table(spark, sf, "embeddings").select("vec_id", "embedding"))[0]
