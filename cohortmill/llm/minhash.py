@@ -75,6 +75,16 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
             )
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """One row per distinct shingle of a text."""
+    for batch in batches:
+        for i, j, data, bounds in text_chunks(batch.column(1)):
+            w = Words(data, bounds, SPACES, lower=True)
+            sets = [shingles(w.hash[w.first[r]:w.first[r + 1]], k) for r in range(j - i)]
+            row = pa.array(np.repeat(np.arange(i, j), [len(s) for s in sets]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "shingle"])
+
+
 def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     last, last_set = None, None
     for batch in batches:
@@ -102,11 +112,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int, percent: int, doc_id: s
     shingle sets of at least ``percent`` per cent. ``row_hash`` is xxhash64 of the text.
 
     Equal sets are one class, so copies are never paired. Classes are posted under their signature coordinates, JOINED of them at a
-    time. Prefix: first the lists that a pair above the match threshold cannot all avoid are merged against their smallest members;
-    confirmed on full sets, this puts most members of a list into one component. Skip: lists whose members are all connected, and
-    pairs within one component, are passed over when the lists are merged fully; the collisions of the remaining pairs are counted
-    over all lists and pairs with enough of them confirmed. A pair within one component needs no link of its own, so components
-    are complete.
+    time. Prefix: first the lists that a pair above the match threshold cannot all avoid are merged against their most connected
+    members. Collisions of these pairs are counted over all coordinates; pairs with enough of them are confirmed on full sets, which puts most
+    members of a list into one component. Skip: lists whose members are all connected are passed over. Members of the other lists
+    meet exactly: two sets as similar as wanted share one of their rarest shingles (as many as may differ and one more), so only
+    these are posted, pairs within a component are skipped, and the rest are counted and confirmed alike. No list of near copies is
+    expanded into its pairs, and a pair within one component needs no link of its own, so components are complete.
 
     Words are split at space and \\t to \\r, A-Z lower-cased; fewer words than a shingle: the whole sequence is one.
     Null or wordless text: no shingles, linked with nothing. A null id sorts last and gives a null component only to itself;
@@ -122,28 +133,38 @@ def near_duplicates(docs: DataFrame, shingle_words: int, percent: int, doc_id: s
     posts = COORDINATES // JOINED
     enough = least_collisions(percent / 100)
     posted = classes.select("node", F.posexplode("keys").alias("place", "key"))
-    lists = posted.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = stored(posted.join(lists, "key").select("place", "key", "node", "leader"), "postings")
-    wanted = classes.join(met.select("node").distinct(), "node", "left_semi").select(F.col("node.r").alias("r1"), "r2", "node")
-    texts = stored(rows.join(wanted, ["r1", "r2"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
+    sizes = posted.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = stored(posted.join(sizes, "key"), "postings")
+    central = met.groupBy("node").agg(F.sum("size").alias("weight"))
+    lists = stored(met.join(central, "node").select("place", "key", "node", "weight"), "lists")
+    wanted = classes.join(central, "node", "left_semi").select(F.col("node.r").alias("r1"), "r2", "node", "keys")
+    texts = stored(rows.join(wanted, ["r1", "r2"]).groupBy("node").agg(F.first("text").alias("text"), F.first("keys").alias("keys")), "texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+        """Pairs with enough collisions whose full sets are similar enough."""
+        with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb"), F.col("keys").alias("kb")), "b")
+        both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta"), F.col("keys").alias("ka")), "a")
+        both = both.where(F.size(F.array_intersect("ka", "kb")) >= enough).select("a", "b", "ta", "tb")
         return both.mapInArrow(lambda it: _confirm(it, shingle_words, percent), f"a {NODE}, b {NODE}")
 
-    prefix = F.col("place") <= posts - enough  # a pair with enough collisions has one here
-    led = met.where(prefix & (F.col("node") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    # Prefix: a pair with enough collisions has one at these places. The most connected member of a list leads it.
+    leaders = lists.where(F.col("place") <= posts - enough).groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top"))
+    led = lists.join(leaders, "key").where(F.col("node") != F.col("top.node")).select(
+        F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b")).distinct()
     labels = components(confirmed(led))
-    named = met.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    # Skip: lists whose members are all connected are done with. The members of the others are compared over their rarest shingles.
+    named = lists.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("key")
-    open_ = stored(named.join(mixed, "key", "left_semi"), "open")
-    left = open_.select("key", F.col("node").alias("a"), F.col("label").alias("la"))
-    right = open_.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-    rest = (
-        left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= enough).select("a", "b")
-    )
+    open_ = stored(named.join(mixed, "key", "left_semi").groupBy("node").agg(F.first("label").alias("label")), "open")
+    listed = stored(texts.join(open_, "node", "left_semi").select("node", "text").mapInArrow(lambda it: _shingle_rows(it, shingle_words), f"node {NODE}, shingle long"), "shingles")
+    often = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
+    rare = listed.join(often, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("s"))
+    prefix = F.size("s") - F.ceil(F.lit(percent) * F.size("s") / F.lit(100)).cast("int") + 1
+    rare = rare.select("node", F.explode(F.filter(F.slice("s", 1, prefix), lambda x: x["often"] > 1)).alias("x")).join(open_, "node")
+    rare = stored(rare.select("x.shingle", "node", "label"), "rare")
+    left = rare.select("shingle", F.col("node").alias("a"), F.col("label").alias("la"))
+    right = rare.select("shingle", F.col("node").alias("b"), F.col("label").alias("lb"))
+    rest = left.join(right, "shingle").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b").distinct()
     more = confirmed(rest)
     of = labels.select(F.col("node"), F.col("label"))
     between = (
