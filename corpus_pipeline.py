@@ -1,2 +1,78 @@
-"""Corpus pipeline."""
-STAGES = []
+"""Corpus pipeline: quality, near-duplicates, benchmark contamination, source mixture, shards.
+
+Each stage takes (spark, docs, sf_dir), works on everything its predecessor kept and returns the columns of its input; the last
+one returns the shards with their order.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from cohortmill.functions.ship import ship
+from cohortmill.llm import decontaminate, minhash, mixing, quality, sharding
+from cohortmill.llm.rows import NO_ID, new_path, text_of
+
+WORDS, PERCENT = 5, 80
+BUDGET, SEED = 0.5, 23
+SHARDS = 8
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the quality classifier rejects."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality.judge_quality(docs, labels).where("accepted").select(docs.columns)
+
+
+def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the smallest id; of repeated rows one. Documents without words all stay."""
+    ship(spark)
+    groups = minhash.near_duplicates(docs.select("doc_id", "text"), WORDS, PERCENT)
+    out = groups.where("not first").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("row_hash").alias("_hash")).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(row.alias("r"), F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64(text_of("text")).alias("_hash"))
+    left = keyed.join(out, ["_id", "_hash"], "left_anti")
+    repeated = groups.where("first and n_shingles > 0").groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("row_hash").alias("_hash")).count().where("count > 1")
+    one = left.join(repeated, ["_id", "_hash"], "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("r"))).where("_n = 1").select("r")
+    return left.join(repeated, ["_id", "_hash"], "left_anti").select("r").unionByName(one).select("r.*")
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents of which benchmark windows cover at least one word in 20."""
+    ship(spark)
+    found = decontaminate.find_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(~decontaminate.contaminated()).select(docs.columns)
+
+
+def sample_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose tokens follow the target weights."""
+    return mixing.mix_sources(docs, budget=BUDGET, seed=SEED).where("selected").select(docs.columns)
+
+
+def write_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shuffled shards, as written: columns of documents plus shard and slot."""
+    out = sharding.shuffle_shards(docs, shards=SHARDS)
+    return out.select(*docs.columns, F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", keep_first),
+    ("decontamination", keep_clean),
+    ("mixture", sample_mixture),
+    ("shards", write_shards),
+]
+
+#: The classifier, the sketches and the shuffle have no SQL form; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = new_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
