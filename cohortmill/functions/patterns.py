@@ -52,11 +52,13 @@ COMPARISON = r"([≥≤><]=?)\s*([\d.]+)\s*(.*)"
 UPWARD_WORDS = ["at least", "greater than", "more than"]
 
 # Timeframes, negation, logic
-_UNIT = r"\s+([\d.]+)\s+(days?|weeks?|months?|years?)"
 TIMEFRAMES = [
-    (r"within" + _UNIT, "within"), (r"at\s+least" + _UNIT, "at_least"), (r"no\s+more\s+than" + _UNIT, "no_more"),
-    (r"(?:>|more than)\s*([\d.]+)\s+(days?|weeks?|months?|years?)", "at_least"), (r"prior\s+to" + _UNIT, "prior_to"),
-    (r"since" + _UNIT, "since"),
+    (r"within\s+([\d.]+)\s+(days?|weeks?|months?|years?)", "within"),
+    (r"at\s+least\s+([\d.]+)\s+(days?|weeks?|months?|years?)", "at_least"),
+    (r"no\s+more\s+than\s+([\d.]+)\s+(days?|weeks?|months?|years?)", "no_more"),
+    (r"(?:>|more than)\s*([\d.]+)\s+(days?|weeks?|months?|years?)", "at_least"),
+    (r"prior\s+to\s+([\d.]+)\s+(days?|weeks?|months?|years?)", "prior_to"),
+    (r"since\s+([\d.]+)\s+(days?|weeks?|months?|years?)", "since"),
 ]
 NEGATION = r"\b(?:no|not|without|never|absence of|must not|should not|cannot|have not|did not)\b"
 EXCEPTION = r"\b(?:unless|except|provided that|other than)\b"
@@ -128,12 +130,6 @@ IMMUNOSUPPRESSIVE = (
 )
 
 # Patient flags, in the order they are tried: (value, pattern)
-_DO = r"(?:comply|adhere|follow)\b.{0,70}\b(?:protocol|study procedures?|scheduled visits?|treatment plan|laboratory tests?)\b"
-_ATTEND = (
-    r"(?:participate|complete|undergo|attend)\b.{0,80}\b(?:study evaluations?|evaluations?|study procedures?|procedures?|visits?)\b"
-)
-_ABLE = r"\b(?:willing and able|able|ability|willing(?:ness)?)\b"
-_UNABLE = r"\b(?:unable|cannot|can't|inability|unwilling(?:ness)?)\b"
 ADMINISTRATIVE = [
     ("can_consent:false",
      r"\b(?:unable|cannot|can't|inability)\b.{0,40}\b(?:consent|provide informed consent|sign informed consent)\b"
@@ -141,10 +137,14 @@ ADMINISTRATIVE = [
     ("can_consent:true",
      r"\b(?:provide|provided|give|given|sign|signed|understand|understood)\b.{0,40}\binformed consent\b"
      r"|\bable to consent\b|\bwilling and able\b.{0,50}\binformed consent\b"),
-    ("protocol_compliant:false", _UNABLE + r".{0,70}\b" + _DO),
-    ("protocol_compliant:true", _ABLE + r".{0,70}\b" + _DO),
-    ("protocol_compliant:false", _UNABLE + r".{0,80}\b" + _ATTEND),
-    ("protocol_compliant:true", _ABLE + r".{0,80}\b" + _ATTEND),
+    ("protocol_compliant:false",
+     r"\b(?:unable|cannot|can't|inability|unwilling(?:ness)?)\b.{0,70}\b(?:comply|adhere|follow)\b.{0,70}\b(?:protocol|study procedures?|scheduled visits?|treatment plan|laboratory tests?)\b"),
+    ("protocol_compliant:true",
+     r"\b(?:willing and able|able|ability|willing(?:ness)?)\b.{0,70}\b(?:comply|adhere|follow)\b.{0,70}\b(?:protocol|study procedures?|scheduled visits?|treatment plan|laboratory tests?)\b"),
+    ("protocol_compliant:false",
+     r"\b(?:unable|cannot|can't|inability|unwilling(?:ness)?)\b.{0,80}\b(?:participate|complete|undergo|attend)\b.{0,80}\b(?:study evaluations?|evaluations?|study procedures?|procedures?|visits?)\b"),
+    ("protocol_compliant:true",
+     r"\b(?:willing and able|able|ability|willing(?:ness)?)\b.{0,80}\b(?:participate|complete|undergo|attend)\b.{0,80}\b(?:study evaluations?|evaluations?|study procedures?|procedures?|visits?)\b"),
 ]
 BEHAVIORAL = [
     ("claustrophobic:true", r"\bclaustrophobi(?:a|c)\b"),

@@ -35,9 +35,10 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> dict[s
     most HOT_KEYS values per column come back."""
     found: dict[str, list] = {}
     pairs = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("v")) for k in keys])).alias("p"))
+    first = Window.partitionBy("key").orderBy(F.desc("count"), "v")
     top = (
         pairs.groupBy("p.key", "p.v").count().where(F.col("count") > hot_rows)
-        .orderBy(F.desc("count")).limit(HOT_KEYS * len(keys))
+        .withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= HOT_KEYS)
     )
     for row in top.collect():
         found.setdefault(row["key"], []).append(row["v"])

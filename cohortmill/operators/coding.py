@@ -29,9 +29,11 @@ CODABLE = {
     "performance_status": "PERF_SCALE", "procedural_requirement": "PROCEDURE",
 }
 # Words that carry no information for fuzzy matching.
-STOPWORDS = """and or of the to in for with without history current active prior therapy treatment disease disorder
-syndrome cancer carcinoma neoplasm neoplasms tumor tumors malignancy malignant study intervention protocol
-participants patient""".split()
+STOPWORDS = [
+    "and", "or", "of", "the", "to", "in", "for", "with", "without", "history", "current", "active", "prior",
+    "therapy", "treatment", "disease", "disorder", "syndrome", "cancer", "carcinoma", "neoplasm", "neoplasms",
+    "tumor", "tumors", "malignancy", "malignant", "study", "intervention", "protocol", "participants", "patient",
+]
 # Generic terms.
 GENERIC_TREATMENTS = [
     "chemotherapy", "platinum based chemotherapy", "systemic therapy", "targeted therapy", "immunotherapy",
@@ -161,7 +163,7 @@ def negated_phrases(norm: Column) -> Column:
         groups = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.when(
             (i + 1 + n <= F.size(words)) & F.exists(F.slice(words, i + 2, n), lambda x: ~x.isin(STOPWORDS)),
             F.array_join(F.slice(words, i + 2, n), " ")))
-        base = F.substring(w, 4, 1000)
+        base = F.substr(w, F.lit(4))
         return F.when(w == "non", F.array_compact(groups)).when(
             w.startswith("non") & (F.length(w) > 4) & ~base.isin(STOPWORDS), F.array(base)).otherwise(F.array().cast(STRINGS))
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from cohortmill.functions import text as T
 
 STRINGS = "array<string>"
+IDENTIFIER = "urn:eligibility:criterion"  # system of exported criterion ids
+
 # Registry status to study status; anything else is active.
 STATUS = {
     "RECRUITING": "active", "ACTIVE_NOT_RECRUITING": "active", "NOT_YET_RECRUITING": "approved", "COMPLETED": "completed",
@@ -19,6 +21,7 @@ PHASES = {
     "PHASE1": ("phase-1", "Phase 1"), "PHASE2": ("phase-2", "Phase 2"), "PHASE3": ("phase-3", "Phase 3"),
     "PHASE4": ("phase-4", "Phase 4"), "EARLY_PHASE1": ("early-phase-1", "Early Phase 1"),
 }
+# Code systems, extension address and categories that stay internal.
 PHASE_SYSTEM = "http://terminology.hl7.org/CodeSystem/research-study-phase"
 ELIGIBILITY_URL = "http://hl7.org/fhir/StructureDefinition/researchStudy-eligibility"
 INTERNAL_CATEGORIES = ["administrative_requirement", "behavioral_constraint", "reproductive_status", "device_constraint",
@@ -35,6 +38,7 @@ RECOGNIZED_CLASSES = [
 ]
 CLASS_HINTS = ["therapy", "vaccine", "corticosteroid", "steroid", "chemotherapy", "inhibitor", "inducer", "immunosuppressive",
                "targeted", "targeting", "antibody", "agent"]
+# Wrapper and combination wording, systems of medication classes.
 WRAPPER = r"\bcontaining\s+(?:treatments?|therap(?:y|ies)|regimens?)\b"
 COMBINATION = r"\s*(?:\+|\bplus\b)\s*"
 CLASS_SYSTEMS = ["nci_thesaurus", "medrt", "snomed_ct"]
@@ -186,19 +190,23 @@ def _phrase_windows(text: Column, longest: int) -> Column:
         F.sequence(F.lit(1), F.least(F.lit(longest), F.size(words) - i + 1)), lambda n: F.array_join(F.slice(words, i, n), " ")))))
 
 
-def named_drugs(rows: DataFrame, key: list[str], text: str, index: DataFrame, longest: int = 6) -> DataFrame:
+def named_drugs(rows: DataFrame, key: list[str], text: str, index: DataFrame) -> DataFrame:
     """Drugs named as whole phrases in ``text``: (key, place_no, display), longest phrase first.
 
-    Word windows are joined to the drug terms, so the work follows the words, not text x drugs.
-    ``longest`` is the longest drug term in words.
+    Word windows up to the longest drug term are joined to the drug terms, so the work follows the
+    words, not text x drugs.
     """
     terms = index.where(F.col("system") == "rxnorm").select("term", "display")
+    longest = terms.select(F.max(F.size(F.split("term", " "))).alias("n")).first()["n"] or 1
     w = rows.select(*key, F.explode(_phrase_windows(F.col(text), longest)).alias("term"))
     hits = w.join(terms, "term").groupBy(*key, T.normalize_term(F.col("display")).alias("drug")).agg(
         F.max(F.struct(F.length("term").alias("n"), F.col("display"))).alias("b"))
     return hits.select(*key, F.col("b.display").alias("display"), F.col("b.n").alias("n"))
 
 
+PARTS = 2**31  # a position in an array is below it, so raw and part number never collide
+
+
 def medication_mentions(criteria: DataFrame, index: DataFrame, key: str = "criterion_id") -> DataFrame:
     """Medication mentions of therapy criteria, one row each, unique by normalised term and in order.
 
@@ -226,7 +234,7 @@ def medication_mentions(criteria: DataFrame, index: DataFrame, key: str = "crite
         "normalized_term", T.normalize_term(F.col("mention_text")))
     first = exploded.where(F.length("normalized_term") > 0).groupBy(key, "normalized_term").agg(
         F.min(F.struct("raw_no", "part_no", "mention_text")).alias("b"))
-    return first.select(key, "normalized_term", F.col("b.mention_text").alias("mention_text"), (F.col("b.raw_no") * 1000 + F.col("b.part_no")).alias("mention_no"))
+    return first.select(key, "normalized_term", F.col("b.mention_text").alias("mention_text"), (F.col("b.raw_no").cast("long") * PARTS + F.col("b.part_no")).alias("mention_no"))
 
 
 def _recognized(term: Column) -> Column:
@@ -303,5 +311,5 @@ def medication_statements(projections: DataFrame, criteria: DataFrame, key: str
         ref(F.when(trial.isNotNull(), F.concat(F.lit("Group/trial-"), trial)).otherwise("Group/eligibility-cohort")).alias("subject"),
         F.array(ref(F.when(trial.isNotNull(), F.concat(F.lit("ResearchStudy/"), trial)).otherwise("ResearchStudy"))).alias("derivedFrom"),
         notes.alias("note"),
-        F.array(F.struct(F.lit("urn:ctm:criterion").alias("system"), F.col(key).cast("string").alias("value"))).alias("identifier"))
+        F.array(F.struct(F.lit(IDENTIFIER).alias("system"), F.col(key).cast("string").alias("value"))).alias("identifier"))
     return projections.where(F.col("resource_type").isNotNull()).join(c, key).select(key, "mention_no", "system", "code", F.to_json(doc).alias("resource"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 # Criterion fields a reviewer may correct (fixed list).
 EDITABLE = [
@@ -24,14 +25,19 @@ def correction_snapshot(columns: list[str]):
 def apply_decisions(criteria: DataFrame, latest: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(criteria after review, decisions refused).
 
-    Only pending criteria of the latest run can be decided. A correction overwrites the fields
+    Only pending criteria of the latest run can be decided. Of several decisions for a criterion the first to arrive (column
+    ``decided_at``, where there is one; ties by content) holds and the others are refused. A correction overwrites the fields
     named in ``corrected_fields``; their new values come from columns new_<field>.
     """
     cols = criteria.columns
-    d = decisions.select(
-        "criterion_id", "action", "reviewed_by", "review_notes", "corrected_fields",
+    used = [
+        "action", "reviewed_by", "review_notes", "corrected_fields",
         *[c for c in decisions.columns if c.startswith("new_")],
-    )
+    ]
+    arrived = ["decided_at"] if "decided_at" in decisions.columns else []
+    whole = F.struct(*[F.col(c) for c in [*arrived, *used]])
+    ranked = decisions.select("criterion_id", *used, F.row_number().over(Window.partitionBy("criterion_id").orderBy(whole)).alias("_nth"))
+    d, late = ranked.where("_nth = 1").drop("_nth"), ranked.where("_nth > 1")
     joined = (
         criteria.join(latest.select("trial_id", F.col("run_id").alias("_latest")), "trial_id", "left")
         .join(d, "criterion_id", "left")
@@ -64,7 +70,9 @@ def apply_decisions(criteria: DataFrame, latest: DataFrame, decisions: DataFrame
     missing = d.join(criteria.select("criterion_id"), "criterion_id", "left_anti").select(
         "criterion_id", "action", F.lit("not_found").alias("conflict"))
     refused = joined.where(F.col("_conflict").isNotNull()).select("criterion_id", "action", F.col("_conflict").alias("conflict"))
-    return reviewed, refused.unionByName(missing)
+    known = late.join(criteria.select("criterion_id"), "criterion_id", "left_semi").select(
+        "criterion_id", "action", F.lit("already_resolved").alias("conflict"))
+    return reviewed, refused.unionByName(missing).unionByName(known)
 
 
 def criterion_queue(criteria: DataFrame, latest: DataFrame, reason: str | None = None, trial_id=None) -> DataFrame:

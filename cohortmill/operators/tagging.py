@@ -61,7 +61,9 @@ def tag(df: DataFrame, phrases: DataFrame, text: str = "text", inline: int = INL
 
     A dictionary within ``inline`` phrases travels with the task and texts are tagged in Arrow
     batches. A larger one is never shipped: the word runs of each text are joined to it and the
-    hits are grouped back by text. Both give the same mentions.
+    hits are grouped back by text. Both give the same mentions: an exact phrase goes before one in any
+    case, that before one without punctuation; of several labels the least in order holds; a phrase
+    without a word is never found.
     """
     rows = phrases.select("phrase", "kind", "label").limit(inline + 1).collect()
     if len(rows) > inline:
@@ -70,7 +72,9 @@ def tag(df: DataFrame, phrases: DataFrame, text: str = "text", inline: int = INL
     reach: dict[str, int] = {}
     for r in rows:
         words, key = _phrase_parts(r["phrase"], r["kind"])
-        table.setdefault(key, r["label"])
+        if not words:
+            continue
+        table[key] = min(table.get(key, r["label"]), r["label"])
         reach[words[0]] = max(reach.get(words[0], 0), len(words))
     kind = pa.list_(pa.struct([("text", pa.string()), ("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("expanded_text", pa.string())]))
 
@@ -95,23 +99,24 @@ def tag(df: DataFrame, phrases: DataFrame, text: str = "text", inline: int = INL
 
 def _tag_joined(df: DataFrame, phrases: DataFrame, text: str) -> DataFrame:
     split = F.filter(F.split(F.lower("phrase"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
-    widest = phrases.select(F.max(F.size(split)).alias("w")).first()["w"]
+    widest = phrases.select(F.max(F.size(split)).alias("w")).first()["w"] or 0
     kind = pa.list_(pa.struct([("key", pa.string()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())]))
 
     @F.arrow_udf("array<struct<key:string,text:string,start:int,end:int,words:int>>")
     def runs(column: pa.Array) -> pa.Array:
         return pa.array([[
-            dict(key=f"{k}:{v}", text=raw, start=start, end=end, words=len(words))
+            dict(key=f"{_KINDS.index(k)}:{v}", text=raw, start=start, end=end, words=len(words))
             for raw, words, start, end in _spans(value or "", None, widest) for k, v in _variants(raw, words)
         ] for value in column.to_pylist()], type=kind)
 
     low = F.lower("phrase")
     value = F.when(F.col("kind") == "exact", F.col("phrase")).when(F.col("kind") == "lower", F.regexp_replace(low, r"\s+", " ")).otherwise(
         F.array_join(split, " "))
-    table = phrases.groupBy(F.concat_ws(":", "kind", value).alias("key")).agg(F.min("label").alias("label"))
+    rank = F.when(F.col("kind") == "exact", "0").when(F.col("kind") == "lower", "1").otherwise("2")
+    table = phrases.where(F.size(split) > 0).groupBy(F.concat_ws(":", rank, value).alias("key")).agg(F.min("label").alias("label"))
     texts = df.select(F.col(text).alias("_t")).distinct()
     hits = texts.select("_t", F.explode(runs(F.col("_t"))).alias("r")).select("_t", "r.*").join(table, "key")
-    # exact before any-case before punctuation-free, as the key names sort
+    # a key begins with the place of its kind
     one = hits.groupBy("_t", "start", "end").agg(F.min(F.struct("key", "text", "words", "label")).alias("h"))
     grouped = one.groupBy("_t").agg(F.collect_list(F.struct(
         F.col("h.text").alias("text"), "start", "end", F.col("h.words").alias("words"), F.col("h.label").alias("label"))).alias("_hits"))

@@ -171,7 +171,7 @@ parts AS (SELECT criterion_id, n, 0 AS p, trim(split_part(x, ' plus ', 1)) AS x
 whole AS (SELECT r.criterion_id, r.n, bool_and(regexp_matches(pp.x, 'therapy') OR pp.x IN (SELECT display FROM cat) OR EXISTS (SELECT 1 FROM cat WHERE system = 'rxnorm' AND contains(' ' || pp.x || ' ', ' ' || cat.display || ' '))) AS ok
   FROM raw r JOIN parts pp USING (criterion_id, n) WHERE r.x LIKE '% plus %' GROUP BY 1, 2),
 ment AS (SELECT criterion_id, n, p, x FROM parts LEFT JOIN whole USING (criterion_id, n) WHERE ok IS NULL OR ok UNION ALL SELECT r.criterion_id, r.n, 0, r.x FROM raw r JOIN whole w ON w.criterion_id = r.criterion_id AND w.n = r.n WHERE NOT ok),
-fm AS (SELECT * EXCLUDE (rn) FROM (SELECT criterion_id, n * 1000 + p AS mention_no, x AS mention_text, trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) AS term,
+fm AS (SELECT * EXCLUDE (rn) FROM (SELECT criterion_id, CAST(n AS BIGINT) * 2147483648 + p AS mention_no, x AS mention_text, trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) AS term,
     row_number() OVER (PARTITION BY criterion_id, trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) ORDER BY n, p) AS rn FROM ment) WHERE rn = 1)"""
 _HINTS = " OR ".join(f"contains(term, '{h}')" for h in X.CLASS_HINTS)
 _PROJ = f"""{_MENTIONED},

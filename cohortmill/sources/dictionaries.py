@@ -2,93 +2,312 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Default tagging phrases. "exact" phrases keep their case, "lower" phrases match in
-# any case with single spaces, "loose" phrases also ignore punctuation between words and take the
-# alternatives in brackets ("[a|b]" one of them, "[a|]" optional).
-PHRASES = {
-    ("DISEASE", "lower"): """breast cancer; breast carcinoma; invasive ductal breast carcinoma; lobular breast carcinoma; lung cancer;
-prostate cancer; colorectal cancer; pancreatic cancer; gastrointestinal cancer; gastrointestinal adenocarcinoma;
-gastrointestinal adenocarcinomas; gastrointestinal squamous cell carcinoma; bladder cancer; renal cell carcinoma;
-soft tissue sarcoma; [|advanced|other advanced] solid [tumor|tumour|tumors|tumours]; ovarian cancer; brain metastases; brain metastasis;
-cns disease; [|active] cns [metastases|metastasis]; [|active] central nervous system [metastases|metastasis];
-hiv infection; human immunodeficiency virus; active infection; inflammatory bowel disease; cardiovascular disorder;
-cardiovascular disease; cerebrovascular disease; cerebrovascular disorder; clinically severe pulmonary compromise;
-severe pulmonary compromise; pulmonary illness; pulmonary illnesses; uncontrolled infection; diabetes;
-connective tissue disease; connective tissue diseases; primary [brain|cns] [tumor|tumour|tumors|tumours]; second malignancy;
-additional malignancy; concurrent malignancy; interstitial lung disease; leptomeningeal disease; carcinomatous meningitis;
-corneal disease; dry eye syndrome; meibomian gland disease; meibomian gland dysfunction; kaposi sarcoma; castleman disease;
-multicentric castleman disease; small cell lung cancer; small cell lung carcinoma""",
-    ("DISEASE", "exact"): """melanoma; lymphoma; leukemia; sarcoma; glioblastoma; mesothelioma; myeloma; HIV; immunodeficiency; pneumonitis;
-blepharitis; Kaposi's sarcoma; Castleman's disease; Multicentric Castleman's Disease; NSCLC; SCLC; TNBC""",
-    ("DISEASE", "loose"): """[|active] central nervous system [|cns] [metastases|metastasis]; non small cell lung [cancer|carcinoma]""",
-    ("DRUG", "exact"): """trastuzumab; pertuzumab; lapatinib; pembrolizumab; nivolumab; atezolizumab; durvalumab; ipilimumab; bevacizumab;
-rituximab; cetuximab; paclitaxel; docetaxel; carboplatin; cisplatin; doxorubicin; cyclophosphamide; methotrexate;
-chemotherapy; platinum-based chemotherapy; immunotherapy; live vaccine; live-attenuated vaccine;
-live or live-attenuated vaccine; PD-1 therapy; PD-L1 therapy; PD-1/PD-L1 therapy; PD-1/PD-L1 inhibitor therapy;
-corticosteroids; steroids; itraconazole; ketoconazole; posaconazole; voriconazole; prednisone; dexamethasone;
-methylprednisolone; prednisolone""",
-    ("DRUG", "lower"): """agent targeting kras; kras inhibitor; systemic corticosteroids; systemic steroids""",
-    ("DRUG", "loose"): """programmed cell death protein 1 [|pd] [|1] therapy; programmed death ligand 1 [|pd] [|l1] therapy; kras targeted therapy""",
-    ("BIOMARKER", "exact"): "HER2; HER-2; PD-L1; EGFR; ALK; BRCA1; BRCA2; BRAF; KRAS; ROS1; NTRK; MSI; TMB",
-    ("BIOMARKER", "lower"): "her2 positive; her2 negative",
-    ("LAB_TEST", "exact"): "ANC; ALT; AST; CrCl; hemoglobin; platelet; bilirubin; creatinine; INR; GFR; WBC",
-    ("PROCEDURE", "lower"): """archival tumor tissue; archival tumor tissue sample; provided tissue; newly obtained biopsy; major surgery;
-surgical complications; informed consent; written informed consent; protocol compliance; mr safety questionnaire;
-mri safety questionnaire; claustrophobia; motion intolerance; pacemaker; implantable device""",
-    ("PROCEDURE", "exact"): "biopsy",
-    ("PERF_SCALE", "exact"): "ECOG; Karnofsky; KPS",
-    ("PERF_SCALE", "lower"): "ecog performance status",
+# Default tagging phrases by label and kind. "exact" phrases keep their case, "lower" phrases match in any case with
+# single spaces, "loose" phrases also ignore punctuation between words.
+PHRASES: dict[tuple[str, str], list[str]] = {
+    ("DISEASE", "lower"): [
+        "breast cancer",
+        "breast carcinoma",
+        "invasive ductal breast carcinoma",
+        "lobular breast carcinoma",
+        "lung cancer",
+        "prostate cancer",
+        "colorectal cancer",
+        "pancreatic cancer",
+        "gastrointestinal cancer",
+        "gastrointestinal adenocarcinoma",
+        "gastrointestinal adenocarcinomas",
+        "gastrointestinal squamous cell carcinoma",
+        "bladder cancer",
+        "renal cell carcinoma",
+        "soft tissue sarcoma",
+        "advanced solid tumor",
+        "advanced solid tumors",
+        "advanced solid tumour",
+        "advanced solid tumours",
+        "other advanced solid tumor",
+        "other advanced solid tumors",
+        "other advanced solid tumour",
+        "other advanced solid tumours",
+        "solid tumor",
+        "solid tumors",
+        "solid tumour",
+        "solid tumours",
+        "ovarian cancer",
+        "brain metastases",
+        "brain metastasis",
+        "cns disease",
+        "active cns metastases",
+        "active cns metastasis",
+        "cns metastases",
+        "cns metastasis",
+        "active central nervous system metastases",
+        "active central nervous system metastasis",
+        "central nervous system metastases",
+        "central nervous system metastasis",
+        "hiv infection",
+        "human immunodeficiency virus",
+        "active infection",
+        "inflammatory bowel disease",
+        "cardiovascular disorder",
+        "cardiovascular disease",
+        "cerebrovascular disease",
+        "cerebrovascular disorder",
+        "clinically severe pulmonary compromise",
+        "severe pulmonary compromise",
+        "pulmonary illness",
+        "pulmonary illnesses",
+        "uncontrolled infection",
+        "diabetes",
+        "connective tissue disease",
+        "connective tissue diseases",
+        "primary brain tumor",
+        "primary brain tumors",
+        "primary brain tumour",
+        "primary brain tumours",
+        "primary cns tumor",
+        "primary cns tumors",
+        "primary cns tumour",
+        "primary cns tumours",
+        "second malignancy",
+        "additional malignancy",
+        "concurrent malignancy",
+        "interstitial lung disease",
+        "leptomeningeal disease",
+        "carcinomatous meningitis",
+        "corneal disease",
+        "dry eye syndrome",
+        "meibomian gland disease",
+        "meibomian gland dysfunction",
+        "kaposi sarcoma",
+        "castleman disease",
+        "multicentric castleman disease",
+        "small cell lung cancer",
+        "small cell lung carcinoma",
+    ],
+    ("DISEASE", "exact"): [
+        "melanoma",
+        "lymphoma",
+        "leukemia",
+        "sarcoma",
+        "glioblastoma",
+        "mesothelioma",
+        "myeloma",
+        "HIV",
+        "immunodeficiency",
+        "pneumonitis",
+        "blepharitis",
+        "Kaposi's sarcoma",
+        "Castleman's disease",
+        "Multicentric Castleman's Disease",
+        "NSCLC",
+        "SCLC",
+        "TNBC",
+    ],
+    ("DISEASE", "loose"): [
+        "active central nervous system cns metastases",
+        "active central nervous system cns metastasis",
+        "active central nervous system metastases",
+        "active central nervous system metastasis",
+        "central nervous system cns metastases",
+        "central nervous system cns metastasis",
+        "central nervous system metastases",
+        "central nervous system metastasis",
+        "non small cell lung cancer",
+        "non small cell lung carcinoma",
+    ],
+    ("DRUG", "exact"): [
+        "trastuzumab",
+        "pertuzumab",
+        "lapatinib",
+        "pembrolizumab",
+        "nivolumab",
+        "atezolizumab",
+        "durvalumab",
+        "ipilimumab",
+        "bevacizumab",
+        "rituximab",
+        "cetuximab",
+        "paclitaxel",
+        "docetaxel",
+        "carboplatin",
+        "cisplatin",
+        "doxorubicin",
+        "cyclophosphamide",
+        "methotrexate",
+        "chemotherapy",
+        "platinum-based chemotherapy",
+        "immunotherapy",
+        "live vaccine",
+        "live-attenuated vaccine",
+        "live or live-attenuated vaccine",
+        "PD-1 therapy",
+        "PD-L1 therapy",
+        "PD-1/PD-L1 therapy",
+        "PD-1/PD-L1 inhibitor therapy",
+        "corticosteroids",
+        "steroids",
+        "itraconazole",
+        "ketoconazole",
+        "posaconazole",
+        "voriconazole",
+        "prednisone",
+        "dexamethasone",
+        "methylprednisolone",
+        "prednisolone",
+    ],
+    ("DRUG", "lower"): [
+        "agent targeting kras",
+        "kras inhibitor",
+        "systemic corticosteroids",
+        "systemic steroids",
+    ],
+    ("DRUG", "loose"): [
+        "programmed cell death protein 1 1 therapy",
+        "programmed cell death protein 1 pd 1 therapy",
+        "programmed cell death protein 1 pd therapy",
+        "programmed cell death protein 1 therapy",
+        "programmed death ligand 1 l1 therapy",
+        "programmed death ligand 1 pd l1 therapy",
+        "programmed death ligand 1 pd therapy",
+        "programmed death ligand 1 therapy",
+        "kras targeted therapy",
+    ],
+    ("BIOMARKER", "exact"): [
+        "HER2",
+        "HER-2",
+        "PD-L1",
+        "EGFR",
+        "ALK",
+        "BRCA1",
+        "BRCA2",
+        "BRAF",
+        "KRAS",
+        "ROS1",
+        "NTRK",
+        "MSI",
+        "TMB",
+    ],
+    ("BIOMARKER", "lower"): [
+        "her2 positive",
+        "her2 negative",
+    ],
+    ("LAB_TEST", "exact"): [
+        "ANC",
+        "ALT",
+        "AST",
+        "CrCl",
+        "hemoglobin",
+        "platelet",
+        "bilirubin",
+        "creatinine",
+        "INR",
+        "GFR",
+        "WBC",
+    ],
+    ("PROCEDURE", "lower"): [
+        "archival tumor tissue",
+        "archival tumor tissue sample",
+        "provided tissue",
+        "newly obtained biopsy",
+        "major surgery",
+        "surgical complications",
+        "informed consent",
+        "written informed consent",
+        "protocol compliance",
+        "mr safety questionnaire",
+        "mri safety questionnaire",
+        "claustrophobia",
+        "motion intolerance",
+        "pacemaker",
+        "implantable device",
+    ],
+    ("PROCEDURE", "exact"): [
+        "biopsy",
+    ],
+    ("PERF_SCALE", "exact"): [
+        "ECOG",
+        "Karnofsky",
+        "KPS",
+    ],
+    ("PERF_SCALE", "lower"): [
+        "ecog performance status",
+    ],
 }
 
-# Default abbreviations and their expansions.
-ABBREVIATIONS = """TNBC=Triple Negative Breast Cancer; NSCLC=Non-Small Cell Lung Cancer; SCLC=Small Cell Lung Cancer;
-mCRPC=Metastatic Castration-Resistant Prostate Cancer; HER2=Human Epidermal Growth Factor Receptor 2;
-EGFR=Epidermal Growth Factor Receptor; ALK=Anaplastic Lymphoma Kinase; BRCA=Breast Cancer Gene; BRCA1=Breast Cancer Gene 1;
-BRCA2=Breast Cancer Gene 2; PD-L1=Programmed Death-Ligand 1; PD-1=Programmed Cell Death Protein 1;
-ECOG=Eastern Cooperative Oncology Group; KPS=Karnofsky Performance Status; ANC=Absolute Neutrophil Count;
-ALT=Alanine Aminotransferase; AST=Aspartate Aminotransferase; CrCl=Creatinine Clearance; ULN=Upper Limit of Normal;
-LLN=Lower Limit of Normal; WBC=White Blood Cell Count; CNS=Central Nervous System; GFR=Glomerular Filtration Rate;
-INR=International Normalized Ratio; CBC=Complete Blood Count; RECIST=Response Evaluation Criteria in Solid Tumors;
-CR=Complete Response; PR=Partial Response; SD=Stable Disease; PD=Progressive Disease; DLT=Dose Limiting Toxicity;
-MTD=Maximum Tolerated Dose; ORR=Objective Response Rate; OS=Overall Survival; PFS=Progression Free Survival;
-TPS=Tumor Proportion Score; CPS=Combined Positive Score; MSI=Microsatellite Instability; TMB=Tumor Mutational Burden;
-FISH=Fluorescence In Situ Hybridization; IHC=Immunohistochemistry; RAS=Rat Sarcoma Viral Oncogene;
-KRAS=Kirsten Rat Sarcoma Viral Oncogene; BRAF=B-Raf Proto-Oncogene; NTRK=Neurotrophic Tyrosine Receptor Kinase;
-ROS1=ROS Proto-Oncogene 1; MET=Mesenchymal-Epithelial Transition Factor; FGFR=Fibroblast Growth Factor Receptor;
-PIK3CA=Phosphatidylinositol-4,5-Bisphosphate 3-Kinase Catalytic Subunit Alpha; AML=Acute Myeloid Leukemia;
-CLL=Chronic Lymphocytic Leukemia; DLBCL=Diffuse Large B-Cell Lymphoma; RCC=Renal Cell Carcinoma;
-HCC=Hepatocellular Carcinoma; GIST=Gastrointestinal Stromal Tumor; GBM=Glioblastoma Multiforme; CRC=Colorectal Cancer;
-HNSCC=Head and Neck Squamous Cell Carcinoma"""
-
-
-def _expand(phrase: str) -> list[str]:
-    """All variants of a phrase with "[a|b]" alternatives."""
-    import re
-
-    parts = re.split(r"(\[[^\]]*\])", phrase)
-    choices = [p[1:-1].split("|") if p.startswith("[") else [p] for p in parts]
-    return sorted({" ".join("".join(c).split()) for c in product(*choices)})
+# Default abbreviations (lower case) and their expansions.
+ABBREVIATIONS: dict[str, str] = {
+    "tnbc": "Triple Negative Breast Cancer",
+    "nsclc": "Non-Small Cell Lung Cancer",
+    "sclc": "Small Cell Lung Cancer",
+    "mcrpc": "Metastatic Castration-Resistant Prostate Cancer",
+    "her2": "Human Epidermal Growth Factor Receptor 2",
+    "egfr": "Epidermal Growth Factor Receptor",
+    "alk": "Anaplastic Lymphoma Kinase",
+    "brca": "Breast Cancer Gene",
+    "brca1": "Breast Cancer Gene 1",
+    "brca2": "Breast Cancer Gene 2",
+    "pd-l1": "Programmed Death-Ligand 1",
+    "pd-1": "Programmed Cell Death Protein 1",
+    "ecog": "Eastern Cooperative Oncology Group",
+    "kps": "Karnofsky Performance Status",
+    "anc": "Absolute Neutrophil Count",
+    "alt": "Alanine Aminotransferase",
+    "ast": "Aspartate Aminotransferase",
+    "crcl": "Creatinine Clearance",
+    "uln": "Upper Limit of Normal",
+    "lln": "Lower Limit of Normal",
+    "wbc": "White Blood Cell Count",
+    "cns": "Central Nervous System",
+    "gfr": "Glomerular Filtration Rate",
+    "inr": "International Normalized Ratio",
+    "cbc": "Complete Blood Count",
+    "recist": "Response Evaluation Criteria in Solid Tumors",
+    "cr": "Complete Response",
+    "pr": "Partial Response",
+    "sd": "Stable Disease",
+    "pd": "Progressive Disease",
+    "dlt": "Dose Limiting Toxicity",
+    "mtd": "Maximum Tolerated Dose",
+    "orr": "Objective Response Rate",
+    "os": "Overall Survival",
+    "pfs": "Progression Free Survival",
+    "tps": "Tumor Proportion Score",
+    "cps": "Combined Positive Score",
+    "msi": "Microsatellite Instability",
+    "tmb": "Tumor Mutational Burden",
+    "fish": "Fluorescence In Situ Hybridization",
+    "ihc": "Immunohistochemistry",
+    "ras": "Rat Sarcoma Viral Oncogene",
+    "kras": "Kirsten Rat Sarcoma Viral Oncogene",
+    "braf": "B-Raf Proto-Oncogene",
+    "ntrk": "Neurotrophic Tyrosine Receptor Kinase",
+    "ros1": "ROS Proto-Oncogene 1",
+    "met": "Mesenchymal-Epithelial Transition Factor",
+    "fgfr": "Fibroblast Growth Factor Receptor",
+    "pik3ca": "Phosphatidylinositol-4,5-Bisphosphate 3-Kinase Catalytic Subunit Alpha",
+    "aml": "Acute Myeloid Leukemia",
+    "cll": "Chronic Lymphocytic Leukemia",
+    "dlbcl": "Diffuse Large B-Cell Lymphoma",
+    "rcc": "Renal Cell Carcinoma",
+    "hcc": "Hepatocellular Carcinoma",
+    "gist": "Gastrointestinal Stromal Tumor",
+    "gbm": "Glioblastoma Multiforme",
+    "crc": "Colorectal Cancer",
+    "hnscc": "Head and Neck Squamous Cell Carcinoma",
+}
 
 
 def default_phrases() -> list[tuple[str, str, str]]:
-    """(phrase, kind, label) rows of the built-in dictionary; the first label of a phrase wins."""
-    rows: dict[tuple[str, str], str] = {}
-    for (label, kind), text in PHRASES.items():
-        for phrase in text.replace("\n", " ").split(";"):
-            for variant in _expand(phrase.strip()):
-                rows.setdefault((variant, kind), label)
-    return [(p, k, label) for (p, k), label in rows.items()]
+    """(phrase, kind, label) rows of the built-in dictionary."""
+    return [(p, kind, label) for (label, kind), phrases in PHRASES.items() for p in phrases]
 
 
 def default_abbreviations() -> dict[str, str]:
-    pairs = [p.strip().split("=", 1) for p in ABBREVIATIONS.replace("\n", " ").split(";")]
-    return {a.lower(): e for a, e in pairs}
-
+    return dict(ABBREVIATIONS)
 
 def phrase_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(default_phrases(), "phrase string, kind string, label string")

@@ -22,10 +22,15 @@ STUDY = """protocolSection STRUCT<
     zip: STRING, status: STRING, geoPoint: STRUCT<lat: DOUBLE, lon: DOUBLE>>>>>"""
 
 
-def read_studies(spark: SparkSession, path: str) -> DataFrame:
-    """Study files (one JSON document per file or per line) with the raw text kept beside the record."""
-    raw = spark.read.text(path, wholetext=True)
-    return raw.select(F.col("value").alias("raw_json"), F.from_json("value", STUDY).alias("s"))
+def read_studies(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(studies, rejected) from study files: one JSON document per file, or per line with ``lines``.
+
+    Studies keep the raw text beside the record; text that is no JSON object with a protocol section is rejected.
+    """
+    raw = spark.read.text(path, wholetext=not lines).where(F.length(F.trim("value")) > 0)
+    read = raw.select(F.col("value").alias("raw_json"), F.col("_metadata.file_name").alias("file"), F.from_json("value", STUDY).alias("s"))
+    fine = F.col("s.protocolSection").isNotNull()
+    return read.where(fine).select("raw_json", "s"), read.where(~fine).select("file", "raw_json")
 
 
 def parse_studies(rows: DataFrame, column: str = "raw_json") -> DataFrame:
@@ -76,7 +81,8 @@ def study_hash() -> Column:
     arm = lambda a: F.struct(*[_norm(a[k]).alias(k) for k in ("description", "name", "type")])
     material = F.struct(
         _norm(p("identificationModule.briefTitle")).alias("brief_title"),
-        _norm(F.coalesce(p("statusModule.completionDateStruct.date"), p("statusModule.primaryCompletionDateStruct.date"))).alias("completion_date"),
+        _norm(F.coalesce(F.when(F.length(p("statusModule.completionDateStruct.date")) > 0, p("statusModule.completionDateStruct.date")),
+                         p("statusModule.primaryCompletionDateStruct.date"))).alias("completion_date"),
         texts("conditionsModule.conditions").alias("conditions"), _norm(p("eligibilityModule.eligibilityCriteria")).alias("eligibility_text"),
         _norm(p("eligibilityModule.healthyVolunteers")).alias("healthy_volunteers"),
         F.transform(p("armsInterventionsModule.interventions"), arm).alias("interventions"),
@@ -112,9 +118,9 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_criteria(criteria: DataFrame, path: str, run_id: str) -> None:
-    """Append one run's criteria; pending exactly where review is required."""
+    """Write one run's criteria, pending exactly where review is required; a rerun replaces them."""
     criteria.withColumn("review_status", F.when(F.col("review_required"), "pending")).withColumn("run_id", F.lit(run_id)).write.mode(
-        "append").partitionBy("run_id").parquet(path)
+        "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
 def write_documents(resources: DataFrame, path: str, column: str = "resource") -> None:
