@@ -8,8 +8,10 @@ from cohortmill.functions import text as T
 from cohortmill.functions.scale import stage
 from cohortmill.operators import export as X
 from cohortmill.operators import reports as P
+from cohortmill.operators import runs as R
 from cohortmill.plans import views as V
 from cohortmill.plans.registry import query
+from cohortmill.plans.runs_queries import _CUR, _latest
 from cohortmill.sources import dictionaries as Dc
 from cohortmill.sources import patients as Pt
 from cohortmill.sources import studies as St
@@ -41,7 +43,16 @@ def _(spark, sf):
     return St.sites(studies(spark, sf)).select("nct_id", "facility", "city", "country", "latitude")
 
 
-@query("c1_study_hash", None)
+_LOW = "lower(trim(regexp_replace({}, '\\\\s+', ' ', 'g')))".format
+
+
+@query("c1_study_hash", V.oracle("trials", f"""SELECT nct_id, sha256('{{"brief_title":"' || {_LOW("brief_title")} || '","completion_date":"2025-05-0' || CAST(trial_id % 9 + 1 AS STRING) || '","conditions":["' || {_LOW("condition")} ||
+    '"],"eligibility_text":"- age over ' || CAST(trial_id % 90 AS STRING) || '","healthy_volunteers":"' || CASE trial_id % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 2 THEN 'true' ELSE 'false' END ||
+    '","interventions":"","last_updated":"","locations":"' || replace('[{{"city":"' || {_LOW("brief_title")} || '","country":"c' || CAST(trial_id % 7 AS STRING) || '","facility":"site ' || CAST(trial_id AS STRING) ||
+    '","geoPoint":{{"lat":' || CAST(trial_id % 90 AS STRING) || '.5,"lon":1.25}}}},{{"country":"c1","facility":"second"}}]', '"', '\\"') ||
+    '","maximum_age":"","minimum_age":"","official_title":"","phase":[' || CASE trial_id % 3 WHEN 0 THEN '"phase1","phase2"' ELSE '"phase3"' END || '],"sex":"' || lower(eligible_sex) ||
+    '","sponsor":"","start_date":"' || CASE WHEN trial_id % 3 = 0 THEN '2024-01' ELSE '2023-02-1' || CAST(trial_id % 9 AS STRING) END || '","status":"' || CASE WHEN trial_id % 5 = 0 THEN '' ELSE lower(status) END ||
+    '","structured_eligibility":[]}}') AS content_hash FROM trials""".replace("geoPoint", "geopoint")))
 def _(spark, sf):
     return St.trial_snapshot(studies(spark, sf)).select("nct_id", "content_hash")
 
@@ -101,8 +112,10 @@ def export_criteria(spark, sf):
     return c.withColumn("parse_status", F.when(F.col("ord") % 5 == 0, "unparsed").otherwise("parsed")).withColumn("negated", F.col("ord") % 2 == 0)
 
 
-_EXP = f"""SELECT * FROM criteria WHERE ord % 5 <> 0 AND category NOT IN ('other', {', '.join(f"'{c}'" for c in X.INTERNAL_CATEGORIES)})
+_EXPORTABLE = f"""ord % 5 <> 0 AND category NOT IN ('other', {', '.join(f"'{c}'" for c in X.INTERNAL_CATEGORIES)})
   AND NOT (category = 'concomitant_medication' AND allowance_text IS NOT NULL) AND coalesce(review_status, '') <> 'rejected' AND NOT (review_required AND coalesce(review_status, '') NOT IN ('accepted', 'corrected'))"""
+_EXP = f"SELECT * FROM criteria WHERE {_EXPORTABLE}"
+_EXP_CURRENT = f"SELECT * FROM cur WHERE {_EXPORTABLE}"
 
 
 @query("f2_exportable_criteria", V.oracle("criteria", f"SELECT criterion_id, category FROM ({_EXP})"))
@@ -119,30 +132,40 @@ def _(spark, sf):
 _STATUS = "CASE status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.STATUS.items()) + " ELSE 'active' END"
 
 
-@query("f1_study_resources", V.oracle("trials criteria", f"""SELECT nct_id, {_STATUS} AS status, CASE WHEN phase = '' THEN NULL WHEN phase LIKE 'PHASE1%' THEN 'phase-1' ELSE 'phase-3' END AS phase_code,
-       (SELECT count(*) FROM ({_EXP}) e WHERE e.trial_id = t.trial_id AND e.type = 'inclusion') AS n_inclusion, (SELECT count(*) FROM ({_EXP}) e WHERE e.trial_id = t.trial_id AND e.type = 'exclusion') AS n_exclusion,
-       eligible_min_age AS min_age FROM trials t"""))
-def _(spark, sf):
+_STUDY_COUNTS = V.oracle_with("pipeline_runs trials criteria", _CUR, f"""SELECT nct_id, {_STATUS} AS status, CASE WHEN phase = '' THEN NULL WHEN phase LIKE 'PHASE1%' THEN 'phase-1' ELSE 'phase-3' END AS phase_code,
+       (SELECT count(*) FROM ({_EXP_CURRENT}) e WHERE e.trial_id = t.trial_id AND e.type = 'inclusion') AS n_inclusion, (SELECT count(*) FROM ({_EXP_CURRENT}) e WHERE e.trial_id = t.trial_id AND e.type = 'exclusion') AS n_exclusion,
+       eligible_min_age AS min_age FROM trials t""")
+
+
+def _resources(spark, sf):
+    """Documents with the criteria of each trial's current run."""
     t = V.view(spark, sf, "trials").withColumn("conditions", F.array("condition"))
-    r = X.study_resources(t, export_criteria(spark, sf))
-    shape = "status string, phase struct<coding:array<struct<code:string>>>, extension array<struct<url:string,extension:array<struct<url:string>>>>, enrollment array<struct<minimumAge:string>>"
-    d = r.withColumn("d", F.from_json("resource", shape))
+    return X.study_resources(t, R.current_criteria(export_criteria(spark, sf), _latest(spark, sf)).drop("latest_run_id"))
+
+
+def _counted(resources):
+    shape = "identifier array<struct<value:string>>, status string, phase struct<coding:array<struct<code:string>>>, extension array<struct<url:string,extension:array<struct<url:string>>>>, enrollment array<struct<minimumAge:string>>"
+    d = resources.withColumn("d", F.from_json("resource", shape))
     n = lambda k: F.coalesce(F.size(F.get(F.filter("d.extension", lambda e: e["url"].endswith(k)), 0)["extension"]), F.lit(0))
-    return d.select("nct_id", "d.status", F.get("d.phase.coding", 0)["code"].alias("phase_code"), F.greatest(n("/inclusion"), F.lit(0)).alias("n_inclusion"),
+    return d.select(F.get("d.identifier", 0)["value"].alias("nct_id"), "d.status", F.get("d.phase.coding", 0)["code"].alias("phase_code"), F.greatest(n("/inclusion"), F.lit(0)).alias("n_inclusion"),
                     F.greatest(n("/exclusion"), F.lit(0)).alias("n_exclusion"), F.get("d.enrollment", 0)["minimumAge"].alias("min_age"))
 
 
-@query("s7_document_sink", None)
+@query("f1_study_resources", _STUDY_COUNTS)
+def _(spark, sf):
+    return _counted(_resources(spark, sf))
+
+
+@query("s7_document_sink", _STUDY_COUNTS)
 def _(spark, sf):
     """Documents written as text and read back, one per line."""
     import uuid
 
     from cohortmill.functions.scale import work_dir
 
-    t = V.view(spark, sf, "trials").withColumn("conditions", F.array("condition"))
     path = f"{work_dir(spark)}/documents/{uuid.uuid4().hex}"
-    St.write_documents(X.study_resources(t, export_criteria(spark, sf)), path)
-    return spark.read.text(path).select(F.get_json_object("value", "$.identifier[0].value").alias("nct_id"), F.length("value").alias("n_chars"))
+    St.write_documents(_resources(spark, sf), path)
+    return _counted(spark.read.text(path).select(F.col("value").alias("resource")))
 
 
 # Medication mentions of therapy criteria; the catalogue of drugs comes from the parts.

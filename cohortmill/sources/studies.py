@@ -43,7 +43,7 @@ def parse_instant(text: Column) -> Column:
 
 
 def trial_snapshot(studies: DataFrame) -> DataFrame:
-    """Flat trial row of each study with its content hash."""
+    """Flat trial row of each study (raw_json, s) with its content hash."""
     p = lambda path: F.col(f"s.protocolSection.{path}")
     none = F.array().cast("array<string>")
     completion = F.coalesce(
@@ -72,26 +72,36 @@ def _norm(c: Column) -> Column:
     return F.lower(T.squeeze(F.coalesce(c.cast("string"), F.lit(""))))
 
 
+def _whole(path: str) -> Column:
+    """A part of the raw record as canonical JSON text (keys in order), squeezed and lower-cased; texts inside are trimmed."""
+    text = F.try_variant_get(F.try_parse_json("raw_json"), path, "string")
+    return F.regexp_replace(_norm(F.regexp_replace(text, r"(?:\\[nrt])+", " ")), r"(?<=\") | (?=\")", "")
+
+
 def study_hash() -> Column:
-    """SHA-256 of the fields that make a study a new version: squeezed, lower-cased, keys in order."""
+    """SHA-256 of everything that makes a study a new version: squeezed, lower-cased, keys in order.
+
+    Locations, interventions and all eligibility fields without a column of their own count whole, as the raw record has them.
+    """
     p = lambda path: F.col(f"s.protocolSection.{path}")
     texts = lambda path: F.transform(F.coalesce(p(path), F.array().cast("array<string>")), _norm)
-    site = lambda l: F.struct(*[_norm(l[k]).alias(k) for k in ("city", "country", "facility", "state", "status", "zip")],
-                              F.coalesce(l["geoPoint"]["lat"].cast("string"), F.lit("")).alias("lat"), F.coalesce(l["geoPoint"]["lon"].cast("string"), F.lit("")).alias("lon"))
-    arm = lambda a: F.struct(*[_norm(a[k]).alias(k) for k in ("description", "name", "type")])
+    fields = F.try_variant_get(F.try_parse_json("raw_json"), "$.protocolSection.eligibilityModule", "map<string,string>")
+    others = F.transform(F.array_sort(F.map_entries(F.map_filter(
+        F.coalesce(fields, F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin("eligibilityCriteria", "minimumAge", "maximumAge", "sex", "healthyVolunteers")))),
+        lambda e: F.array(e["key"], _norm(e["value"])))
     material = F.struct(
         _norm(p("identificationModule.briefTitle")).alias("brief_title"),
         _norm(F.coalesce(F.when(F.length(p("statusModule.completionDateStruct.date")) > 0, p("statusModule.completionDateStruct.date")),
                          p("statusModule.primaryCompletionDateStruct.date"))).alias("completion_date"),
         texts("conditionsModule.conditions").alias("conditions"), _norm(p("eligibilityModule.eligibilityCriteria")).alias("eligibility_text"),
         _norm(p("eligibilityModule.healthyVolunteers")).alias("healthy_volunteers"),
-        F.transform(p("armsInterventionsModule.interventions"), arm).alias("interventions"),
+        _whole("$.protocolSection.armsInterventionsModule.interventions").alias("interventions"),
         _norm(p("statusModule.lastUpdatePostDateStruct.date")).alias("last_updated"),
-        F.transform(p("contactsLocationsModule.locations"), site).alias("locations"), _norm(p("eligibilityModule.maximumAge")).alias("maximum_age"),
+        _whole("$.protocolSection.contactsLocationsModule.locations").alias("locations"), _norm(p("eligibilityModule.maximumAge")).alias("maximum_age"),
         _norm(p("eligibilityModule.minimumAge")).alias("minimum_age"), _norm(p("identificationModule.officialTitle")).alias("official_title"),
         texts("designModule.phases").alias("phase"), _norm(p("eligibilityModule.sex")).alias("sex"),
         _norm(p("sponsorCollaboratorsModule.leadSponsor.name")).alias("sponsor"), _norm(p("statusModule.startDateStruct.date")).alias("start_date"),
-        _norm(p("statusModule.overallStatus")).alias("status"), texts("eligibilityModule.stdAges").alias("structured_eligibility"))
+        _norm(p("statusModule.overallStatus")).alias("status"), others.alias("structured_eligibility"))
     return F.sha2(F.to_json(material), 256)
 
 

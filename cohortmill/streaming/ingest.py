@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortmill.operators.extract import extract
 from cohortmill.operators.runs import changed
-from cohortmill.sources.studies import STUDY, trial_snapshot
+from cohortmill.sources.studies import STUDY, parse_studies, trial_snapshot
 
 
 def read_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -18,25 +19,25 @@ def read_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFr
     )
 
 
-def latest_of_batch(batch: DataFrame) -> DataFrame:
-    """Flat trial rows of a batch, the newest file per trial."""
-    rows = batch.withColumn("s", F.from_json("raw_json", STUDY))
-    flat = trial_snapshot(rows.select("s")) if "arrived_at" not in batch.columns else None
-    if flat is not None:
-        return flat
-    keyed = rows.withColumn("nct_id", F.col("s.protocolSection.identificationModule.nctId")).where(F.col("nct_id").isNotNull())
-    newest = keyed.groupBy("nct_id").agg(F.max_by("raw_json", F.struct("arrived_at", F.xxhash64("raw_json"))).alias("raw_json"))
-    return trial_snapshot(newest.select(F.from_json("raw_json", STUDY).alias("s")))
+def latest_of_batch(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(flat trial rows of a batch, the newest file per trial; records without an id). Without arrival times the content decides."""
+    rows = batch if "arrived_at" in batch.columns else batch.withColumn("arrived_at", F.lit(None).cast("timestamp"))
+    keyed = rows.withColumn("nct_id", F.from_json("raw_json", STUDY)["protocolSection"]["identificationModule"]["nctId"])
+    newest = keyed.where(F.col("nct_id").isNotNull()).groupBy("nct_id").agg(F.max(F.struct("arrived_at", F.xxhash64("raw_json"), "raw_json")).alias("top"))
+    flat = trial_snapshot(parse_studies(newest.select(F.col("top.raw_json").alias("raw_json"))))
+    return flat, keyed.where(F.col("nct_id").isNull()).select("arrived_at", "raw_json")
 
 
 def ingest_batch(batch: DataFrame, store: str, batch_id: int) -> None:
-    """Keep only trials whose hash differs from the stored one; append them and their criteria.
+    """Keep only trials whose hash differs from the stored one; append them and their criteria. Records without an id are stored
+    as failed.
 
     Every append goes into a folder of its own batch id and overwrites it, so a batch that is run
     again after a failure leaves the same rows.
     """
     spark = batch.sparkSession
-    snap = latest_of_batch(batch)
+    snap, failed = latest_of_batch(batch)
+    failed.write.mode("overwrite").parquet(f"{store}/failed/batch_id={batch_id}")
     stored = stored_trials(spark, store, before=batch_id)
     fresh = snap if stored is None else changed(snap, stored)
     target = f"{store}/trials/batch_id={batch_id}"
@@ -48,11 +49,12 @@ def ingest_batch(batch: DataFrame, store: str, batch_id: int) -> None:
 
 def stored_trials(spark: SparkSession, store: str, before: int | None = None) -> DataFrame | None:
     """Latest stored row per trial, or null when nothing is stored yet."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/trials")
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return None
-    rows = spark.read.parquet(f"{store}/trials")
+    try:
+        rows = spark.read.parquet(f"{store}/trials")
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
     if before is not None:
         rows = rows.where(F.col("batch_id") < before)
     keep = [c for c in rows.columns if c not in ("nct_id", "batch_id", "interventions")]
