@@ -16,6 +16,7 @@ from cohortmill.llm.tokens import SPACES, Words, mix, ngrams, text_chunks
 
 COORDINATES = 129
 JOINED = 3  # coordinates posted together
+SHARED = 8       # of their rarest shingles that two similar sets share, where the beginnings are so many longer
 MISS = 1e-9  # chance that a pair just at the threshold falls below the match threshold
 
 _rng = np.random.default_rng(77)
@@ -115,8 +116,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int, percent: int, doc_id: s
     time. Prefix: first the lists that a pair above the match threshold cannot all avoid are merged against their most connected
     members. Collisions of these pairs are counted over all coordinates; pairs with enough of them are confirmed on full sets, which puts most
     members of a list into one component. Skip: lists whose members are all connected are passed over. Members of the other lists
-    meet exactly: two sets as similar as wanted share one of their rarest shingles (as many as may differ and one more), so only
-    these are posted, pairs within a component are skipped, and the rest are counted and confirmed alike. No list of near copies is
+    meet exactly: two sets as similar as wanted share one of their rarest shingles (as many as may differ and one more) and SHARED of the
+    beginnings that are as much longer, so only these are posted and merged, pairs within a component are skipped, and the rest are counted and confirmed alike. No list of near copies is
     expanded into its pairs, and a pair within one component needs no link of its own, so components are complete.
 
     Words are split at space and \\t to \\r, A-Z lower-cased; fewer words than a shingle: the whole sequence is one.
@@ -158,13 +159,23 @@ def near_duplicates(docs: DataFrame, shingle_words: int, percent: int, doc_id: s
     open_ = stored(named.join(mixed, "key", "left_semi").groupBy("node").agg(F.first("label").alias("label")), "open")
     listed = stored(texts.join(open_, "node", "left_semi").select("node", "text").mapInArrow(lambda it: _shingle_rows(it, shingle_words), f"node {NODE}, shingle long"), "shingles")
     often = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
-    rare = listed.join(often, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("s"))
-    prefix = F.size("s") - F.ceil(F.lit(percent) * F.size("s") / F.lit(100)).cast("int") + 1
-    rare = rare.select("node", F.explode(F.filter(F.slice("s", 1, prefix), lambda x: x["often"] > 1)).alias("x")).join(open_, "node")
-    rare = stored(rare.select("x.shingle", "node", "label"), "rare")
-    left = rare.select("shingle", F.col("node").alias("a"), F.col("label").alias("la"))
-    right = rare.select("shingle", F.col("node").alias("b"), F.col("label").alias("lb"))
-    rest = left.join(right, "shingle").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b").distinct()
+    sets = listed.join(often, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("s")).withColumn("n", F.size("s"))
+    prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / F.lit(100)).cast("int") + 1
+    lead = F.transform(F.slice("s", 1, prefix + SHARED - 1), lambda x: x["shingle"])
+    rare = sets.select("node", "n", lead.alias("lead"), F.posexplode(F.slice("s", 1, prefix)).alias("at", "x")).where("x.often > 1").join(open_, "node")
+    rare = stored(rare.select("x.shingle", "node", "label", "n", (F.col("at") + 1).alias("at"), "lead"), "rare")
+    left = rare.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "at", "lead")])
+    right = rare.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "at", "lead")])
+    # What two sets of these sizes have in common at least; what follows their first common shingle, and the beginnings of both, must allow it.
+    common = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent)).cast("int")
+    begin = lambda side: F.slice(f"lead_{side}", F.lit(1), F.col(f"n_{side}") - common + SHARED)
+    fits = (
+        (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b"))
+        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        & (1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= common)
+        & (F.size(F.array_intersect(begin("a"), begin("b"))) >= F.least(F.lit(SHARED), common))
+    )
+    rest = left.join(right, "shingle").where(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     more = confirmed(rest)
     of = labels.select(F.col("node"), F.col("label"))
     between = (
