@@ -123,11 +123,10 @@ _category_query("m19_lab_match", ["lab_value"])
 _category_query("m20_therapy_match", ["prior_therapy", "line_of_therapy"])
 
 
-@query("m14_polarity", osql(S.MATCH_VIEWS, S.EVALS, """SELECT type, outcome, count(*) AS n FROM evals
-       WHERE category = 'performance_status' GROUP BY type, outcome"""))
+@query("m14_polarity", osql(S.MATCH_VIEWS, S.EVALS, """SELECT category, type, outcome, count(*) AS n FROM evals GROUP BY category, type, outcome"""))
 def _(spark, sf):
-    ev, _, _ = evaluated(spark, sf, only=F.col("category") == "performance_status")
-    return ev.groupBy("type", "outcome").agg(F.count(F.lit(1)).alias("n"))
+    ev, _, _ = evaluated(spark, sf)
+    return ev.groupBy("category", "type", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("m15_code_overlap", V.oracle("criteria facts", """SELECT c.code_system AS system, c.code, c.category, count(*) AS n_criteria,

@@ -153,12 +153,19 @@ def _(spark, sf):
     return _tagged(spark, sf).select("text", F.explode("mentions").alias("m")).select("text", "m.start", "m.end", F.col("m.text").alias("mention"), "m.label")
 
 
-@query("e8_document_mentions", None)
+#: Words of the documents: common ones of four languages, licence and secret cues.
+_DOC_PHRASES = [("the", "EN"), ("der", "DE"), ("les", "FR"), ("los", "ES"), ("licensed", "LICENCE"), ("license", "LICENCE"), ("password", "SECRET"), ("token", "SECRET")]
+
+
+@query("e8_document_mentions", f"""WITH p(phrase, label) AS (VALUES {", ".join(f"('{p}', '{lab}')" for p, lab in _DOC_PHRASES)}),
+w AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+'))) AS word FROM documents)
+SELECT doc_id, label, count(*) AS n FROM w JOIN p ON word = phrase GROUP BY doc_id, label""")
 def _(spark, sf):
-    """Mentions in the whole documents and pages, counted by label."""
+    """Mentions in the whole documents, counted by document and label."""
     V.register(spark, sf)
+    phrases = spark.createDataFrame([(p, "lower", lab) for p, lab in _DOC_PHRASES], "phrase string, kind string, label string")
     d = spark.table("documents").select("doc_id", "text")
-    return G.tag(d, Dc.phrase_table(spark)).select(F.explode("mentions").alias("m")).groupBy("m.label").agg(F.count(F.lit(1)).alias("n"))
+    return G.tag(d, phrases).select("doc_id", F.explode("mentions").alias("m")).groupBy("doc_id", "m.label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("e9_added_mentions", V.oracle("items", """SELECT DISTINCT text, regexp_extract(text, '(?i)(?:(?:at least|more than|no more than) )?\\d+ (?:days|weeks|months|years)(?: old| ago)?') AS mention FROM items

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortmill.functions.scale import work_dir
+from cohortmill.functions.ship import ship
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -178,6 +179,7 @@ def oracle_with(names: str, more: str, body: str) -> str:
 
 
 def register(spark: SparkSession, sf_dir: str) -> None:
+    ship(spark)
     for t in TABLES:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
 
