@@ -146,10 +146,13 @@ def _(spark, sf):
     return t.join(names, ["request_id", "variant_no", "system"]).select("system", "norm", "code").distinct()
 
 
-@query("k9_negated_phrases", V.oracle_with(NV, _BASE, f"SELECT DISTINCT nv AS norm, unnest({_NEG('nv')}) AS phrase FROM q WHERE nv LIKE 'non %'"))
+@query("k9_negated_phrases", V.oracle_with(NV, _BASE, f"""SELECT DISTINCT norm, phrase FROM (
+  SELECT nv AS norm, array_to_string(ws[i + 1:i + k], ' ') AS phrase FROM (SELECT *, unnest([1, 2, 3]) AS k FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT DISTINCT nv, string_split(nv, ' ') AS ws FROM q)))
+  WHERE ws[i] = 'non' AND i + k <= len(ws) AND len(list_filter(ws[i + 1:i + k], lambda x: x NOT IN ({_STOP}))) > 0
+  UNION ALL SELECT nv, substr(w, 4) FROM (SELECT nv, unnest(string_split(nv, ' ')) AS w FROM q) WHERE starts_with(w, 'non') AND length(w) > 4 AND substr(w, 4) NOT IN ({_STOP}))"""))
 def _(spark, sf):
     n = mentions(spark, sf).select(F.explode("variants").alias("v")).select(T.normalize_lookup(F.col("v")).alias("norm")).distinct()
-    return n.where(F.col("norm").startswith("non ")).select("norm", F.explode(K.negated_phrases(F.col("norm"))).alias("phrase"))
+    return n.select("norm", F.explode(K.negated_phrases(F.col("norm"))).alias("phrase"))
 
 
 _TIERED = f"""{_FZ},
