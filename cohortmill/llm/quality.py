@@ -101,6 +101,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
     overall = (total["bad"] + 1) / (total["n"] + 2)
     hosts = shrink(counts.groupBy("h").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), F.lit(overall)).select(F.col("h").alias("_hh"), F.col("mean").alias("_up"))
     paths = shrink(counts.join(hosts, F.col("h").eqNullSafe(F.col("_hh"))), F.col("_up")).select(F.col("h").alias("_h"), F.col("p").alias("_p"), F.col("mean").alias("_bad"))
+    paths = stored(paths, "paths")  # so its size is known, and the texts need not move for a small table
     row = F.struct(*[F.col(f"`{c}`") for c in keep])
     whole = docs.select(row.alias("r"), F.col(host).alias("h"), F.col(path).alias("p"), F.length(text_of(text)).alias("size"), *[c.alias(n) for n, c in marks.items()])
     whole = whole.select("r", "h", "p", "size", model.logit().alias("evidence"))
