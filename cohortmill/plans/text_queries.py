@@ -106,7 +106,19 @@ _rule_query("e5_progression_after", "progression_after", _unnest("text LIKE 'Doc
     split_part(text, ' and at least', 1), 'Documented disease progression after receiving at least' || split_part(text, ' and at least', 2)]""", "AND"))
 _rule_query("e5_following_types", "following_types", _unnest("text LIKE '%of the following types:%'", """[
     'Advanced melanoma , who' || split_part(text, ', who', 2), 'Advanced sarcoma (bone, soft tissue) , who' || split_part(text, ', who', 2), 'Advanced lymphoma , who' || split_part(text, ', who', 2)]""", "OR"))
-_rule_query("e5_labelled", "labelled", None)
+_DOCUMENTED = "documented by histopathology and/or cytology"
+
+
+@query("e5_labelled", f"""SELECT p_partkey AS item_id, 'AND' AS operator, 0 AS clause_no, p_name || ' breast cancer {_DOCUMENTED}' AS clause FROM part WHERE p_partkey % 2 = 0
+    UNION ALL SELECT p_partkey, 'AND', 1, 'HER2-positive ' || p_brand FROM part WHERE p_partkey % 2 = 0""")
+def _(spark, sf):
+    """Labelled sentences made of the parts: breast cancers and others, with and without the documentation."""
+    V.register(spark, sf)
+    d = spark.sql(f"""SELECT p_partkey AS item_id, 'Histopathology and/or cytology documented ' || p_type || ', including: a) ' || p_name || CASE WHEN p_partkey % 2 = 0 THEN ' breast' ELSE ' lung' END || ' cancer' ||
+        CASE WHEN p_partkey % 3 = 0 THEN ' {_DOCUMENTED}' ELSE '' END || '.; b) HER2-positive ' || p_brand AS text FROM part""")
+    d = d.withColumn("r", N.RULES["labelled"](F.col("text"))).where(F.col("r").isNotNull())
+    return d.select("item_id", F.col("r.operator").alias("operator"), F.posexplode("r.texts").alias("clause_no", "clause"))
+
 
 
 @query("e5_decomposition", None)
