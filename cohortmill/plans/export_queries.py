@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cohortmill.functions import text as T
-from cohortmill.functions.scale import stage
+from cohortmill.functions.scale import stage, work_dir
 from cohortmill.operators import export as X
 from cohortmill.operators import reports as P
 from cohortmill.operators import runs as R
@@ -15,6 +17,7 @@ from cohortmill.plans.runs_queries import _CUR, _latest
 from cohortmill.sources import dictionaries as Dc
 from cohortmill.sources import patients as Pt
 from cohortmill.sources import studies as St
+from cohortmill.streaming import ingest as In
 
 # Study documents written from the trial view; every field is a table value.
 _STUDY = """SELECT trial_id, '{"protocolSection":{"identificationModule":{"nctId":"' || nct_id || '","briefTitle":"' || brief_title || '"},"statusModule":{' ||
@@ -57,6 +60,25 @@ def _(spark, sf):
     return St.trial_snapshot(studies(spark, sf)).select("nct_id", "content_hash")
 
 
+@query("c10_incremental_ingest", V.oracle("trials", "SELECT nct_id, brief_title, CASE WHEN trial_id % 5 = 0 THEN 'UNKNOWN' ELSE status END AS status, '- Age  over ' || CAST(trial_id % 90 AS STRING) AS eligibility_text FROM trials"))
+def _(spark, sf):
+    """Study lines as a stream, ingested until nothing is left, twice: the second run finds the same studies unchanged."""
+    base = f"{work_dir(spark)}/ingest/{uuid.uuid4().hex}"
+    for _ in range(2):
+        studies(spark, sf).select(F.col("raw_json").alias("value")).write.mode("append").text(f"{base}/in")
+        In.start(spark, f"{base}/in", f"{base}/store", f"{base}/checkpoint", lines=True).awaitTermination()
+    return spark.read.parquet(f"{base}/store/trials").select("nct_id", "brief_title", "status", "eligibility_text")
+
+
+@query("s5_criteria_sink", V.oracle("criteria", "SELECT criterion_id, run AS run_id, CASE WHEN review_required THEN 'pending' END AS review_status FROM criteria, (SELECT unnest(['a', 'b']) AS run)"))
+def _(spark, sf):
+    """Two runs' criteria, the first written twice."""
+    path = f"{work_dir(spark)}/criteria/{uuid.uuid4().hex}"
+    for run in ("a", "b", "a"):
+        St.write_criteria(V.criteria(spark, sf).select("criterion_id", "review_required"), path, run)
+    return spark.read.parquet(path).select("criterion_id", "run_id", "review_status")
+
+
 _ABBR = """SELECT lower(p_brand) AS abbr, p_name AS expansion, p_partkey AS place FROM part"""
 
 
@@ -64,9 +86,6 @@ _ABBR = """SELECT lower(p_brand) AS abbr, p_name AS expansion, p_partkey AS plac
 def _(spark, sf):
     """Dictionary records from the parts table, read back through the JSON-lines loader."""
     V.register(spark, sf)
-    from cohortmill.functions.scale import work_dir
-    import uuid
-
     path = f"{work_dir(spark)}/dictionary/{uuid.uuid4().hex}"
     rows = spark.sql(_ABBR).repartitionByRange(1, "place").sortWithinPartitions("place")
     rows.select(F.concat(F.to_json(F.struct("abbr", "expansion")), F.lit("\n# note\n")).alias("value")).write.text(path)
@@ -159,10 +178,6 @@ def _(spark, sf):
 @query("s7_document_sink", _STUDY_COUNTS)
 def _(spark, sf):
     """Documents written as text and read back, one per line."""
-    import uuid
-
-    from cohortmill.functions.scale import work_dir
-
     path = f"{work_dir(spark)}/documents/{uuid.uuid4().hex}"
     St.write_documents(_resources(spark, sf), path)
     return _counted(spark.read.text(path).select(F.col("value").alias("resource")))

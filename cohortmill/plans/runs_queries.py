@@ -101,6 +101,16 @@ def _(spark, sf):
     return R.version_rows(docs, "trial_id", ["started_at", "run_id"]).select("run_id", "trial_id", "version")
 
 
+@query("c8_next_versions", V.oracle("pipeline_runs", """SELECT trial_id, CAST(coalesce(s.top, 0) + 1 AS BIGINT) AS first_version, CAST(coalesce(s.top, 0) + n AS BIGINT) AS last_version
+       FROM (SELECT trial_id, count(*) AS n FROM pipeline_runs WHERE status = 'running' GROUP BY trial_id) i LEFT JOIN
+         (SELECT trial_id, count(*) AS top FROM pipeline_runs WHERE status = 'completed' GROUP BY trial_id) s USING (trial_id)"""))
+def _(spark, sf):
+    """Running runs are the incoming documents, completed ones the stored."""
+    runs = V.view(spark, sf, "pipeline_runs")
+    kept = R.version_rows(runs.where(F.col("status") == "completed"), "trial_id", ["started_at", "run_id"])
+    return R.next_versions(kept, runs.where(F.col("status") == "running"), "trial_id")
+
+
 _BATCH = """SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE 'NCT' || lpad(CAST(user_id AS STRING), 8, '0') END AS nct_id, props, value FROM events"""
 
 

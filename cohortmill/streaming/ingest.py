@@ -11,10 +11,10 @@ from cohortmill.operators.runs import changed
 from cohortmill.sources.studies import STUDY, parse_studies, trial_snapshot
 
 
-def read_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """Study files as a stream, one document per file."""
+def read_stream(spark: SparkSession, path: str, max_files: int = 1000, lines: bool = False) -> DataFrame:
+    """Study files as a stream, one document per file, or per line with ``lines``."""
     return (
-        spark.readStream.format("text").option("wholetext", "true").option("maxFilesPerTrigger", max_files).load(path)
+        spark.readStream.format("text").option("wholetext", str(not lines).lower()).option("maxFilesPerTrigger", max_files).load(path)
         .select(F.col("value").alias("raw_json"), F.col("_metadata.file_modification_time").alias("arrived_at"))
     )
 
@@ -61,9 +61,9 @@ def stored_trials(spark: SparkSession, store: str, before: int | None = None) ->
     return rows.groupBy("nct_id").agg(F.max_by(F.struct(*keep), "batch_id").alias("t")).select("nct_id", "t.*")
 
 
-def start(spark: SparkSession, source: str, store: str, checkpoint: str):
+def start(spark: SparkSession, source: str, store: str, checkpoint: str, lines: bool = False):
     """Process everything that has arrived, then stop; run again (or on a schedule) for more."""
     return (
-        read_stream(spark, source).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        read_stream(spark, source, lines=lines).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
         .foreachBatch(lambda df, i: ingest_batch(df, store, i)).start()
     )
