@@ -197,7 +197,21 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("op6_signature_join")
+OP6_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+'), []) AS words FROM documents),
+sh AS MATERIALIZED (
+  SELECT DISTINCT rid, array_to_string(words[i:i + least(3, len(words)) - 1], ' ') AS shingle
+  FROM (SELECT *, unnest(range(1, greatest(len(words) - 2, 1) + 1)) AS i FROM d WHERE len(words) > 0)),
+n AS MATERIALIZED (SELECT rid, count(*) AS n FROM sh GROUP BY rid),
+pair AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM sh a JOIN sh b USING (shingle) WHERE a.rid <> b.rid GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM pair JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach(rid, other) AS (SELECT rid, rid FROM d UNION SELECT r.rid, l.b FROM reach r JOIN links l ON l.a = r.other),
+low AS (SELECT reach.rid, min(d.doc_id) AS component_id FROM reach JOIN d ON d.rid = reach.other GROUP BY reach.rid)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN low USING (rid) LEFT JOIN n USING (rid)"""
+
+
+@query("op6_signature_join", OP6_SQL)
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicate groups of all documents: three words, 85 per cent."""
     out = minhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"), shingle_words=3, percent=85)
@@ -256,7 +270,18 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", F.round("quality_evidence", 6).alias("evidence"), F.round("quality", 6).alias("quality"), "accepted")
 
 
-@query("op8_nn_descent")
+OP8_SQL = """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS e,
+    embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS fine FROM embeddings),
+links AS MATERIALIZED (SELECT a.rid AS a, b.rid AS b FROM v a JOIN v b ON a.rid <> b.rid AND a.fine AND b.fine AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(rid, other) AS (SELECT rid, rid FROM v UNION SELECT r.rid, l.b FROM reach r JOIN links l ON l.a = r.other),
+low AS (SELECT reach.rid, min(v.vec_id) AS component_id FROM reach JOIN v ON v.rid = reach.other GROUP BY reach.rid),
+deg AS (SELECT a AS rid, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN low USING (rid) LEFT JOIN deg USING (rid)"""
+
+
+@query("op8_nn_descent", OP8_SQL)
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     """Links and groups of all embeddings."""
     return neighbours.near_vectors(table(spark, sf, "embeddings").select("vec_id", "embedding"))[0]
