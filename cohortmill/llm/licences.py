@@ -11,7 +11,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortmill.llm.rows import stored, text_of
+from cohortmill.llm.rows import least_hashes, stored, text_of
 
 BACKGROUND = 2_000    # corpus paragraphs that train the unknown class, at most
 COMMON = 0.01         # a template word in more of the background's paragraphs is no cue
@@ -175,7 +175,7 @@ def scan_licences(docs: DataFrame, model: Model | None = None, templates: list[t
         return out
 
     if model is None:
-        some = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("text")).withColumn("h", F.xxhash64("id", "text")).orderBy("h", "id").limit(BACKGROUND // 4)
+        some = least_hashes(docs.select(text_of(text).alias("text"), F.xxhash64(F.col(doc_id), text_of(text)).alias("h")), "h", BACKGROUND // 4)
         some = some.select(F.explode(F.slice(paragraphs_of(F.col("text")), 1, 8)).alias("text")).limit(BACKGROUND)
         w = words_of(F.col("text"))
         clean = F.lit(True)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from cohortmill.llm.components import components
-from cohortmill.llm.rows import stored
+from cohortmill.llm.rows import least_hashes, stored
 
 LIST = 16        # neighbours kept per vector while the graph is refined
 TREES = 10       # random hyperplane splits that start the graph
@@ -231,7 +231,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, keep: int = LIST,
         out = graph.select(F.col("node").alias("a"), F.explode("near").alias("n")).where(F.col("n.sim") >= threshold).select("a", F.col("n.other").alias("b"))
         return stored(out.unionByName(out.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near")
 
-    asked = nodes.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(ASKED).select("node", "v").collect()
+    asked = least_hashes(nodes.select("node", "v", F.xxhash64(F.lit(seed), "node").alias("h")), "h", ASKED).select("node", "v").collect()
     ids, held = np.array([r["node"] for r in asked], np.int64), [bytes(r["v"]) for r in asked]
     truth = stored(nodes.select("node", "v").mapInArrow(lambda it: _asked(it, ids, held, threshold, kind), "a long, b long"), "truth")
     graph, done, audit = None, 0, {}

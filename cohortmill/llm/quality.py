@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortmill.llm.rows import stored, text_of
+from cohortmill.llm.rows import least_hashes, stored, text_of
 from cohortmill.llm.urls import shrink
 
 FIT_ROWS = 20_000     # labelled rows the classifier is fitted on, at most
@@ -53,7 +53,7 @@ def fit(labelled: DataFrame, names: list[str], fit_rows: int = FIT_ROWS) -> Clas
 
     Without both classes there is no evidence: all weights are 0.
     """
-    sample = labelled.withColumn("_h", F.xxhash64("doc_id", "label")).orderBy("_h", "doc_id").limit(fit_rows)
+    sample = least_hashes(labelled.withColumn("_h", F.xxhash64("doc_id", "label")), "_h", fit_rows)
     sample = stored(sample.withColumn("_held", F.pmod("_h", F.lit(5)) == 0).select("label", "_held", *names), "sample")
     seen = {r["label"]: r["n"] for r in sample.where("not _held").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(seen) < 2:
