@@ -24,9 +24,9 @@ def features(text: Column) -> dict[str, Column]:
     lines = F.split(text, "\n")
     n = F.greatest(F.size(words), F.lit(1))
     return {
-        "f_upper": F.length(F.regexp_replace(text, r"[^\p{Lu}]", "")) / size,
-        "f_marks": F.length(F.regexp_replace(text, r"[^!?*#$%&|~^]", "")) / size,
-        "f_digits": F.length(F.regexp_replace(text, "[^0-9]", "")) / size,
+        "f_upper": F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")) / size,
+        "f_marks": F.length(F.regexp_replace(text, r"[^!?*#$%&|~^]+", "")) / size,
+        "f_digits": F.length(F.regexp_replace(text, "[^0-9]+", "")) / size,
         "f_distinct": F.size(F.array_distinct(words)) / n,
         "f_lines": 1 - F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1)),
         "f_word": F.least(size / n, F.lit(50.0)),
