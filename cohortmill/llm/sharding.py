@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from cohortmill.functions.scale import BROADCAST_ROWS
 from cohortmill.llm.rows import new_path, text_of
 
 BUCKET_BYTES = 8 << 20
@@ -56,6 +57,8 @@ def shuffle_shards(docs: DataFrame, shards: int = 8, seed: int = 17, path: str |
     sizes = written.groupBy("_shard", "_bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("_shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_shard", "_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
+    if shards * buckets <= BROADCAST_ROWS:  # one row per bucket, so the size is known; the written rows need not move again
+        offsets = F.broadcast(offsets)
     own = ("_size", "_shard", "_slot", "_grown")
     return written.join(offsets, ["_shard", "_bucket"]).select(
         *[F.col(f"r.`{c}`") for c in docs.columns if c not in own],
