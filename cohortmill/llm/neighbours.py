@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from cohortmill.llm.components import components
+from cohortmill.llm.components import components, relabel
 from cohortmill.llm.rows import least_hashes, stored
 
 LIST = 16        # neighbours kept per vector while the graph is refined
@@ -24,7 +24,7 @@ RECALL = 0.97    # of links, at which refinement ends
 ASKED = 256      # vectors of an audit
 BLOCK = 256      # vectors compared at once in an enlarged neighbourhood
 
-EDGES = "node long, near array<struct<sim:double,other:long>>"
+EDGES = "node long, near array<struct<sim:double,other:long>>, roots array<long>"
 
 
 def _matrix(column: pa.Array, rows: np.ndarray, kind: str) -> np.ndarray:
@@ -58,7 +58,7 @@ def _planted(batches: Iterator[pa.RecordBatch], depth: int, seed: int, trees: in
             for t in range(trees):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(rows), t * 1_000_000 + size, np.int64)), pa.array(code[:, t].astype(np.int64)), pa.array(side[:, t, depth]),
-                     batch.column(0).take(pa.array(rows)), column.take(pa.array(rows))], names=["tree", "code", "place", "node", "v"])
+                     batch.column(0).take(pa.array(rows)), column.take(pa.array(rows)), batch.column(2).take(pa.array(rows))], names=["tree", "code", "place", "node", "v", "group"])
 
 
 def _tables(batches: Iterator[pa.RecordBatch], keys: list[str], least: int) -> Iterator[pa.Table]:
@@ -85,13 +85,33 @@ def _tables(batches: Iterator[pa.RecordBatch], keys: list[str], least: int) -> I
 def _lists(nodes: np.ndarray, sims: list[np.ndarray], others: list[np.ndarray]) -> pa.RecordBatch:
     offsets = np.concatenate(([0], np.cumsum([len(s) for s in sims]))).astype(np.int32)
     flat = pa.StructArray.from_arrays([pa.array(np.concatenate(sims) if sims else np.zeros(0)), pa.array(np.concatenate(others) if others else np.zeros(0, np.int64))], names=["sim", "other"])
-    return pa.RecordBatch.from_arrays([pa.array(nodes), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["node", "near"])
-
-
-def _leaves(batches: Iterator[pa.RecordBatch], size: int, keep: int, kind: str) -> Iterator[pa.RecordBatch]:
-    """Nearest of each vector in pieces of at most 2 * size rows of a leaf."""
+    roots = pa.ListArray.from_arrays(pa.array(np.zeros(len(nodes) + 1, np.int32)), pa.array(np.zeros(0, np.int64)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes), pa.ListArray.from_arrays(pa.array(offsets), flat), roots], names=["node", "near", "roots"])
+
+
+def _ties(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """The links (a, b) as one row per node: the smallest node that it is connected with."""
+    ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    i, j = at[:len(a)], at[len(a):]
+    low, new = None, np.arange(len(ids))
+    while low is None or (new != low).any():
+        low = new
+        least = np.minimum(low[i], low[j])
+        new = low.copy()
+        np.minimum.at(new, low[i], least)
+        np.minimum.at(new, low[j], least)
+        new = new[new]
+    rows = np.flatnonzero(low != np.arange(len(ids)))
+    none = _lists(ids[rows], [np.zeros(0)] * len(rows), [np.zeros(0, np.int64)] * len(rows))
+    roots = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32)), pa.array(ids[low[rows]]))
+    return pa.RecordBatch.from_arrays([none.column(0), none.column(1), roots], names=["node", "near", "roots"])
+
+
+def _leaves(batches: Iterator[pa.RecordBatch], size: int, keep: int, threshold: float, kind: str) -> Iterator[pa.RecordBatch]:
+    """Nearest of each vector in pieces of at most 2 * size rows of a leaf, those of its group excluded, and what links tie together."""
     for t in _tables(batches, ["tree", "code"], 4096):
-        node, v = t.column("node").to_numpy(), t.column("v").chunk(0)
+        node, group, v = t.column("node").to_numpy(), t.column("group").to_numpy(), t.column("v").chunk(0)
+        one, two = [], []
         runs = _equal_runs(t.column("tree").to_numpy(), t.column("code").to_numpy())
         nodes, sims, others = [], [], []
         for a, b in zip(runs[:-1], runs[1:]):
@@ -101,34 +121,44 @@ def _leaves(batches: Iterator[pa.RecordBatch], size: int, keep: int, kind: str)
                     continue
                 x = _matrix(v, rows, kind)
                 s = x @ x.T
-                np.fill_diagonal(s, -2)
+                s[group[rows][:, None] == group[rows][None, :]] = -2
                 k = min(keep, len(rows) - 1)
                 best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                near = np.take_along_axis(s, best, 1)
+                fine = near > -2
                 nodes.append(node[rows])
-                sims.extend(np.take_along_axis(s, best, 1))
-                others.extend(node[rows][best])
+                sims.extend(near if fine.all() else [r[f] for r, f in zip(near, fine)])
+                others.extend(node[rows][best] if fine.all() else [node[rows][r[f]] for r, f in zip(best, fine)])
+                i, j = np.nonzero(np.triu(s >= threshold))
+                one.append(node[rows[i]])
+                two.append(node[rows[j]])
         if nodes:
             yield _lists(np.concatenate(nodes), sims, others)
+            yield _ties(np.concatenate(one), np.concatenate(two))
 
 
-def _local_join(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
-    """Pairs among a centre's members that are nearer than the worst neighbour of either."""
+def _local_join(batches: Iterator[pa.RecordBatch], threshold: float, kind: str) -> Iterator[pa.RecordBatch]:
+    """Pairs among a centre's members of different groups that are nearer than the worst neighbour of either, and what links tie together."""
     for t in _tables(batches, ["centre"], 4096):
-        node, worst, v = t.column("node").to_numpy(), t.column("worst").to_numpy(), t.column("v").chunk(0)
+        node, group, worst, v = t.column("node").to_numpy(), t.column("group").to_numpy(), t.column("worst").to_numpy(), t.column("v").chunk(0)
         runs = _equal_runs(t.column("centre").to_numpy())
-        a, b, sim = [], [], []
+        a, b, sim, one, two = [], [], [], [], []
         for lo, hi in zip(runs[:-1], runs[1:]):
             if hi - lo < 2:
                 continue
             x = _matrix(v, np.arange(lo, hi), kind)
             s = x @ x.T
-            i, j = np.nonzero(s > worst[lo:hi, None])
-            off = node[lo + i] != node[lo + j]
-            a.append(node[lo + i[off]])
-            b.append(node[lo + j[off]])
-            sim.append(s[i[off], j[off]])
+            s[group[lo:hi][:, None] == group[lo:hi][None, :]] = -2
+            i, j = np.nonzero(s > np.maximum(worst[lo:hi, None], -2))
+            a.append(node[lo + i])
+            b.append(node[lo + j])
+            sim.append(s[i, j])
+            i, j = np.nonzero(np.triu(s >= threshold))
+            one.append(node[lo + i])
+            two.append(node[lo + j])
         if not a:
             continue
+        yield _ties(np.concatenate(one), np.concatenate(two))
         a, b, sim = np.concatenate(a), np.concatenate(b), np.concatenate(sim)
         order = np.lexsort((b, a))
         a, b, sim = a[order], b[order], sim[order]
@@ -171,8 +201,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], threshold: float, kind: str) -> I
 
 
 def merged(lists: DataFrame, keep: int) -> DataFrame:
-    """The ``keep`` nearest different neighbours of each node."""
-    return lists.groupBy("node").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("near"))), asc=False), 1, keep).alias("near"))
+    """The ``keep`` nearest different neighbours of each node, and all nodes it is tied to."""
+    return lists.groupBy("node").agg(
+        F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("near"))), asc=False), 1, keep).alias("near"), F.array_distinct(F.flatten(F.collect_list("roots"))).alias("roots"))
 
 
 def vector_bytes(column: str, kind: str):
@@ -197,6 +228,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, keep: int = LIST,
     links are saturated: they are enlarged to everything reachable over links, compared in pairs of blocks of about BLOCK vectors, each
     a task's work. All links are decided in double precision. Links of other nodes are those of the lists, in either direction.
 
+    Every compared pair that links ties its nodes together before lists are cut, as one row per node and batch with the smallest node
+    connected there, so no link between two saturated lists is lost to the components. Components with saturated lists then search
+    on among one another: trees and rounds over their vectors alone, whose lists leave out the own component, until no compared pair links two.
+
     Vectors that are null, empty, all zero or hold null or non-finite components link with nothing; vectors of different length do not
     link. A null vec_id sorts last; repeated rows link with each other. Empty table: no rows, recall 1.
     """
@@ -208,24 +243,43 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, keep: int = LIST,
     grouped = rows.where("fine").groupBy("e").agg(F.min(last).alias("rep"), F.count(F.lit(1)).alias("size"))
     named = stored(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
     nodes = stored(named.select("node", "rep", "size", "e").mapInArrow(lambda it: _packed(it, kind), "node long, rep long, size long, v binary"), "vectors")
-    count = nodes.count()
-    depth = max(0, ceil(log2(max(1, count) / LEAF)))
 
-    def planted(n: int, s: int) -> DataFrame:
-        spread = nodes.select("node", "v").mapInArrow(lambda it: _planted(it, depth, s, n, kind), "tree long, code long, place double, node long, v binary")
+    def planted(pool: DataFrame, n: int, s: int) -> DataFrame:
+        depth = max(0, ceil(log2(max(1, pool.count()) / LEAF)))
+        spread = pool.mapInArrow(lambda it: _planted(it, depth, s, n, kind), "tree long, code long, place double, node long, v binary, group long")
         dealt = spread.repartitionByRange("tree", "code", "place").sortWithinPartitions("tree", "code", "place")
-        return dealt.mapInArrow(lambda it: _leaves(it, LEAF, keep, kind), EDGES)
+        return dealt.mapInArrow(lambda it: _leaves(it, LEAF, keep, threshold, kind), EDGES)
 
-    def refined(graph: DataFrame) -> DataFrame:
-        pairs = graph.select("node", F.explode("near").alias("n")).select(F.col("node").alias("centre"), F.col("n.other").alias("node"))
+    def refined(graph: DataFrame, pool: DataFrame, inside: DataFrame | None = None) -> DataFrame:
+        """``graph`` after a round; the lists of ``inside`` show the way, too."""
+        lists = graph.select("node", "near") if inside is None else graph.select("node", "near").unionByName(inside.select("node", "near"))
+        pairs = lists.select("node", F.explode("near").alias("n")).select(F.col("node").alias("centre"), F.col("n.other").alias("node"))
         some = Window.partitionBy("centre").orderBy(F.xxhash64("centre", "node"), "node")
         back = pairs.select(F.col("node").alias("centre"), F.col("centre").alias("node")).withColumn("i", F.row_number().over(some)).where(F.col("i") <= keep).drop("i")
-        own = graph.select(F.col("node").alias("centre"), "node")
+        own = pool.select(F.col("node").alias("centre"), "node")
         members = pairs.unionByName(back).unionByName(own).distinct()
         worst = graph.select("node", F.when(F.size("near") >= keep, F.array_min(F.transform("near", lambda x: x["sim"]))).otherwise(-2.0).alias("worst"))
-        known = nodes.select("node", "v").join(worst, "node")
+        known = pool.join(worst, "node", "left").withColumn("worst", F.coalesce("worst", F.lit(-2.0)))
         groups = members.join(known, "node").repartition("centre").sortWithinPartitions("centre")
-        return stored(merged(graph.unionByName(groups.mapInArrow(lambda it: _local_join(it, kind), EDGES)), keep), "graph")
+        return stored(merged(graph.unionByName(groups.mapInArrow(lambda it: _local_join(it, threshold, kind), EDGES)), keep), "graph")
+
+    def tied(graph: DataFrame) -> DataFrame:
+        return graph.select(F.col("node").alias("a"), F.explode("roots").alias("b"))
+
+    def joined(labels: DataFrame, crowded: DataFrame, graph: DataFrame, s: int) -> tuple[DataFrame, DataFrame]:
+        """``labels`` and ``crowded`` after the crowded components have been searched for links among one another."""
+        while crowded.select("label").distinct().limit(2).count() == 2:
+            pool = stored(crowded.join(nodes, "node").select("node", "v", F.col("label").alias("group")), "pool")
+            inside = graph.join(crowded.select("node"), "node", "left_semi")
+            outside = stored(merged(planted(pool, trees, s), keep), "graph")
+            for _ in range(rounds):
+                outside = refined(outside, pool, inside)
+            to = crowded.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+            more = components(tied(outside).join(crowded.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(to, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+            if not more.limit(1).count():
+                break
+            labels, crowded, s = stored(relabel(labels, more), "labels"), stored(relabel(crowded, more), "crowded"), s + 1
+        return labels, crowded
 
     def links_of(graph: DataFrame) -> DataFrame:
         out = graph.select(F.col("node").alias("a"), F.explode("near").alias("n")).where(F.col("n.sim") >= threshold).select("a", F.col("n.other").alias("b"))
@@ -234,17 +288,19 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, keep: int = LIST,
     asked = least_hashes(nodes.select("node", "v", F.xxhash64(F.lit(seed), "node").alias("h")), "h", ASKED).select("node", "v").collect()
     ids, held = np.array([r["node"] for r in asked], np.int64), [bytes(r["v"]) for r in asked]
     truth = stored(nodes.select("node", "v").mapInArrow(lambda it: _asked(it, ids, held, threshold, kind), "a long, b long"), "truth")
+    single = nodes.select("node", "v", F.col("node").alias("group"))
     graph, done, audit = None, 0, {}
     while True:
-        first = planted(trees, seed + done)
+        first = planted(single, trees, seed + done)
         graph = stored(merged(first if graph is None else graph.unionByName(first), keep), "graph")
         for _ in range(rounds):
-            graph = refined(graph)
+            graph = refined(graph, single)
         done += 1
         links = links_of(graph)
-        labels = components(links)
+        labels = components(links.unionByName(tied(graph)))
         full = graph.where(F.size("near") >= keep).where(F.array_min(F.transform("near", lambda x: x["sim"])) >= threshold).select("node")
         crowded = stored(labels.join(labels.join(full, "node", "left_semi").select("label").distinct(), "label", "left_semi").select("node", "label"), "crowded")
+        labels, crowded = joined(labels, crowded, graph, seed + 1000 * done)
         both = truth.join(crowded.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(crowded.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
         hit = both.join(links.withColumn("found", F.lit(True)), ["a", "b"], "left").agg(
             F.count(F.lit(1)).alias("all"), F.coalesce(F.sum((F.coalesce("found", F.lit(False)) | F.coalesce(F.col("la") == F.col("lb"), F.lit(False))).cast("int")), F.lit(0)).alias("hit")).first()

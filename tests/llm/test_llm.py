@@ -320,6 +320,25 @@ def test_vectors(spark):
     assert neighbours.near_vectors(df.limit(0))[0].count() == 0
 
 
+@pytest.mark.parametrize("many", [20, 400])
+def test_two_saturated_clusters_are_linked(spark, many):
+    """Lists that hold only the own cluster must not hide the links to the other one."""
+    ship(spark)
+    rng = np.random.default_rng(4)
+    far = rng.normal(size=(300, 16))
+    centre = np.zeros((2, 16))
+    centre[0, 0], centre[1, :2] = 1, (0.955, (1 - 0.955**2) ** 0.5)
+    noise = np.concatenate((np.zeros((2, many, 2)), 0.004 * rng.normal(size=(2, many, 14))), axis=2)
+    tight = (centre[:, None, :] + noise).reshape(-1, 16)
+    unit = tight / np.linalg.norm(tight, axis=1)[:, None]
+    cos = (unit @ unit.T)[:many, many:]
+    assert 0.95 < cos.min() and cos.max() < 0.96
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate((tight, far)))]
+    out = {r["vec_id"]: r for r in neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))[0].collect()}
+    assert {out[i]["component_id"] for i in range(2 * many)} == {0} and {out[i]["n_links"] for i in range(2 * many)} == {2 * many - 1}
+    assert [i for i in range(2 * many) if out[i]["kept"]] == [0]
+
+
 def test_pipeline(spark, tmp_path):
     sf = str(tmp_path)
     rng = random.Random(8)
