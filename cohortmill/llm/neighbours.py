@@ -19,9 +19,12 @@ LIST = 16        # neighbours kept per vector while the graph is refined
 TREES = 10       # random hyperplane splits that start the graph
 LEAF = 64        # vectors compared with one another at the start
 ROUNDS = 2       # refinements between two audits
-AUDITS = 3
-RECALL = 0.97    # of links, at which refinement ends
+AUDITS = 12      # audits below RECALL, after which the search fails
+RECALL = 0.97    # of a vector's links, on average, at which refinement ends
 ASKED = 256      # vectors of an audit
+LINKED = 64      # unsaturated vectors with links that an audit asks for
+FURTHER = 1_024  # unsaturated vectors drawn at once until there are so many
+DRAWS = 4        # draws of an audit; it states how many vectors it got
 BLOCK = 256      # vectors compared at once in an enlarged neighbourhood
 
 EDGES = "node long, near array<struct<sim:double,other:long>>, roots array<long>"
@@ -176,10 +179,13 @@ def _asked(batches: Iterator[pa.RecordBatch], nodes: np.ndarray, vectors: list[b
         mine = np.array([len(v.as_buffer()) for v in batch.column(1)])
         node = batch.column(0).to_numpy()
         for size in np.intersect1d(width, mine).tolist():
-            q, r = np.flatnonzero(width == size), np.flatnonzero(mine == size)
-            i, j = np.nonzero(_matrix(column, q, kind) @ _matrix(batch.column(1), r, kind).T >= threshold)
-            off = nodes[q[i]] != node[r[j]]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[q[i[off]]]), pa.array(node[r[j[off]]])], names=["a", "b"])
+            q, every = np.flatnonzero(width == size), np.flatnonzero(mine == size)
+            x = _matrix(column, q, kind)
+            for lo in range(0, len(every), 2048):
+                r = every[lo:lo + 2048]
+                i, j = np.nonzero(x @ _matrix(batch.column(1), r, kind).T >= threshold)
+                off = nodes[q[i]] != node[r[j]]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[q[i[off]]]), pa.array(node[r[j[off]]])], names=["a", "b"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], threshold: float, kind: str) -> Iterator[pa.RecordBatch]:
@@ -220,11 +226,13 @@ def _packed(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordB
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, keep: int = LIST, trees: int = TREES, rounds: int = ROUNDS, seed: int = 5,
                  vec_id: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, dict[str, float]]:
-    """(vec_id, n_links, component_id, kept) per row, and the audit: links found and asked for, recall, rounds.
+    """(vec_id, n_links, component_id, kept) per row, and the audit: links found and asked for, recall (of all and of unsaturated vectors), rounds.
 
     Equal vectors are one class. Random hyperplanes give the first neighbour lists; each round joins the neighbours of neighbours: the
     members of a node's list and of a bounded part of those it is listed in are compared with one another. An audit compares ASKED vectors with all others and
-    measures the recall of links; below RECALL further trees and rounds follow, at most AUDITS times. Lists whose neighbours are all
+    measures the recall of links: the mean over vectors that have links, each vector counting alike, and the same over unsaturated ones alone,
+    for which more of those are drawn until LINKED have links (DRAWS times at most). While either is below RECALL further trees and rounds follow;
+    after AUDITS audits below it a RuntimeError states the audit, no rows are returned. Lists whose neighbours are all
     links are saturated: they are enlarged to everything reachable over links, compared in pairs of blocks of about BLOCK vectors, each
     a task's work. All links are decided in double precision. Links of other nodes are those of the lists, in either direction.
 
@@ -285,9 +293,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, keep: int = LIST,
         out = graph.select(F.col("node").alias("a"), F.explode("near").alias("n")).where(F.col("n.sim") >= threshold).select("a", F.col("n.other").alias("b"))
         return stored(out.unionByName(out.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near")
 
-    asked = least_hashes(nodes.select("node", "v", F.xxhash64(F.lit(seed), "node").alias("h")), "h", ASKED).select("node", "v").collect()
-    ids, held = np.array([r["node"] for r in asked], np.int64), [bytes(r["v"]) for r in asked]
-    truth = stored(nodes.select("node", "v").mapInArrow(lambda it: _asked(it, ids, held, threshold, kind), "a long, b long"), "truth")
+    asked: list[int] = []
+
+    def truth_of(pool: DataFrame, n: int, first: bool) -> DataFrame:
+        """(a, b, first): all links of ``n`` more vectors of ``pool``."""
+        new = pool.join(spark.createDataFrame([(i,) for i in asked], "node long"), "node", "left_anti")
+        drawn = least_hashes(new.select("node", "v", F.xxhash64(F.lit(seed), "node").alias("h")), "h", n).select("node", "v").collect()
+        ids, held = np.array([r["node"] for r in drawn], np.int64), [bytes(r["v"]) for r in drawn]
+        asked.extend(ids.tolist())
+        return stored(nodes.select("node", "v").mapInArrow(lambda it: _asked(it, ids, held, threshold, kind), "a long, b long").withColumn("first", F.lit(first)), "truth")
+
+    truth = truth_of(nodes, ASKED, True)
     single = nodes.select("node", "v", F.col("node").alias("group"))
     graph, done, audit = None, 0, {}
     while True:
@@ -301,13 +317,26 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, keep: int = LIST,
         full = graph.where(F.size("near") >= keep).where(F.array_min(F.transform("near", lambda x: x["sim"])) >= threshold).select("node")
         crowded = stored(labels.join(labels.join(full, "node", "left_semi").select("label").distinct(), "label", "left_semi").select("node", "label"), "crowded")
         labels, crowded = joined(labels, crowded, graph, seed + 1000 * done)
+        free = nodes.join(crowded, "node", "left_anti")
+        for _ in range(DRAWS):
+            if truth.join(crowded.select(F.col("node").alias("a")), "a", "left_anti").select("a").distinct().count() >= LINKED:
+                break
+            before = len(asked)
+            truth = truth.unionByName(truth_of(free, FURTHER, False))
+            if len(asked) == before:
+                break
         both = truth.join(crowded.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(crowded.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-        hit = both.join(links.withColumn("found", F.lit(True)), ["a", "b"], "left").agg(
-            F.count(F.lit(1)).alias("all"), F.coalesce(F.sum((F.coalesce("found", F.lit(False)) | F.coalesce(F.col("la") == F.col("lb"), F.lit(False))).cast("int")), F.lit(0)).alias("hit")).first()
-        recall = hit["hit"] / hit["all"] if hit["all"] else 1.0
-        audit = {"asked": len(asked), "links": hit["all"], "found": hit["hit"], "recall": recall, "rounds": done * rounds}
-        if recall >= RECALL or done == AUDITS:
+        hit = both.join(links.withColumn("found", F.lit(True)), ["a", "b"], "left").groupBy("a", "first", F.col("la").isNull().alias("free")).agg(
+            F.count(F.lit(1)).alias("all"), F.sum((F.coalesce("found", F.lit(False)) | F.coalesce(F.col("la") == F.col("lb"), F.lit(False))).cast("int")).alias("hit"))
+        share = F.col("hit") / F.col("all")
+        seen = hit.agg(F.coalesce(F.sum("all"), F.lit(0)).alias("all"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hit"), F.coalesce(F.avg(F.when(F.col("first"), share)), F.lit(1.0)).alias("every"),
+                       F.coalesce(F.avg(F.when(F.col("free"), share)), F.lit(1.0)).alias("free"), F.count(F.when(F.col("free"), 1)).alias("n_free"), F.count(F.lit(1)).alias("n")).first()
+        audit = {"asked": len(asked), "linked": seen["n"], "linked_unsaturated": seen["n_free"], "links": seen["all"], "found": seen["hit"], "recall": seen["every"],
+                 "recall_unsaturated": seen["free"], "rounds": done * rounds}
+        if min(audit["recall"], audit["recall_unsaturated"]) >= RECALL:
             break
+        if done == AUDITS:
+            raise RuntimeError(f"recall of links stayed below {RECALL}: {audit}")
     sizes = crowded.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = crowded.join(sizes, "label").join(nodes.select("node", "size", "v"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(

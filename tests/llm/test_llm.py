@@ -339,6 +339,27 @@ def test_two_saturated_clusters_are_linked(spark, many):
     assert [i for i in range(2 * many) if out[i]["kept"]] == [0]
 
 
+def test_recall_counts_small_groups_and_is_enforced(spark, monkeypatch):
+    """One large group must not hide pairs that were missed elsewhere, and a low recall is no result."""
+    ship(spark)
+    rng = np.random.default_rng(7)
+    hot = np.eye(16)[0] + 0.01 * rng.normal(size=(200, 16))
+    one = rng.normal(size=(200, 16))
+    one /= np.linalg.norm(one, axis=1)[:, None]
+    two = rng.normal(size=(200, 16))
+    two -= (two * one).sum(axis=1)[:, None] * one
+    two = 0.96 * one + 0.28 * two / np.linalg.norm(two, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate((hot, one, two)))], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neighbours, "LEAF", 4)
+    monkeypatch.setattr(neighbours, "AUDITS", 1)
+    with pytest.raises(RuntimeError, match="recall_unsaturated"):
+        neighbours.near_vectors(df, keep=4, trees=1, rounds=1)
+    monkeypatch.setattr(neighbours, "AUDITS", 30)
+    out, audit = neighbours.near_vectors(df, keep=4, trees=3, rounds=1)
+    assert min(audit["recall"], audit["recall_unsaturated"]) >= neighbours.RECALL and audit["linked_unsaturated"] >= neighbours.LINKED
+    assert out.where("vec_id >= 200 and n_links > 0").count() >= 0.95 * 400
+
+
 def test_pipeline(spark, tmp_path):
     sf = str(tmp_path)
     rng = random.Random(8)
