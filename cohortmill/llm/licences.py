@@ -45,6 +45,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0."),
+    ("proprietary", "All rights reserved."),
     ("proprietary", "All rights reserved. No part of this work may be reproduced without written permission of the publisher."),
 ]
 #: Sentences around licences that grant nothing.
@@ -98,6 +99,14 @@ def paragraphs_of(text: Column) -> Column:
     return F.filter(F.split(text, r"\n+"), lambda p: F.length(F.trim(p)) > 0)
 
 
+def blocks_of(text: Column) -> Column:
+    """Neighbouring lines without a blank one between them, joined: (first and last paragraph number, text) where there are several."""
+    parts = F.transform(F.split(text, r"\n[^\S\n]*\n"), paragraphs_of)
+    sizes = F.transform(parts, F.size)
+    before = F.transform(parts, lambda b, i: F.struct(b.alias("b"), F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda acc, n: acc + n).alias("n")))
+    return F.transform(F.filter(before, lambda x: F.size(x["b"]) > 1), lambda x: F.struct((x["n"] + 1).alias("paragraph"), (x["n"] + F.size(x["b"])).alias("last"), F.array_join(x["b"], " ").alias("text")))
+
+
 def fit(spark: SparkSession, background: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> Model:
     """Sparse multinomial logistic regression over word 1- and 2-grams of the templates.
 
@@ -156,6 +165,9 @@ def scan_licences(docs: DataFrame, model: Model | None = None, templates: list[t
     computed inside the row: no shuffle, weights and templates are constants of fixed size. The classifier is fitted on templates
     and at most BACKGROUND corpus paragraphs (the first of rows in order of a hash); those that hold a template's words are left out.
 
+    A notice may be wrapped: neighbouring lines are judged joined, too, and count under their first line's number if they are confirmed
+    and none of the lines is confirmed for that family by itself.
+
     Null or empty text: no paragraphs. Ties between families go to the first in order. Repeated rows and null ids are judged alike.
     Empty table: no rows. Input columns of the added names are replaced.
     """
@@ -187,12 +199,17 @@ def scan_licences(docs: DataFrame, model: Model | None = None, templates: list[t
     keep = [c for c in docs.columns if c not in ("n_paragraphs", "licences")]
     none = F.array().cast("array<struct<paragraph:int,family:string,probability:double,confirmed:boolean>>")
     parts = paragraphs_of(text_of(text))
-    featured = F.transform(F.transform(parts, words_of), lambda w: F.struct(w.alias("w"), model.features(w).alias("g")))
-    judged = F.transform(featured, lambda x: F.struct(x["w"].alias("w"), model.probabilities(x["g"]).alias("p")))
-    best = F.transform(judged, lambda j: F.struct(j["w"].alias("w"), F.array_max(j["p"]).alias("top"), F.get(F.array(*map(F.lit, model.families)), (F.array_position(j["p"], F.array_max(j["p"])) - 1).cast("int")).alias("family")))
-    numbered = F.transform(best, lambda b, i: F.struct((i + 1).alias("paragraph"), b["family"].alias("family"), F.round(b["top"], 6).alias("probability"), b["w"].alias("w")))
+    lines = F.transform(parts, lambda p, i: F.struct((i + 1).alias("paragraph"), F.lit(0).alias("last"), p.alias("text")))
+    worded = F.transform(F.concat(lines, blocks_of(text_of(text))), lambda u: F.struct(u["paragraph"].alias("paragraph"), u["last"].alias("last"), words_of(u["text"]).alias("w")))
+    featured = F.transform(worded, lambda u: F.struct(u["paragraph"].alias("paragraph"), u["last"].alias("last"), u["w"].alias("w"), model.features(u["w"]).alias("g")))
+    judged = F.transform(featured, lambda x: F.struct(x["paragraph"].alias("paragraph"), x["last"].alias("last"), x["w"].alias("w"), model.probabilities(x["g"]).alias("p")))
+    best = F.transform(judged, lambda j: F.struct(j["paragraph"].alias("paragraph"), j["last"].alias("last"), j["w"].alias("w"), F.array_max(j["p"]).alias("top"), F.get(F.array(*map(F.lit, model.families)), (F.array_position(j["p"], F.array_max(j["p"])) - 1).cast("int")).alias("family")))
+    numbered = F.transform(best, lambda b: F.struct(b["paragraph"].alias("paragraph"), b["last"].alias("last"), b["family"].alias("family"), F.round(b["top"], 6).alias("probability"), b["w"].alias("w")))
     likely = F.filter(numbered, lambda b: (b["family"] != UNKNOWN) & (b["probability"] >= least))
-    out = F.transform(likely, lambda b: F.struct(b["paragraph"].alias("paragraph"), b["family"].alias("family"), b["probability"].alias("probability"), confirmed(b["w"], b["family"]).alias("confirmed")))
+    sure = F.transform(likely, lambda b: F.struct(b["paragraph"].alias("paragraph"), b["family"].alias("family"), b["probability"].alias("probability"), confirmed(b["w"], b["family"]).alias("confirmed"), b["last"].alias("last")))
+    single = lambda o, b: F.exists(o, lambda x: (x["last"] == 0) & x["confirmed"] & (x["family"] == b["family"]) & x["paragraph"].between(b["paragraph"], b["last"]))
+    wanted = F.transform(F.array(sure), lambda o: F.filter(o, lambda b: (b["last"] == 0) | (b["confirmed"] & ~single(o, b))))[0]
+    out = F.array_sort(F.transform(wanted, lambda b: F.struct(b["paragraph"].alias("paragraph"), b["family"].alias("family"), b["probability"].alias("probability"), b["confirmed"].alias("confirmed"))))
     if model.intercepts[0] == max(model.intercepts):  # a text without a cue is unknown throughout
         cue = F.arrays_overlap(words_of(text_of(text)), F.array(*map(F.lit, model.cues)))
         out = F.when(cue, out).otherwise(none)

@@ -259,6 +259,22 @@ def test_licences(spark):
     assert model.held_out > 0.85
 
 
+def test_licences_of_every_family_and_wrapped(spark):
+    rng = random.Random(5)
+    planted = {2 * i: (f, t) for i, (f, t) in enumerate(licences.TEMPLATES)}
+    texts = [" ".join(prose(rng, 30)) for _ in range(300)]
+    rows = [(i, t + ("\n\n" + planted[i][1] if i in planted else "")) for i, t in enumerate(texts)]
+    alone = range(200, 240)  # common enough to be in the background, too
+    rows = [(i, t + "\n" + "All rights reserved." if i in alone else t) for i, t in rows]
+    wrapped = {500 + i: (f, "\n".join(f" * {' '.join(t.split()[k:k + 5])}" for k in range(0, len(t.split()), 5))) for i, (f, t) in enumerate(licences.TEMPLATES) if len(t.split()) > 15}
+    rows += [(i, " ".join(prose(rng, 20)) + "\n\n" + t + "\n\n" + " ".join(prose(rng, 20))) for i, (_, t) in wrapped.items()]
+    out = licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r["doc_id"]: {x["family"] for x in r["licences"] if x["confirmed"]} for r in out}
+    want = {i: {f} for i, (f, _) in [*planted.items(), *wrapped.items()]} | {i: {"proprietary"} for i in alone}
+    assert {i: v for i, v in got.items() if v} == want
+    assert {x["paragraph"] for r in out if r["doc_id"] in wrapped for x in r["licences"] if x["confirmed"]} >= {2}
+
+
 def test_mixture(spark, docs, none):
     out = mixing.mix_sources(docs)
     assert out.count() == docs.count() and out.where("keep_rate is null or selected is null").count() == 0
