@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortmill.functions.ship import ship
-from cohortmill.llm import decontaminate, licences, minhash, mixing, neighbours, quality, secret_scan, sharding, substrings, urls
+from cohortmill.llm import decontaminate, licences, minhash, mixing, neighbours, prefix_trie, quality, secret_scan, sharding, substrings, urls
 from cohortmill.llm.rows import text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -285,3 +285,33 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     """Links and groups of all embeddings."""
     return neighbours.near_vectors(table(spark, sf, "embeddings").select("vec_id", "embedding"))[0]
+
+
+OP13_SQL = """
+WITH o AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p FROM conversations WHERE conv_id IS NOT NULL),
+s AS MATERIALIZED (SELECT conv_id, list({'role': role, 'text': text} ORDER BY p) AS t FROM o GROUP BY conv_id),
+h AS (
+  SELECT conv_id, t, xor(list_reduce(flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, CAST(4294967295 AS BIGINT)), 4294967295) % 9 AS h FROM s),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.t[1:h], []), h.t[h + 1:]) AS t FROM h LEFT JOIN s b ON b.conv_id = h.conv_id - h.conv_id % 5),
+k AS (SELECT conv_id, d, t[1:d] AS node, d = len(t) AS ends FROM (SELECT *, unnest(range(0, len(t) + 1)) AS d FROM r)),
+n AS MATERIALIZED (
+  SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM k GROUP BY node, d),
+c AS (SELECT node[1:d - 1] AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+x AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * strlen(n.node[-1].text) ELSE 0 END AS saved FROM n LEFT JOIN c USING (node)),
+a AS (
+  SELECT node[1:j] AS node, CAST(count(*) FILTER (n_children = 0) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS j FROM x) GROUP BY ALL)
+SELECT x.conv_id, x.d AS depth, u.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, saved_tokens, x.ends_sha256
+FROM x JOIN a USING (node) LEFT JOIN n u ON x.d > 0 AND u.d = x.d - 1 AND u.node = x.node[1:x.d - 1]"""
+
+
+@query("op13_conversation_trie", OP13_SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    """Trie over all conversations, each begun with up to eight turns of the one whose id is the next lower multiple of five."""
+    seqs = prefix_trie.sequences(table(spark, sf, "conversations"))
+    c = F.col("conv_id")
+    return prefix_trie.conversation_trie(prefix_trie.graft_heads(seqs, c - c % 5, F.crc32(c.cast("string")) % 9))
