@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortmill.functions.ship import ship
-from cohortmill.llm import decontaminate, licences, minhash, mixing, neighbours, prefix_trie, quality, secret_scan, sharding, substrings, urls
+from cohortmill.llm import decontaminate, licences, minhash, mixing, neighbours, prefix_trie, quality, secret_scan, sharding, substrings, token_pairs, urls
 from cohortmill.llm.rows import text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -315,3 +315,14 @@ def op13(spark: SparkSession, sf: str) -> DataFrame:
     seqs = prefix_trie.sequences(table(spark, sf, "conversations"))
     c = F.col("conv_id")
     return prefix_trie.conversation_trie(prefix_trie.graft_heads(seqs, c - c % 5, F.crc32(c.cast("string")) % 9))
+
+
+TOKENIZERS = "/opt/tokenizers"
+
+
+@query("op11_token_pairs")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    """Alignment of two public tokenizers over all documents."""
+    files = token_pairs.Files(f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    out = token_pairs.align_tokenizers(table(spark, sf, "documents").select("doc_id", "text"), files, digest=True).documents
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
