@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortmill.functions.ship import ship
-from cohortmill.llm import decontaminate, licences, minhash, mixing, neighbours, prefix_trie, quality, secret_scan, sharding, substrings, token_pairs, urls
+from cohortmill.llm import context_tree, decontaminate, licences, minhash, mixing, neighbours, prefix_trie, quality, secret_scan, sharding, substrings, token_pairs, urls
 from cohortmill.llm.rows import text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -326,3 +326,11 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
     files = token_pairs.Files(f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
     out = token_pairs.align_tokenizers(table(spark, sf, "documents").select("doc_id", "text"), files, digest=True).documents
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
+@query("op12_context_tree")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of all documents; a tenth of the ids is held out. A null id counts as empty."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
+    return context_tree.score_texts(docs, held_out)

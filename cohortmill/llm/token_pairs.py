@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -12,20 +11,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cohortmill.llm.rows import stored
+from cohortmill.llm.runs import BLOCK, FAN_IN, one_by_one, packed, send_back, starts, tallied, totals_of, unpacked
 
 RUN_LINKS = 6_000_000   # token links sorted at once in a task: a run
 CHUNK_BYTES = 1 << 20   # text aligned at once; a longer text is a chunk of its own
 BUCKETS = 16            # radix buckets by the id of the first tokenizer
-FAN_IN = 64             # runs merged at once
-SALT = 16               # runs of a bucket that one task sends contributions to
-BLOCK = 1 << 16         # pairs between two bounds of a merge
 DOC_BITS = 20           # documents of a run, in bits
 LARGE_GROUP = 4_096     # links of a group from which distinct ids are multiplied instead of tokens
 PLAIN_BYTE = 0xCA       # texts with bytes from here on (U+0280 and up) are left to the first tokenizer's own library
@@ -196,31 +193,6 @@ def align(texts: list[str | None], pair: Pair) -> Aligned:
     return Aligned(n_a, n_b, np.bincount(owner, minlength=len(texts)), n_links, groups, np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_t), count)
 
 
-def _packed(x: np.ndarray, ascending: bool = False) -> bytes:
-    """Zstandard frame of an integer array: a byte for the item size, then items, as steps if they ascend."""
-    if ascending:
-        x = np.diff(x, prepend=0)
-    kind = np.min_scalar_type(int(x.max(initial=0)))
-    return bytes([kind.itemsize]) + zstandard.ZstdCompressor(level=1).compress(x.astype(kind).tobytes())
-
-
-def _unpacked(x: bytes, ascending: bool = False) -> np.ndarray:
-    out = np.frombuffer(zstandard.ZstdDecompressor().decompress(x[1:]), f"u{x[0]}").astype(np.int64)
-    return np.cumsum(out) if ascending else out
-
-
-def _tallied(keys: np.ndarray, times: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order and how often each occurs."""
-    if times is None:
-        keys.sort()
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-        return keys[first], np.diff(first, append=len(keys))
-    order = np.argsort(keys, kind="stable")
-    keys, times = keys[order], times[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(times, first) if len(first) else times
-
-
 class _Radix:
     """Pair numbers whose order is bucket, then id of a, then id of b."""
 
@@ -256,23 +228,23 @@ def _runs(batches: Iterator[pa.RecordBatch], files: Files, text: str, digest: bo
 
     def close() -> pa.RecordBatch:
         weights = None if all(t is None for t in times) else np.concatenate([np.ones(len(k), np.int64) if t is None else t for k, t in zip(keys, times)])
-        key, often = _tallied(np.concatenate([np.zeros(0, np.int64), *keys]), weights)
+        key, often = tallied(np.concatenate([np.zeros(0, np.int64), *keys]), weights)
         number = key >> DOC_BITS
-        first = np.flatnonzero(np.diff(number, prepend=-1))
+        first = starts(number)
         count = np.diff(first, append=len(number))
         distinct = number[first]
         cut = np.searchsorted(distinct, radix.bounds())
-        out: dict[str, list] = {"bucket": [], "pairs": [], "counts": [], "members": [], "times": []}
+        out: dict[str, list] = {"bucket": [], "keys": [], "counts": [], "members": [], "times": []}
         for k in range(buckets):
             i, j = int(cut[k]), int(cut[k + 1])
             if i == j:
                 continue
             s = slice(int(first[i]), int(first[j]) if j < len(first) else len(key))
             out["bucket"].append(k)
-            out["pairs"].append(_packed(distinct[i:j], ascending=True))
-            out["counts"].append(_packed(count[i:j]))
-            out["members"].append(_packed(key[s] & ((1 << DOC_BITS) - 1)))
-            out["times"].append(_packed(often[s]))
+            out["keys"].append(packed(distinct[i:j], ascending=True))
+            out["counts"].append(packed(count[i:j]))
+            out["members"].append(packed(key[s] & ((1 << DOC_BITS) - 1)))
+            out["times"].append(packed(often[s]))
         n = len(out["bucket"])
         return rows({"run": pa.array([(task << 32) + seen] * n, pa.int64()), "docs": pa.array([docs] * n, pa.int64()), "bucket": pa.array(out.pop("bucket"), pa.int32())}
                     | {c: pa.array(v, pa.binary()) for c, v in out.items()})
@@ -300,71 +272,38 @@ def _runs(batches: Iterator[pa.RecordBatch], files: Files, text: str, digest: bo
         yield close()
 
 
-def merged(runs: list[tuple[np.ndarray, np.ndarray]], block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Heap merge of ascending (pairs, counts) runs into ascending pieces without repeats.
-
-    The heap holds the last pair of each run's next block. Everything up to the least of them is complete in all runs' next blocks,
-    so a piece is at most one block of each run.
-    """
-    place = [0] * len(runs)
-    heap = [(int(p[min(block, len(p)) - 1]), r) for r, (p, _) in enumerate(runs) if len(p)]
-    heapq.heapify(heap)
-    while heap:
-        bound = heap[0][0]
-        pairs, counts = [], []
-        for r, (p, c) in enumerate(runs):
-            j = place[r] + int(np.searchsorted(p[place[r]:place[r] + block], bound, side="right"))
-            pairs.append(p[place[r]:j])
-            counts.append(c[place[r]:j])
-            place[r] = j
-        yield _tallied(np.concatenate(pairs), np.concatenate(counts))
-        while heap and heap[0][0] <= bound:
-            r = heapq.heappop(heap)[1]
-            p = runs[r][0]
-            if place[r] < len(p):
-                heapq.heappush(heap, (int(p[min(place[r] + block, len(p)) - 1]), r))
-
-
-def _merge_group(table: pa.Table) -> pa.Table:
-    runs = [(_unpacked(p, True), _unpacked(c)) for p, c in zip(table.column("pairs").to_pylist(), table.column("counts").to_pylist())]
-    pieces = list(merged(runs))
-    pairs, counts = np.concatenate([p for p, _ in pieces]), np.concatenate([c for _, c in pieces])
-    first = table.slice(0, 1)
-    return pa.table({"bucket": first.column("bucket"), "part": first.column("part"), "pairs": pa.array([_packed(pairs, True)], pa.binary()), "counts": pa.array([_packed(counts)], pa.binary())})
-
-
 def _best(pairs: np.ndarray, counts: np.ndarray, radix: _Radix) -> np.ndarray:
     """Whether a pair's count is the highest of its id of a; pairs come in the order of that id."""
     side = radix.side(pairs)
-    first = np.flatnonzero(np.diff(side, prepend=-1))
+    first = starts(side)
+    if not len(first):
+        return np.zeros(0, bool)
     highest = np.maximum.reduceat(counts, first)
     return counts == np.repeat(highest, np.diff(first, append=len(side)))
 
 
 def _send_back(records: pa.Table, totals: pa.Table, files: Files, buckets: int) -> pa.Table:
     """For each run of a bucket: what its documents get from the bucket's counts."""
-    if not len(records):
-        return pa.table({"run": pa.array([], pa.int64()), "best": pa.array([], pa.binary()), "sums": pa.array([], pa.binary())})
-    pairs, counts = _unpacked(totals.column("pairs")[0].as_py(), True), _unpacked(totals.column("counts")[0].as_py())
-    best = _best(pairs, counts, _Radix(pair_of(files), buckets))
     out: dict[str, list] = {"run": [], "best": [], "sums": []}
-    for row in records.select(["run", "docs", "pairs", "counts", "members", "times"]).to_batches(max_chunksize=1):
-        run, docs, p, c, members, times = (x[0].as_py() for x in row.columns)
-        at = np.searchsorted(pairs, _unpacked(p, True))
-        at = np.repeat(at, _unpacked(c))
-        members, times = _unpacked(members), _unpacked(times)
+    if len(records):
+        pairs, counts = unpacked(totals.column("keys")[0].as_py(), True), unpacked(totals.column("counts")[0].as_py())
+        best = _best(pairs, counts, _Radix(pair_of(files), buckets))
+    for run, docs, p, c, members, times in one_by_one(records, ["run", "docs", "keys", "counts", "members", "times"]):
+        at = np.searchsorted(pairs, unpacked(p, True))
+        at = np.repeat(at, unpacked(c))
+        members, times = unpacked(members), unpacked(times)
         sums, tops = np.zeros(docs, np.int64), np.zeros(docs, np.int64)
         np.add.at(sums, members, times * counts[at])
         np.add.at(tops, members, times * best[at])
         out["run"].append(run)
-        out["best"].append(_packed(tops))
-        out["sums"].append(_packed(sums))
+        out["best"].append(packed(tops))
+        out["sums"].append(packed(sums))
     return pa.table({"run": pa.array(out["run"], pa.int64()), "best": pa.array(out["best"], pa.binary()), "sums": pa.array(out["sums"], pa.binary())})
 
 
 def _added(table: pa.Table) -> pa.Table:
-    best = sum(_unpacked(x.as_py()) for x in table.column("best"))
-    sums = sum(_unpacked(x.as_py()) for x in table.column("sums"))
+    best = sum(unpacked(x.as_py()) for x in table.column("best"))
+    sums = sum(unpacked(x.as_py()) for x in table.column("sums"))
     return pa.table({"run": pa.array(np.full(len(sums), table.column("run")[0].as_py()), pa.int64()), "doc": pa.array(np.arange(len(sums)), pa.int32()),
                      "n_best": pa.array(best, pa.int64()), "count_sum": pa.array(sums, pa.int64())})
 
@@ -398,27 +337,17 @@ def align_tokenizers(docs: DataFrame, files: Files, text: str = "text", digest:
     schema = T.StructType([
         *[T.StructField(c, t) for c, t in (("run", T.LongType()), ("doc", T.IntegerType()))], packed.schema["row"],
         *[T.StructField(c, t) for c, t in OWN.items() if c not in ("n_best", "count_sum")],
-        *[T.StructField(c, t) for c, t in (("docs", T.LongType()), ("bucket", T.IntegerType()), *((c, T.BinaryType()) for c in ("pairs", "counts", "members", "times")))],
+        *[T.StructField(c, t) for c, t in (("docs", T.LongType()), ("bucket", T.IntegerType()), *((c, T.BinaryType()) for c in ("keys", "counts", "members", "times")))],
     ])
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
-    from pyspark.sql.pandas.types import to_arrow_schema
     arrow = to_arrow_schema(schema)
     parts = stored(packed.mapInArrow(lambda it: _runs(it, files, "text", digest, buckets, run_links, arrow), schema), "token-runs")
     records = parts.where("bucket is not null")
 
     n = records.select("run").distinct().count()
-    level = records.select("bucket", F.xxhash64("run").alias("part"), "pairs", "counts")
-    shape = "bucket int, part long, pairs binary, counts binary"
-    while n > fan_in:
-        n = -(-n // fan_in)
-        level = stored(level.withColumn("part", F.pmod("part", F.lit(n))).groupBy("bucket", "part").applyInArrow(_merge_group, shape), "token-merge")
-        level = level.withColumn("part", F.xxhash64("part"))
-    totals = stored(level.withColumn("part", F.lit(0).cast("long")).groupBy("bucket", "part").applyInArrow(_merge_group, shape), "token-counts")
-
-    salts = max(1, -(-records.select("run").distinct().count() // SALT))
-    salted = records.select("run", "docs", "bucket", "pairs", "counts", "members", "times", F.pmod(F.xxhash64("run"), F.lit(salts)).alias("salt"))
-    copies = totals.select("bucket", "pairs", "counts", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    sent = salted.groupBy("bucket", "salt").cogroup(copies.groupBy("bucket", "salt")).applyInArrow(lambda r, t: _send_back(r, t, files, buckets), "run long, best binary, sums binary")
+    totals = totals_of(records, n, fan_in)
+    sent = send_back(records.select("run", "docs", "bucket", "keys", "counts", "members", "times"), totals, n, lambda r, t: _send_back(r, t, files, buckets),
+                     "run long, best binary, sums binary")
     gained = sent.groupBy("run").applyInArrow(_added, "run long, doc int, n_best long, count_sum long")
     own = parts.where("doc is not null").select("run", "doc", "row", *[c for c in OWN if c not in ("n_best", "count_sum")])
     documents = own.join(gained, ["run", "doc"], "left").select(
@@ -429,12 +358,12 @@ def align_tokenizers(docs: DataFrame, files: Files, text: str = "text", digest:
     def spelt(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         radix = _Radix(pair_of(files), buckets)
         for batch in it:
-            for p, c in zip(batch.column("pairs").to_pylist(), batch.column("counts").to_pylist()):
-                p, c = _unpacked(p, True), _unpacked(c)
+            for p, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
+                p, c = unpacked(p, True), unpacked(c)
                 a, b = radix.ids(p)
                 best = _best(p, c, radix)
                 for i in range(0, len(p), BLOCK):
                     s = slice(i, i + BLOCK)
                     yield pa.RecordBatch.from_arrays([pa.array(a[s]), pa.array(b[s]), pa.array(c[s]), pa.array(best[s])], names=["a_id", "b_id", "n_docs", "best"])
 
-    return Alignment(documents, totals.select("pairs", "counts").mapInArrow(spelt, "a_id long, b_id long, n_docs long, best boolean"))
+    return Alignment(documents, totals.select("keys", "counts").mapInArrow(spelt, "a_id long, b_id long, n_docs long, best boolean"))
