@@ -13,12 +13,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from cohortmill.llm.rows import stored
-from cohortmill.llm.runs import BLOCK, FAN_IN, one_by_one, packed, send_back, starts, tallied, totals_of, unpacked
+from cohortmill.llm.runs import BLOCK, FAN_IN, merged, one_by_one, packed, send_back, starts, tallied, totals_of, unpacked
 from cohortmill.llm.tokens import LOWER, SPACES, Words, mix, text_chunks
 
 DEPTH = 5               # bytes of the longest context
 RUN_BYTES = 24 << 20    # text whose sequences are sorted at once in a task: a run
 RUN_DOCS = 1 << 18
+COUNT_BYTES = 4 << 20   # text of a run whose sequences are held one by one
+CHUNK_BYTES = 1 << 19   # text handled at once; a longer text is a chunk of its own
 BUCKETS = 64            # of the two nearest context bytes, and of words
 EDGE = 0xFF             # ends a text and stands before it; occurs in no UTF-8 text
 END_WORD = np.uint64(0x5BD1E995CAFEF00D)  # key of the token that ends a text
@@ -165,22 +167,42 @@ def log10_probability(grams: np.ndarray, tree: dict[tuple[int, int], _Nodes], to
 def sequences_of(data: np.ndarray, bounds: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """For every byte of each text and its end: the byte and the ``depth`` ones before as one number, nearest first; and the text's number."""
     n = len(bounds) - 1
-    text = np.repeat(np.arange(n), np.diff(bounds) + 1)
-    spot = np.arange(len(text)) + depth * (text + 1)
-    line = np.full(len(text) + depth * n, EDGE, np.int64)
-    inside = np.ones(len(text), bool)
-    inside[bounds[1:] + np.arange(n)] = False
-    line[spot[inside]] = data
-    out = np.zeros(len(text), np.int64)
+    text = np.repeat(np.arange(n, dtype=np.int32), np.diff(bounds) + 1)
+    # One line of all texts, each with ``depth`` edges before and one after it; ``own`` marks what is to be coded.
+    line = np.full(len(text) + depth * n, EDGE, np.uint8)
+    own = np.ones(len(line), bool)
+    begin = bounds[:-1] + np.arange(n) * (depth + 1)
+    own[(begin[:, None] + np.arange(depth)).ravel()] = False
+    filled = own.copy()
+    filled[bounds[1:] + np.arange(1, n + 1) * depth + np.arange(n)] = False
+    line[filled] = data
+    out = np.zeros(len(line) - depth if n else 0, np.int64)
     for back in range(1, depth + 1):
-        out = out << 8 | line[spot - back]
-    return out << 8 | line[spot], text
+        out |= line[depth - back:len(line) - back]
+        out <<= 8
+    out |= line[depth:]
+    return out[own[depth:]], text
 
 
-def _gram_keys(data: np.ndarray, bounds: np.ndarray, depth: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def _bucket_bits(depth: int, buckets: int) -> np.ndarray:
+    """For each two context bytes their bucket, in the bits above a sequence."""
+    return (mix(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(buckets)).astype(np.int64) << (8 * (depth + 1))
+
+
+def _gram_keys(data: np.ndarray, bounds: np.ndarray, depth: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     grams, text = sequences_of(data, bounds, depth)
-    bucket = mix((grams >> (8 * (depth - 1))).astype(np.uint64)) % np.uint64(buckets)
-    return bucket.astype(np.int64) << (8 * (depth + 1)) | grams, text
+    grams |= bits[grams >> (8 * (depth - 1))]
+    return grams, text
+
+
+def looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Value of each key; equal keys are brought together first, so the large table is asked once for each."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    first = starts(ordered)
+    out = np.empty(len(keys))
+    out[order] = np.repeat(values[np.searchsorted(known, ordered[first])], np.diff(first, append=len(keys)))
+    return out
 
 
 def _word_keys(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,20 +216,32 @@ def _word_keys(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 def _runs(batches: Iterator[pa.RecordBatch], depth: int, buckets: int, run_bytes: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Rows of documents with their lower-cased text, and per run and bucket the sorted sequences and words with their counts in texts to learn from."""
     task, seen, docs, held = TaskContext.get().partitionId(), 0, 0, 0
-    keys: dict[int, list[np.ndarray]] = {GRAM: [], WORD: []}
+    keys: dict[int, list[np.ndarray]] = {GRAM: [], WORD: []}      # of the last texts, with the lowest bit for a text to learn from
+    counted: dict[int, list[tuple]] = {GRAM: [], WORD: []}         # of the texts before: distinct keys and counts
+    fresh = 0
+    bits = _bucket_bits(depth, buckets)
     cut = {GRAM: np.arange(1, buckets) << (8 * (depth + 1)), WORD: np.arange(1, buckets) * ((1 << 62) // buckets)}
 
     def rows(columns: dict) -> pa.RecordBatch:
         n = len(next(iter(columns.values())))
         return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
+    def count() -> None:
+        for kind, parts in keys.items():
+            if parts:
+                both = np.concatenate(parts)
+                parts.clear()
+                both.sort()
+                first = starts(both >> 1)
+                counted[kind].append((both[first] >> 1, np.add.reduceat(both & 1, first)))
+
     def close() -> pa.RecordBatch:
+        count()
         out: dict[str, list] = {"kind": [], "bucket": [], "keys": [], "counts": []}
-        for kind, parts in keys.items():
-            both = np.concatenate(parts)  # with the lowest bit for a text to learn from
-            both.sort()
-            first = starts(both >> 1)
-            distinct, counts = both[first] >> 1, np.add.reduceat(both & 1, first)
+        for kind, parts in counted.items():
+            pieces = list(merged(parts))
+            parts.clear()
+            distinct, counts = np.concatenate([k for k, _ in pieces]), np.concatenate([c for _, c in pieces])
             ends = [0, *np.searchsorted(distinct, cut[kind]).tolist(), len(distinct)]
             for b, (i, j) in enumerate(zip(ends, ends[1:])):
                 if i < j:
@@ -220,13 +254,19 @@ def _runs(batches: Iterator[pa.RecordBatch], depth: int, buckets: int, run_bytes
     for batch in batches:
         names = batch.schema.names
         learn = ~np.array(batch.column(names.index("held_out")).to_pylist(), bool)
-        for i, j, data, bounds in text_chunks(batch.column(names.index("text"))):
+        for i, j, data, bounds in text_chunks(batch.column(names.index("text")), CHUNK_BYTES):
             if docs and (held + len(data) > run_bytes or docs + j - i > RUN_DOCS):
                 yield close()
-                seen, docs, held, keys = seen + 1, 0, 0, {GRAM: [], WORD: []}
+                seen, docs, held, fresh = seen + 1, 0, 0, 0
             low = LOWER[data]
-            for kind, (key, text) in ((GRAM, _gram_keys(low, bounds, depth, buckets)), (WORD, _word_keys(low, bounds))):
-                keys[kind].append(key << 1 | learn[i:j][text])
+            for kind, (key, text) in ((GRAM, _gram_keys(low, bounds, depth, bits)), (WORD, _word_keys(low, bounds))):
+                key <<= 1
+                key |= learn[i:j][text]
+                keys[kind].append(key)
+            fresh += len(data)
+            if fresh > COUNT_BYTES:
+                count()
+                fresh = 0
             offsets = pa.py_buffer(bounds.astype(np.int64))
             yield rows({
                 "run": pa.array([(task << 32) + seen] * (j - i), pa.int64()), "row": batch.column(names.index("row")).slice(i, j - i),
@@ -265,11 +305,12 @@ def _scored(docs: pa.Table, answers: pa.Table, depth: int, buckets: int, tokens:
     out: dict[str, list] = {c: [] for c in OWN if c != "held_out"}
     text = docs.column("low").combine_chunks() if len(docs) else pa.array([], pa.binary())
     text = pa.concat_arrays(text.chunks) if isinstance(text, pa.ChunkedArray) else text
-    for i, j, data, bounds in text_chunks(text):
+    bits = _bucket_bits(depth, buckets)
+    for i, j, data, bounds in text_chunks(text, CHUNK_BYTES):
         n = j - i
         value, n_keys = {}, {}
-        for kind, (key, owner) in ((GRAM, _gram_keys(data, bounds, depth, buckets)), (WORD, _word_keys(data, bounds))):
-            value[kind], n_keys[kind] = (known[kind][1][np.searchsorted(known[kind][0], key)], owner), np.bincount(owner, minlength=n)
+        for kind, (key, owner) in ((GRAM, _gram_keys(data, bounds, depth, bits)), (WORD, _word_keys(data, bounds))):
+            value[kind], n_keys[kind] = (looked_up(key, *known[kind]), owner), np.bincount(owner, minlength=n)
         count, owner = value[WORD]
         base = np.log10((count + 0.1) / (tokens + 0.1 * (distinct + 1)))
         score = np.bincount(value[GRAM][1], weights=value[GRAM][0], minlength=n)
