@@ -63,11 +63,73 @@ def _(spark, sf):
 @query("c10_incremental_ingest", V.oracle("trials", "SELECT nct_id, brief_title, CASE WHEN trial_id % 5 = 0 THEN 'UNKNOWN' ELSE status END AS status, '- Age  over ' || CAST(trial_id % 90 AS STRING) AS eligibility_text FROM trials"))
 def _(spark, sf):
     """Study lines as a stream, ingested until nothing is left, twice: the second run finds the same studies unchanged."""
+    return spark.read.parquet(f"{_ingested(spark, sf)}/trials").where("batch_id < 2").select("nct_id", "brief_title", "status", "eligibility_text")
+
+
+_stores: dict[tuple[str, str], str] = {}
+
+
+def _ingested(spark, sf):
+    """A store, made once per session, after three batches of study lines: all studies, the same again, then those of every third trial in a new form with one site."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at in _stores:
+        return _stores[at]
     base = f"{work_dir(spark)}/ingest/{uuid.uuid4().hex}"
-    for _ in range(2):
-        studies(spark, sf).select(F.col("raw_json").alias("value")).write.mode("append").text(f"{base}/in")
+    lines = studies(spark, sf).select("trial_id", F.col("raw_json").alias("value"))
+    third = lines.where("trial_id % 3 = 0").withColumn("value", F.regexp_replace("value", r',\{"facility":"Second","country":"C1"\}', ""))
+    for rows in (lines, lines, third):
+        rows.select("value").write.mode("append").text(f"{base}/in")
         In.start(spark, f"{base}/in", f"{base}/store", f"{base}/checkpoint", lines=True).awaitTermination()
-    return spark.read.parquet(f"{base}/store/trials").select("nct_id", "brief_title", "status", "eligibility_text")
+    _stores[at] = f"{base}/store"
+    return _stores[at]
+
+
+@query("c10_ingest_outcomes", V.oracle("trials", """SELECT batch_id, status, count(*) AS n FROM (
+       SELECT 0 AS batch_id, 'ingested' AS status FROM trials UNION ALL SELECT 1, 'skipped' FROM trials UNION ALL SELECT 2, 'ingested' FROM trials WHERE trial_id % 3 = 0) GROUP BY ALL"""))
+def _(spark, sf):
+    """Outcomes by batch, judged against the stream's state."""
+    return spark.read.parquet(f"{_ingested(spark, sf)}/outcomes").groupBy("batch_id", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("c10_ingest_runs", V.oracle("trials", """SELECT nct_id, CAST(batch_id AS BIGINT) AS batch_id, nct_id || '-' || CAST(batch_id AS STRING) AS run_id, 'completed' AS status, 1 AS n_criteria
+       FROM trials, (SELECT unnest([0, 2]) AS batch_id) WHERE batch_id = 0 OR trial_id % 3 = 0"""))
+def _(spark, sf):
+    """Run rows of the ingested trials; every narrative of the view is one criterion."""
+    return spark.read.parquet(f"{_ingested(spark, sf)}/runs").select("nct_id", F.col("batch_id").cast("long").alias("batch_id"), "run_id", "status", "n_criteria")
+
+
+@query("s2_site_replacement", V.oracle("trials", """SELECT nct_id, 'Site ' || CAST(trial_id AS STRING) AS facility, brief_title AS city, 'C' || CAST(trial_id % 7 AS STRING) AS country, trial_id % 90 + 0.5 AS latitude FROM trials
+       UNION ALL SELECT nct_id, 'Second', NULL, 'C1', NULL FROM trials WHERE trial_id % 3 <> 0"""))
+def _(spark, sf):
+    """Stored sites after a third of the trials came back with one site less."""
+    return In.stored_sites(spark, _ingested(spark, sf)).select("nct_id", "facility", "city", "country", "latitude")
+
+
+@query("c3_keyed_upsert", V.oracle("trials", """SELECT nct_id, brief_title, CASE WHEN trial_id % 5 = 0 THEN 'UNKNOWN' ELSE status END AS status, CASE WHEN trial_id % 3 = 0 THEN 1 ELSE 2 END AS n_sites FROM trials"""))
+def _(spark, sf):
+    """Stored trials after the upserts, with the number of their stored sites."""
+    store = _ingested(spark, sf)
+    n = In.stored_sites(spark, store).groupBy("nct_id").agg(F.count(F.lit(1)).alias("n_sites"))
+    return In.stored_trials(spark, store).join(n, "nct_id").select("nct_id", "brief_title", "status", "n_sites")
+
+
+@query("c9_file_scan", V.oracle("trials", """SELECT status, error_message, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT nct_id) AS n_trials FROM (
+       SELECT CASE WHEN trial_id % 11 > 1 THEN nct_id END AS nct_id, CASE WHEN trial_id % 11 <= 1 THEN 'failed' WHEN trial_id % 4 = 0 THEN 'skipped' ELSE 'ingested' END AS status,
+         CASE trial_id % 11 WHEN 0 THEN 'Record is not a JSON document' WHEN 1 THEN 'Search result missing NCT ID' END AS error_message, 1 AS n FROM trials
+       UNION ALL SELECT nct_id, 'superseded', NULL, 1 FROM trials WHERE trial_id % 11 > 1 AND trial_id % 7 = 0
+       UNION ALL SELECT NULL, 'failed', 'Record has no protocol section', 1 FROM trials WHERE trial_id % 13 = 0) GROUP BY status, error_message"""))
+def _(spark, sf):
+    """Outcomes of a scan over written files in which records are cut short, keyless, foreign or repeated; every fourth trial is stored already."""
+    lines = studies(spark, sf)
+    value = F.when(F.col("trial_id") % 11 == 0, F.expr("left(raw_json, length(raw_json) - 5)")).when(
+        F.col("trial_id") % 11 == 1, F.regexp_replace("raw_json", '"nctId":"[^"]*",', "")).otherwise(F.col("raw_json"))
+    again = lines.where("trial_id % 11 > 1 and trial_id % 7 = 0").select("raw_json")
+    other = lines.where("trial_id % 13 = 0").select(F.lit('{"derivedSection":{}}').alias("raw_json"))
+    path = f"{work_dir(spark)}/scan/{uuid.uuid4().hex}"
+    lines.select(value.alias("raw_json")).unionByName(again).unionByName(other).write.text(path)
+    stored = St.trial_snapshot(lines.where("trial_id % 4 = 0")).select("nct_id", "content_hash")
+    out = St.scan_outcomes(spark.read.text(path).select(F.col("value").alias("raw_json")), stored)
+    return out.groupBy("status", "error_message").agg(F.sum("n").alias("n"), F.countDistinct("nct_id").alias("n_trials"))
 
 
 @query("s5_criteria_sink", V.oracle("criteria", "SELECT criterion_id, run AS run_id, CASE WHEN review_required THEN 'pending' END AS review_status FROM criteria, (SELECT unnest(['a', 'b']) AS run)"))

@@ -37,6 +37,36 @@ def parse_studies(rows: DataFrame, column: str = "raw_json") -> DataFrame:
     return rows.withColumn("s", F.from_json(column, STUDY))
 
 
+def record_error() -> Column:
+    """Why a record (raw_json, s) can't be ingested; null where it can. A bad record fails alone."""
+    nct = F.col("s.protocolSection.identificationModule.nctId")
+    return (
+        F.when(F.try_parse_json("raw_json").isNull() | ~F.coalesce(F.trim("raw_json").startswith("{"), F.lit(False)), "Record is not a JSON document")
+        .when(F.col("s.protocolSection").isNull(), "Record has no protocol section")
+        .when(nct.isNull() | (F.length(nct) == 0), "Search result missing NCT ID")
+    )
+
+
+def scan_outcomes(records: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """(nct_id, status, error_message, n): outcomes of all records (raw_json) of a scan; n adds up to the number of records.
+
+    Of several records of one id the one with the greatest content hash counts, the others are superseded; it is skipped
+    where ``stored`` (nct_id, content_hash) has that hash. Records that can't be read are counted per error. Everything is an
+    aggregate of ids and hashes, so an id that owns a third of all records costs one row a task.
+    """
+    read = parse_studies(records).withColumn("error_message", record_error()).withColumn("content_hash", study_hash())
+    nct = F.col("s.protocolSection.identificationModule.nctId").alias("nct_id")
+    failed = read.where("error_message is not null").groupBy("error_message").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(None).cast("string").alias("nct_id"), F.lit("failed").alias("status"), "error_message", "n")
+    top = read.where("error_message is null").select(nct, "content_hash").groupBy("nct_id").agg(F.max("content_hash").alias("content_hash"), F.count(F.lit(1)).alias("records"))
+    known = top.withColumn("known", F.lit(False)) if stored is None else top.join(
+        stored.select("nct_id", "content_hash", F.lit(True).alias("known")), ["nct_id", "content_hash"], "left")
+    rows = known.select("nct_id", F.explode(F.array(
+        F.struct(F.when(F.col("known"), "skipped").otherwise("ingested").alias("status"), F.lit(1).cast("long").alias("n")),
+        F.struct(F.lit("superseded").alias("status"), (F.col("records") - 1).alias("n")))).alias("o")).where("o.n > 0")
+    return rows.select("nct_id", "o.status", F.lit(None).cast("string").alias("error_message"), "o.n").unionByName(failed)
+
+
 def parse_instant(text: Column) -> Column:
     """Full ISO dates or date-times as UTC instants; partial dates such as 2024-01 are null."""
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text.try_cast("timestamp"))
@@ -115,12 +145,6 @@ def sites(studies: DataFrame) -> DataFrame:
              F.col("l.geoPoint.lat").alias("latitude"), F.col("l.geoPoint.lon").alias("longitude"))
 
 
-def replace_sites(stored: DataFrame, incoming_trials: DataFrame, new_sites: DataFrame) -> DataFrame:
-    """Stored sites without those of re-ingested trials, plus the new ones."""
-    kept = stored.join(incoming_trials.select("nct_id").distinct(), "nct_id", "left_anti")
-    return kept.unionByName(new_sites.select(*stored.columns))
-
-
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """One text file per narrative; the file name without its suffix is the key."""
     return spark.read.text(path, wholetext=True).select(

@@ -1,14 +1,19 @@
-"""Incremental ingest: new study files in, changed trials and their criteria out."""
+"""Incremental ingest: new study files in; changed trials, their sites, criteria and run rows out."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortmill.operators.extract import extract
-from cohortmill.operators.runs import changed
-from cohortmill.sources.studies import STUDY, parse_studies, trial_snapshot
+from cohortmill.sources.store import KeyedStore
+from cohortmill.sources.studies import parse_studies, record_error, sites, study_hash, trial_snapshot
+
+OUTCOME = "nct_id string, content_hash string, arrived_at timestamp, raw_json string, status string, error_message string"
+NO_KEY = "\x00"  # begins the state key of a record without a usable id; such keys are spread by content and leave no state
 
 
 def read_stream(spark: SparkSession, path: str, max_files: int = 1000, lines: bool = False) -> DataFrame:
@@ -19,51 +24,89 @@ def read_stream(spark: SparkSession, path: str, max_files: int = 1000, lines: bo
     )
 
 
-def latest_of_batch(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(flat trial rows of a batch, the newest file per trial; records without an id). Without arrival times the content decides."""
-    rows = batch if "arrived_at" in batch.columns else batch.withColumn("arrived_at", F.lit(None).cast("timestamp"))
-    keyed = rows.withColumn("nct_id", F.from_json("raw_json", STUDY)["protocolSection"]["identificationModule"]["nctId"])
-    newest = keyed.where(F.col("nct_id").isNotNull()).groupBy("nct_id").agg(F.max(F.struct("arrived_at", F.xxhash64("raw_json"), "raw_json")).alias("top"))
-    flat = trial_snapshot(parse_studies(newest.select(F.col("top.raw_json").alias("raw_json"))))
-    return flat, keyed.where(F.col("nct_id").isNull()).select("arrived_at", "raw_json")
+def keyed(records: DataFrame) -> DataFrame:
+    """Records with their id, content hash and, where they can't be read, an error."""
+    parsed = parse_studies(records).withColumn("error_message", record_error())
+    key = F.when(F.col("error_message").isNull(), F.col("s.protocolSection.identificationModule.nctId"))
+    return parsed.select(
+        F.coalesce(key, F.concat(F.lit(NO_KEY), F.xxhash64("raw_json").cast("string"))).alias("key"), study_hash().alias("content_hash"), "arrived_at", "raw_json", "error_message")
+
+
+def _judge(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """Outcomes of one key's records in a batch: the newest is ingested or, when the stored hash is the same, skipped; older ones are superseded."""
+    newest = None
+    for frame in frames:
+        frame = frame.assign(nct_id=key[0], status="superseded")
+        if key[0].startswith(NO_KEY):
+            yield frame.assign(nct_id=None, status="failed")[_COLUMNS]
+            continue
+        order = pd.concat([f for f in (newest, frame) if f is not None], ignore_index=True).sort_values(["arrived_at", "content_hash", "raw_json"], na_position="first")
+        newest = order.iloc[-1:]
+        if len(order) > 1:
+            yield order.iloc[:-1].assign(raw_json=None)[_COLUMNS]
+    if newest is not None:
+        same = state.exists and state.get[0] == newest["content_hash"].iloc[0]
+        state.update((newest["content_hash"].iloc[0],))
+        yield (newest.assign(status="skipped", raw_json=None) if same else newest.assign(status="ingested"))[_COLUMNS]
+
+
+_COLUMNS = ["nct_id", "content_hash", "arrived_at", "raw_json", "status", "error_message"]
+
+
+def outcomes(records: DataFrame) -> DataFrame:
+    """Every record of the stream with its outcome: ingested, skipped, superseded or failed.
+
+    What is remembered of a trial is its last content hash, in the stream's state store, so the work of a batch follows the
+    batch and not what was ingested before; a batch that is run again starts from the state before it and gives the same rows.
+    """
+    return keyed(records).groupBy("key").applyInPandasWithState(_judge, OUTCOME, "content_hash string", "append", "NoTimeout")
 
 
 def ingest_batch(batch: DataFrame, store: str, batch_id: int) -> None:
-    """Keep only trials whose hash differs from the stored one; append them and their criteria. Records without an id are stored
-    as failed.
+    """Store the outcomes of a batch, and of its ingested trials the snapshot, sites, criteria and run rows.
 
-    Every append goes into a folder of its own batch id and overwrites it, so a batch that is run
-    again after a failure leaves the same rows.
+    Every append goes into a folder of its own batch id and overwrites it; trials and sites are also kept as keyed tables,
+    committed last. A batch that is run again after a failure leaves the same rows.
     """
     spark = batch.sparkSession
-    snap, failed = latest_of_batch(batch)
-    failed.write.mode("overwrite").parquet(f"{store}/failed/batch_id={batch_id}")
-    stored = stored_trials(spark, store, before=batch_id)
-    fresh = snap if stored is None else changed(snap, stored)
-    target = f"{store}/trials/batch_id={batch_id}"
-    fresh.write.mode("overwrite").parquet(target)
-    written = spark.read.schema(fresh.schema).parquet(target)
-    criteria = extract(written.select("nct_id", F.col("eligibility_text").alias("text")), key="nct_id")
-    criteria.drop("mentions").write.mode("overwrite").parquet(f"{store}/criteria/batch_id={batch_id}")
-
-
-def stored_trials(spark: SparkSession, store: str, before: int | None = None) -> DataFrame | None:
-    """Latest stored row per trial, or null when nothing is stored yet."""
-    try:
-        rows = spark.read.parquet(f"{store}/trials")
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-    if before is not None:
-        rows = rows.where(F.col("batch_id") < before)
-    keep = [c for c in rows.columns if c not in ("nct_id", "batch_id", "interventions")]
-    return rows.groupBy("nct_id").agg(F.max_by(F.struct(*keep), "batch_id").alias("t")).select("nct_id", "t.*")
+    part = f"batch_id={batch_id}"
+    batch.write.mode("overwrite").parquet(f"{store}/outcomes/{part}")
+    seen = spark.read.schema(OUTCOME).parquet(f"{store}/outcomes/{part}")
+    seen.where("status = 'failed'").select("arrived_at", "raw_json", "error_message").write.mode("overwrite").parquet(f"{store}/failed/{part}")
+    fresh = parse_studies(seen.where("status = 'ingested'").select("raw_json"))
+    trials = trial_snapshot(fresh)
+    trials.write.mode("overwrite").parquet(f"{store}/trials/{part}")
+    written = spark.read.schema(trials.schema).parquet(f"{store}/trials/{part}")
+    run_id = F.concat_ws("-", "nct_id", F.lit(str(batch_id)))
+    criteria = extract(written.select("nct_id", F.col("eligibility_text").alias("text")), key="nct_id").drop("mentions")
+    criteria.withColumn("run_id", run_id).write.mode("overwrite").parquet(f"{store}/criteria/{part}")
+    counts = spark.read.parquet(f"{store}/criteria/{part}").groupBy("nct_id").agg(F.count(F.lit(1)).alias("n_criteria"))
+    runs = written.select("nct_id", "content_hash").join(counts, "nct_id", "left").select(
+        run_id.alias("run_id"), "nct_id", "content_hash", F.lit("completed").alias("status"), F.coalesce("n_criteria", F.lit(0)).alias("n_criteria"))
+    runs.write.mode("overwrite").parquet(f"{store}/runs/{part}")
+    kept = KeyedStore(spark, f"{store}/keyed")
+    kept.replace("trials", "nct_id", written, written, batch_id)
+    kept.replace("sites", "nct_id", written, sites(fresh), batch_id)
+    kept.commit(batch_id)
+
+
+def stored_trials(spark: SparkSession, store: str) -> DataFrame:
+    """Latest stored row per trial."""
+    return KeyedStore(spark, f"{store}/keyed").read("trials", _empty(spark, trial_snapshot))
+
+
+def stored_sites(spark: SparkSession, store: str) -> DataFrame:
+    """Sites of the latest stored row of each trial."""
+    return KeyedStore(spark, f"{store}/keyed").read("sites", _empty(spark, sites))
+
+
+def _empty(spark: SparkSession, make):
+    return make(parse_studies(spark.createDataFrame([], "raw_json string"))).schema
 
 
 def start(spark: SparkSession, source: str, store: str, checkpoint: str, lines: bool = False):
     """Process everything that has arrived, then stop; run again (or on a schedule) for more."""
     return (
-        read_stream(spark, source, lines=lines).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        outcomes(read_stream(spark, source, lines=lines)).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
         .foreachBatch(lambda df, i: ingest_batch(df, store, i)).start()
     )
