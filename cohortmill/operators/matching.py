@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from cohortmill.functions import logic as L
 from cohortmill.functions import text as T
-from cohortmill.functions.scale import HOT_ROWS, hot_keys, split_join, stage, two_level_rank
+from cohortmill.functions.scale import HOT_ROWS, SPLITS, hot_keys, range_rank, split_join, stage
 
 CONCEPTS = "array<struct<system:string,code:string,display:string,match_type:string>>"
 # Optional criterion columns and their types; absent ones are added as null.
@@ -29,6 +30,7 @@ FACT_COLUMNS = {
     "line_of_therapy": "int", "completed": "boolean", "active": "boolean",
 }
 INTERVAL_OPS = ["gte", "gt", "lte", "lt", "neq"]
+FREQUENT = 256  # tokens whose frequency is known to the token index
 
 
 def with_columns(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
@@ -179,39 +181,75 @@ def _searchable(facts: DataFrame) -> DataFrame:
             "patient_id", "kind", "description", "value_numeric",
             F.array_sort(concept_keys(F.col("coded_concepts"))).alias("codes"),
         )
-        .withColumn("fact_key", F.concat_ws("|", F.coalesce("description", F.lit("")), F.array_join("codes", ",")))
+        .withColumn("fact_key", F.concat_ws("\x01", F.coalesce("description", F.lit("")), F.array_join("codes", "\x02")))
     )
 
 
-def fact_hits(asked: DataFrame, rules: DataFrame, facts: DataFrame, hot_trials: list | None = None) -> DataFrame:
-    """(patient, criterion, fact_key) where a fact matches a criterion by code or by tokens.
+def frequent_tokens(*token_columns: DataFrame) -> Column:
+    """How often a token occurs, for the FREQUENT most frequent ones of one-column frames of token arrays; 0 for all others: a map of bounded size."""
+    words = None
+    for df in token_columns:
+        one = df.select(F.explode(df.columns[0]).alias("t"))
+        words = one if words is None else words.unionByName(one)
+    top = words.groupBy("t").count().orderBy(F.desc("count"), "t").limit(FREQUENT).collect()
+    return F.create_map(*[F.lit(x) for r in top for x in (r["t"], r["count"])]) if top else F.create_map().cast("map<string,bigint>")
 
-    One inverted-index equi-join on (patient, kind, key), a key being a token or a code: a
-    criterion meets only the patient's facts that share a key with it, and shared tokens are counted.
+
+def rare_first(toks: Column, counts: Column) -> Column:
+    """Tokens in one order for all sets: those that are not frequent by text, then the frequent ones, the most frequent last."""
+    ranked = F.array_sort(F.transform(toks, lambda t: F.struct(F.coalesce(F.element_at(counts, t), F.lit(0)).alias("n"), t.alias("t"))))
+    return F.transform(ranked, lambda x: x["t"])
+
+
+def posted_keys(ordered: Column, codes: Column, asks: str, answers: str) -> Column:
+    """Index keys of a token set in rare-first order and its codes.
+
+    Sets match by two common tokens or by the whole of the smaller one, so of two sets with more than one token each one of the
+    common tokens is not the last of its set: the last token (the most frequent) is left out. A single token has to find
+    last tokens, too: it ``asks`` for them, and a set of more ``answers`` with its last token.
     """
-    def keys(toks: Column, codes: Column) -> Column:
-        return F.concat(F.transform(toks, lambda t: F.concat(F.lit("t:"), t)), F.transform(codes, lambda c: F.concat(F.lit("c:"), c)))
+    tag = lambda prefix, xs: F.transform(xs, lambda t: F.concat(F.lit(prefix), t))
+    n = F.size(ordered)
+    return F.concat(
+        tag("t:", F.slice(ordered, 1, F.greatest(n - 1, F.least(n, F.lit(1))))),
+        F.when(n == 1, tag(asks, ordered)).when(n > 1, tag(answers, F.slice(ordered, -1, 1))).otherwise(F.array().cast("array<string>")),
+        tag("c:", codes))
 
-    text_rules = rules.where(F.col("fact_kind").isNotNull()).select(
-        "trial_id", "criterion_id", F.col("fact_kind").alias("kind"),
-        T.tokens(F.col("match_text")).alias("_t"), concept_keys(F.col("coded_concepts")).alias("_c"),
-    )
-    left = split_join(asked, text_rules, "trial_id", ["patient_id"], hot_trials or []).select(
-        "patient_id", "criterion_id", "kind", F.size("_t").alias("_nc"), F.explode(keys(F.col("_t"), F.col("_c"))).alias("key"))
-    right = (
-        _searchable(facts).select("patient_id", "kind", "fact_key", "description", "codes").distinct()
-        .withColumn("_t", T.tokens(F.col("description")))
-        .select("patient_id", "kind", "fact_key", F.size("_t").alias("_nf"), F.explode(keys(F.col("_t"), F.col("codes"))).alias("key"))
-    )
-    is_token = F.col("key").startswith("t:")
+
+def fact_candidates(asked: DataFrame, rules: DataFrame, facts: DataFrame, hot_trials: list | None = None, hot_patients: list | None = None) -> DataFrame:
+    """Pairs of a criterion and a fact of a patient that share a posted key, each with both token sets; a pair may come up once per key.
+
+    One inverted-index equi-join on (patient, kind, key); the rows of ``hot_patients`` are spread by criterion.
+    """
+    sets = rules.where(F.col("fact_kind").isNotNull()).select(
+        "trial_id", "criterion_id", F.col("fact_kind").alias("kind"), T.tokens(F.col("match_text")).alias("_t"), concept_keys(F.col("coded_concepts")).alias("_c"))
+    known = _searchable(facts).select("patient_id", "kind", "fact_key", "description", "codes").distinct().withColumn("_t", T.tokens(F.col("description")))
+    counts = frequent_tokens(sets.select("_t"), known.select("_t"))
+    left = split_join(asked, sets.withColumn("_l", rare_first(F.col("_t"), counts)), "trial_id", ["patient_id"], hot_trials or []).select(
+        "patient_id", "criterion_id", "kind", "_l", F.explode(posted_keys(F.col("_l"), F.col("_c"), "1:", "2:")).alias("key"))
+    right = known.withColumn("_r", rare_first(F.col("_t"), counts)).select(
+        "patient_id", "kind", "fact_key", "_r", F.explode(posted_keys(F.col("_r"), F.col("codes"), "2:", "1:")).alias("key"))
+    on = ["patient_id", "kind", "key"]
+    if hot_patients:
+        is_hot = F.coalesce(F.col("patient_id").cast("string").isin(*hot_patients), F.lit(False))
+        left = left.withColumn("_part", F.when(is_hot, F.pmod(F.xxhash64("criterion_id"), F.lit(SPLITS)).cast("int")).otherwise(0))
+        right = right.withColumn("_part", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SPLITS - 1))).otherwise(F.array(F.lit(0)))))
+        on.append("_part")
+    return left.join(right, on)
+
+
+def fact_hits(asked: DataFrame, rules: DataFrame, facts: DataFrame, hot_trials: list | None = None, hot_patients: list | None = None) -> DataFrame:
+    """(patient, criterion, kind, fact_key) where a fact matches a criterion by code or by tokens.
+
+    A pair found by tokens is judged on its whole sets, under its rarest common token only.
+    """
+    common = F.array_intersect("_l", "_r")
+    n = F.size("_common")
+    by_text = ((n >= 2) | ((n > 0) & (n == F.least(F.size("_l"), F.size("_r"))))) & (
+        ~F.col("key").startswith("t:") | (F.col("key") == F.concat(F.lit("t:"), F.get("_common", F.lit(0)))))
     return (
-        left.join(right, ["patient_id", "kind", "key"])
-        .groupBy("patient_id", "criterion_id", "kind", "fact_key")
-        .agg(F.count_if(is_token).alias("_common"), F.count_if(~is_token).alias("_codes"),
-             F.max("_nc").alias("_nc"), F.max("_nf").alias("_nf"))
-        .where((F.col("_codes") > 0) | (F.col("_common") >= 2)
-               | ((F.col("_common") > 0) & (F.col("_common") == F.least("_nc", "_nf"))))
-        .select("patient_id", "criterion_id", "kind", "fact_key")
+        fact_candidates(asked, rules, facts, hot_trials, hot_patients).withColumn("_common", common)
+        .where(F.col("key").startswith("c:") | by_text).select("patient_id", "criterion_id", "kind", "fact_key").distinct()
     )
 
 
@@ -239,13 +277,36 @@ def _medication_verdict() -> Column:
     )
 
 
-def fact_results(asked: DataFrame, rules: DataFrame, facts: DataFrame, hot_trials: list | None = None) -> DataFrame:
+def value_interval() -> tuple[Column, Column]:
+    """Bounds of the values that satisfy a criterion that is not one-sided; null where none can. NaN is above all numbers."""
+    op, low, high = F.col("operator"), F.col("value_low"), F.col("value_high")
+    both = low.isNotNull() & high.isNotNull()
+    no_less = F.when((op == "eq") & low.isNotNull(), low).when(op == "between", F.coalesce(low, F.lit(float("-inf")))).when(both, low)
+    no_more = F.when((op == "eq") & low.isNotNull(), low).when(op == "between", F.coalesce(high, F.lit(float("nan")))).when(both, high)
+    return no_less, no_more
+
+
+def in_interval(asked: DataFrame, values: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
+    """Rows of ``asked`` (by, keep, low, high) for which ``values`` (by, value) holds a value from low to high.
+
+    One sorted sweep per ``by``: going down, the last value seen is the least one that is not below a row's low end. The work is
+    that of a sort of both sides, however many values an interval or a patient holds; nothing is paired.
+    """
+    none = [F.lit(None).cast(dict(asked.dtypes)[c]).alias(c) for c in keep]
+    line = asked.select(*by, F.col("low").alias("x"), F.lit(1).alias("side"), "high", *keep).unionByName(
+        values.select(*by, F.col("value").alias("x"), F.lit(0).alias("side"), F.lit(None).cast("double").alias("high"), *none))
+    down = Window.partitionBy(*by).orderBy(F.desc("x"), "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = line.withColumn("least", F.last(F.when(F.col("side") == 0, F.col("x")), ignorenulls=True).over(down))
+    return seen.where((F.col("side") == 1) & (F.col("least") <= F.col("high"))).select(*by, *keep)
+
+
+def fact_results(asked: DataFrame, rules: DataFrame, facts: DataFrame, hot_trials: list | None = None, hot_patients: list | None = None) -> DataFrame:
     """Per (patient, criterion): whether any fact matched, with the lab and medication verdicts.
 
     Lab values are reduced to the least and greatest per lab before they meet the criteria, which
-    settles every one-sided operator; only ranges look at the distinct values.
+    settles every one-sided operator; ranges are swept over the sorted values of the lab.
     """
-    hits = fact_hits(asked, rules, facts, hot_trials)
+    hits = fact_hits(asked, rules, facts, hot_trials, hot_patients)
     details = _searchable(facts).groupBy("patient_id", "kind", "fact_key").agg(
         F.min("value_numeric").alias("_vmin"), F.max("value_numeric").alias("_vmax"), F.min("description").alias("description"))
     q = rules.where(F.col("fact_kind").isNotNull()).select(
@@ -262,17 +323,12 @@ def fact_results(asked: DataFrame, rules: DataFrame, facts: DataFrame, hot_trial
         (is_lab & one_sided & F.coalesce(either, F.lit(False))).alias("lab_ok"),
         (verdict == "disallowed").alias("med_disallowed"), (verdict == "context").alias("med_context"),
     )
-    values = _searchable(facts.where(is_lab & F.col("value_numeric").isNotNull())).select(
-        "patient_id", "fact_key", "value_numeric").distinct()
+    values = _searchable(facts.where(is_lab & F.col("value_numeric").isNotNull())).select("patient_id", "fact_key", F.col("value_numeric").cast("double").alias("value"))
     no = F.lit(None).cast("boolean")
-    ranged = rules.where((F.col("fact_kind") == "lab") & ~one_sided).select("criterion_id", "operator", "value_low", "value_high")
-    inside = (
-        hits.where(is_lab).select("patient_id", "criterion_id", "fact_key")
-        .join(ranged, "criterion_id").join(values, ["patient_id", "fact_key"])
-        .where(L.numeric_satisfied(op, low, high, F.col("value_numeric")))
-        .select("patient_id", "criterion_id", F.lit(True).alias("hit"), F.lit(True).alias("lab_has_value"),
-                F.lit(True).alias("lab_ok"), no.alias("med_disallowed"), no.alias("med_context"))
-    )
+    no_less, no_more = value_interval()
+    ranged = rules.where((F.col("fact_kind") == "lab") & ~one_sided).select("criterion_id", no_less.cast("double").alias("low"), no_more.cast("double").alias("high")).where("low is not null")
+    inside = in_interval(hits.where(is_lab).select("patient_id", "criterion_id", "fact_key").join(ranged, "criterion_id"), values, ["patient_id", "fact_key"], ["criterion_id"])
+    inside = inside.select("patient_id", "criterion_id", F.lit(True).alias("hit"), F.lit(True).alias("lab_has_value"), F.lit(True).alias("lab_ok"), no.alias("med_disallowed"), no.alias("med_context"))
     cols = ["hit", "lab_has_value", "lab_ok", "med_disallowed", "med_context"]
     return rows.unionByName(inside).groupBy("patient_id", "criterion_id").agg(*[F.bool_or(c).alias(c) for c in cols])
 
@@ -362,7 +418,7 @@ def evaluate(requests: DataFrame, patients: DataFrame, trials: DataFrame, runs:
     hot = hot_keys(requests, ["patient_id", "trial_id"], hot_rows)
     people = split_join(asked, patient_profile(patients, facts, as_of), "patient_id", ["trial_id"], hot.get("patient_id", []))
     pairs = split_join(people, rules, "trial_id", ["patient_id"], hot.get("trial_id", []))
-    results = fact_results(asked, rules, facts, hot.get("trial_id", []))
+    results = fact_results(asked, rules, facts, hot.get("trial_id", []), hot.get("patient_id", []))
     group = F.when((F.col("logic_operator") == "OR") & (F.length(F.col("logic_group_id").cast("string")) > 0),
                    F.col("logic_group_id").cast("string"))
     full = (
@@ -658,14 +714,11 @@ def status_order(col: Column) -> Column:
 def rank_results(results: DataFrame, tie: str = "trial_id") -> DataFrame:
     """Rank of each trial for its patient: status, coverage desc, score desc, then id text.
 
-    The full ranking is numbered per coverage cell, so a patient that owns a third of the pairs
-    is not sorted in one task.
+    Rows are dealt by range of the whole order, so a patient that owns a third of the pairs is numbered
+    in many tasks, whatever the ids look like.
     """
-    order_status = status_order(F.col("overall_status"))
-    tie_text = F.col(tie).cast("string")
-    coarse = [order_status, -F.col("coverage_ratio"), -F.col("score"), F.substring(tie_text, 1, 2)]
-    order = [order_status, F.desc("coverage_ratio"), F.desc("score"), tie_text]
-    return two_level_rank(results, ["patient_id"], coarse, order, "rank")
+    order = [status_order(F.col("overall_status")), -F.col("coverage_ratio"), -F.col("score"), F.col(tie).cast("string")]
+    return range_rank(results, ["patient_id"], order, "rank")
 
 
 def top_matches(results: DataFrame, k: int, tie: str = "trial_id") -> DataFrame:

@@ -147,7 +147,7 @@ def _(spark, sf):
 def _(spark, sf):
     i = inputs(spark, sf)
     return M.fact_hits(i["requests"], rules_of(i), i["facts"]).select(
-        "patient_id", "criterion_id", F.substring_index("fact_key", "|", 1).alias("description")).distinct()
+        "patient_id", "criterion_id", F.substring_index("fact_key", "\x01", 1).alias("description")).distinct()
 
 
 @query("m21_evidence", eval_sql("TRUE", """patient_id, trial_id, criterion_id, category,
