@@ -23,8 +23,8 @@ AUDITS = 12      # audits below RECALL, after which the search fails
 RECALL = 0.97    # of a vector's links, on average, at which refinement ends
 ASKED = 256      # vectors of an audit
 LINKED = 64      # unsaturated vectors with links that an audit asks for
-FURTHER = 1_024  # unsaturated vectors drawn at once until there are so many
-DRAWS = 4        # draws of an audit; it states how many vectors it got
+FURTHER = 1_024  # unsaturated vectors drawn next until there are so many; each draw is twice the last
+LARGEST = 8_192  # vectors of one draw, at most
 BLOCK = 256      # vectors compared at once in an enlarged neighbourhood
 
 EDGES = "node long, near array<struct<sim:double,other:long>>, roots array<long>"
@@ -33,7 +33,13 @@ EDGES = "node long, near array<struct<sim:double,other:long>>, roots array<long>
 def _matrix(column: pa.Array, rows: np.ndarray, kind: str) -> np.ndarray:
     """Vectors of equally long binaries as unit rows in double precision."""
     x = np.stack([np.frombuffer(column[r].as_buffer(), kind) for r in rows.tolist()]).astype(np.float64)
-    return x / np.linalg.norm(x, axis=1)[:, None]
+    with np.errstate(over="ignore", under="ignore"):
+        size = np.linalg.norm(x, axis=1)
+    odd = ~np.isfinite(size) | (size < 1e-140)
+    if odd.any():  # squares of these would leave the range of doubles
+        x[odd] /= np.abs(x[odd]).max(axis=1)[:, None]
+        size[odd] = np.linalg.norm(x[odd], axis=1)
+    return x / size[:, None]
 
 
 def _equal_runs(*columns: np.ndarray) -> np.ndarray:
@@ -231,7 +237,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, keep: int = LIST,
     Equal vectors are one class. Random hyperplanes give the first neighbour lists; each round joins the neighbours of neighbours: the
     members of a node's list and of a bounded part of those it is listed in are compared with one another. An audit compares ASKED vectors with all others and
     measures the recall of links: the mean over vectors that have links, each vector counting alike, and the same over unsaturated ones alone,
-    for which more of those are drawn until LINKED have links (DRAWS times at most). While either is below RECALL further trees and rounds follow;
+    for which more of those are drawn, without limit, until LINKED have links or every one was asked: where links are rare the audit goes on to
+    ask all vectors, in draws of bounded size, and a recall of 1 without any linked vector means that there is none. While either is below RECALL further trees and rounds follow;
     after AUDITS audits below it a RuntimeError states the audit, no rows are returned. Lists whose neighbours are all
     links are saturated: they are enlarged to everything reachable over links, compared in pairs of blocks of about BLOCK vectors, each
     a task's work. All links are decided in double precision. Links of other nodes are those of the lists, in either direction.
@@ -318,18 +325,18 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, keep: int = LIST,
         crowded = stored(labels.join(labels.join(full, "node", "left_semi").select("label").distinct(), "label", "left_semi").select("node", "label"), "crowded")
         labels, crowded = joined(labels, crowded, graph, seed + 1000 * done)
         free = nodes.join(crowded, "node", "left_anti")
-        for _ in range(DRAWS):
-            if truth.join(crowded.select(F.col("node").alias("a")), "a", "left_anti").select("a").distinct().count() >= LINKED:
-                break
+        draw = FURTHER
+        while truth.join(crowded.select(F.col("node").alias("a")), "a", "left_anti").select("a").distinct().count() < LINKED:
             before = len(asked)
-            truth = truth.unionByName(truth_of(free, FURTHER, False))
+            truth = truth.unionByName(truth_of(free, draw, False))
             if len(asked) == before:
                 break
+            draw = min(2 * draw, LARGEST)
         both = truth.join(crowded.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(crowded.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
         hit = both.join(links.withColumn("found", F.lit(True)), ["a", "b"], "left").groupBy("a", "first", F.col("la").isNull().alias("free")).agg(
             F.count(F.lit(1)).alias("all"), F.sum((F.coalesce("found", F.lit(False)) | F.coalesce(F.col("la") == F.col("lb"), F.lit(False))).cast("int")).alias("hit"))
         share = F.col("hit") / F.col("all")
-        seen = hit.agg(F.coalesce(F.sum("all"), F.lit(0)).alias("all"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hit"), F.coalesce(F.avg(F.when(F.col("first"), share)), F.lit(1.0)).alias("every"),
+        seen = hit.agg(F.coalesce(F.sum("all"), F.lit(0)).alias("all"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hit"), F.coalesce(F.avg(F.when(F.col("first"), share)), F.avg(share), F.lit(1.0)).alias("every"),
                        F.coalesce(F.avg(F.when(F.col("free"), share)), F.lit(1.0)).alias("free"), F.count(F.when(F.col("free"), 1)).alias("n_free"), F.count(F.lit(1)).alias("n")).first()
         audit = {"asked": len(asked), "linked": seen["n"], "linked_unsaturated": seen["n_free"], "links": seen["all"], "found": seen["hit"], "recall": seen["every"],
                  "recall_unsaturated": seen["free"], "rounds": done * rounds}
