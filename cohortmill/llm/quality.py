@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import log
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -51,16 +52,18 @@ class Classifier:
 def fit(labelled: DataFrame, names: list[str], fit_rows: int = FIT_ROWS) -> Classifier:
     """Logistic regression on at most ``fit_rows`` labelled rows (least hashes of their id), a fifth of them held out.
 
-    Without both classes there is no evidence: all weights are 0.
+    Without both classes in the fitted part the text says nothing: all weights are 0 and the evidence is the log odds of good labels, one added to
+    either class. ``rows`` counts all labelled rows drawn; without any the evidence is 0.
     """
     sample = least_hashes(labelled.withColumn("_h", F.xxhash64("doc_id", "label")), "_h", fit_rows)
     sample = stored(sample.withColumn("_held", F.pmod("_h", F.lit(5)) == 0).select("label", "_held", *names), "sample")
-    seen = {r["label"]: r["n"] for r in sample.where("not _held").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(seen) < 2:
-        return Classifier({n: 0.0 for n in names}, 0.0, sum(seen.values()), None)
+    seen = {(r["label"], r["_held"]): r["n"] for r in sample.groupBy("label", "_held").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows, good = sum(seen.values()), sum(n for (label, _), n in seen.items() if label)
+    if len({label for label, held in seen if not held}) < 2:
+        return Classifier({n: 0.0 for n in names}, log((good + 1) / (rows - good + 1)), rows, None)
     vectors = VectorAssembler(inputCols=names, outputCol="x")
     model = LogisticRegression(featuresCol="x", labelCol="label", regParam=0.001, maxIter=60).fit(vectors.transform(sample.where("not _held").withColumn("label", F.col("label").cast("double"))))
-    out = Classifier(dict(zip(names, map(float, model.coefficients))), float(model.intercept), sum(seen.values()), None)
+    out = Classifier(dict(zip(names, map(float, model.coefficients))), float(model.intercept), rows, None)
     right = sample.where("_held").agg(F.avg(((out.logit() > 0).cast("int") == F.col("label")).cast("double")).alias("a")).first()["a"]
     out.held_out = right
     return out
@@ -83,7 +86,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
     all rows costs one row per task.
 
     Null or empty text: quality 0, not accepted. Null host or path: a group of its own. No labels at all: everything else is
-    accepted at its prior. Repeated rows are judged alike. Empty table: no rows. Input columns with the added names are replaced.
+    accepted at its prior. Labels of one class: sites move around that class's rate. Repeated rows are judged alike. Empty table: no rows. Input columns with the added names are replaced.
     """
     keep = [c for c in docs.columns if c not in OWN]
     marks = features(text_of(text))
@@ -107,7 +110,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
     whole = whole.select("r", "h", "p", "size", model.logit().alias("evidence"))
     same = F.col("h").eqNullSafe(F.col("_h")) & F.col("p").eqNullSafe(F.col("_p"))
     # Without any label the classifier says nothing and the documents stand at their prior.
-    shift = log_odds(1 - F.coalesce(F.col("_bad"), F.lit(overall))) - log_odds(F.lit(1 - overall)) if model.held_out is not None else F.lit(0.0)
+    shift = log_odds(1 - F.coalesce(F.col("_bad"), F.lit(overall))) - log_odds(F.lit(1 - overall)) if model.rows else F.lit(0.0)
     posterior = F.when(F.col("size") == 0, F.lit(0.0)).otherwise(1 / (1 + F.exp(-(F.col("evidence") + shift))))
     out = whole.join(paths, same, "left").withColumn("quality", posterior)
     return out.select(*[F.col(f"r.`{c}`") for c in keep], F.col("evidence").alias("quality_evidence"), "quality", (F.col("quality") >= limit).alias("accepted"))

@@ -405,3 +405,33 @@ def test_pipeline(spark, tmp_path):
     assert kept[3] == kept[4] and 0 < len(kept[4]) < len(kept[2]) and set(kept[4]) <= set(kept[2])
     assert {(r["doc_id"], r["text"]) for r in docs.collect()} <= {(r[0], r[1]) for r in rows}
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_audit_goes_on_until_it_has_seen_links(spark, monkeypatch):
+    ship(spark)
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(4_000, 16))
+    for i in range(4):
+        v[100 + i] = v[i] + rng.normal(size=16) * 0.02
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neighbours, "LINKED", 64)
+    monkeypatch.setattr(neighbours, "FURTHER", 1_000)
+    out, audit = neighbours.near_vectors(df, trees=1, rounds=0)
+    assert audit["linked"] == 8 and audit["asked"] == 4_000 and audit["recall"] >= neighbours.RECALL
+    assert {r["vec_id"] for r in out.where("n_links > 0").collect()} == set(range(4)) | set(range(100, 104))
+
+
+def test_vectors_beyond_the_range_of_squares(spark):
+    ship(spark)
+    rows = [(1, [1e200, 1e200]), (2, [2e200, 2e200]), (3, [1e-200, 1e-200]), (4, [1.0, -1.0])]
+    out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))[0].collect()}
+    assert out == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
+
+
+def test_labels_of_one_class(spark):
+    df = spark.createDataFrame([(i, f"some words of text {i}", f"s{i % 3}", "en") for i in range(40)], "doc_id long, text string, source string, lang string")
+    for label, kept in ((0, 0), (1, 40)):
+        labels = spark.createDataFrame([(i, label) for i in range(40)], "doc_id long, quality int")
+        assert quality.judge_quality(df, labels).where("accepted").count() == kept
+    few = spark.createDataFrame([(0, 0), (1, 0)], "doc_id long, quality int")  # whichever part they are drawn into
+    assert quality.judge_quality(df, few).where("accepted").count() == 0
