@@ -212,6 +212,8 @@ def _with_systems(requests: DataFrame, systems: dict[str, list[str]]) -> DataFra
         "*", F.explode(options).alias("o")).select("request_id", "fuzzy", "variant_no", "variant", "o.system", "o.system_rank")
 
 
+EDITS = 2
+PIECES = EDITS + 1
 ORDER = ["tier", "variant_no", "score", "system_rank", "d_low", "c_low"]
 
 
@@ -248,8 +250,8 @@ def trigram_pairs(texts: DataFrame, catalogue: DataFrame, threshold: float = THR
     """(system, norm, candidate, similarity) for distinct normalised texts with similarity >= threshold.
 
     Prefix filter: with all trigrams in one global order, two sets that similar share a trigram
-    among their first few. Rarest first, only those few are joined, and each surviving pair is
-    compared exactly; a trigram that occurs everywhere is never a join key unless it must be.
+    among their first few. Rarest first, only those few are joined, and each pair that can still reach
+    the threshold by the places of its common trigram is compared exactly; a trigram that occurs everywhere is never a join key unless it must be.
     """
     c = catalogue.select("system", F.col("cand")).distinct().withColumn("tri", trigrams(F.col("cand")))
     q = texts.select("system", "norm").distinct().withColumn("tri", trigrams(F.col("norm")))
@@ -258,9 +260,12 @@ def trigram_pairs(texts: DataFrame, catalogue: DataFrame, threshold: float = THR
         "system", "cand", F.transform("r", lambda x: x["t"]).alias("ct"))
     qr = _rarest_first(q, frequency, ["system", "norm"]).select(
         "system", "norm", F.transform("r", lambda x: x["t"]).alias("qt"))
-    left = qr.select("*", F.explode(F.slice("qt", 1, _prefix(F.size("qt"), threshold))).alias("t"))
-    right = cr.select("*", F.explode(F.slice("ct", 1, _prefix(F.size("ct"), threshold))).alias("t"))
+    left = qr.select("*", F.posexplode(F.slice("qt", 1, _prefix(F.size("qt"), threshold))).alias("qi", "t"))
+    right = cr.select("*", F.posexplode(F.slice("ct", 1, _prefix(F.size("ct"), threshold))).alias("ci", "t"))
     near = (F.size("ct") >= F.size("qt") * threshold - 1e-9) & (F.size("qt") >= F.size("ct") * threshold - 1e-9)
+    # At the first common trigram nothing before it is common, so what follows has to suffice; at later ones the pair was seen already.
+    reach = F.least(F.size("qt") - F.col("qi"), F.size("ct") - F.col("ci"))
+    near = near & (reach * (1 + threshold) >= (F.size("qt") + F.size("ct")) * threshold - 1e-9)
     common = F.size(F.array_intersect("qt", "ct"))
     sim = common / (F.size("qt") + F.size("ct") - common)
     return (
@@ -291,28 +296,56 @@ def trigram_matches(asked: DataFrame, index: DataFrame, threshold: float = THRES
     )
 
 
-def edit_matches(asked: DataFrame, index: DataFrame) -> DataFrame:
-    """Edit distance at most 2, blocked on a shared informative word and a length within 2.
+def _piece(length: Column, i: int) -> tuple[Column, Column]:
+    """Start (from 0) and length of piece ``i`` of a text of ``length`` characters cut into PIECES, longer ones last."""
+    base, over = F.floor(length / PIECES).cast("int"), length % PIECES
+    extra = F.greatest(F.lit(0), F.lit(i - PIECES) + over).cast("int")
+    return F.lit(i) * base + extra, base + F.when(over >= PIECES - i, 1).otherwise(0)
+
+
+def _piece_key(length: Column, i: int, text: Column) -> Column:
+    return F.concat_ws(":", length.cast("string"), F.lit(str(i)), text)
 
-    A viable candidate shares an informative word by definition, so the block loses nothing.
+
+def edit_pairs(texts: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(system, norm, cand, distance) of distinct texts with an edit distance of at most EDITS.
+
+    A text cut into EDITS + 1 pieces keeps one of them whole under EDITS edits, shifted by EDITS places at most. Candidates are posted
+    under their pieces (with length and number), and a text asks for its substrings that could be a piece of a candidate of a
+    length within EDITS. Keys are thirds of whole texts, so no word, however frequent, makes a block; pairs are made distinct
+    before they are compared.
     """
-    q = _fuzzy_query(asked).select("*", F.explode("q_tok").alias("word"), F.length("norm").alias("len"))
-    all_words = F.array_distinct(F.flatten(F.transform("texts", lambda t: t["tokens"])))
-    each = index.select("system", "code", "display", "d_low", "c_low", "texts", all_words.alias("all_words"), F.posexplode("texts").alias("place", "x"))
-    is_display = F.col("place") == 0
-    c = each.select(
-        "system", "code", "display", "d_low", "c_low", F.col("x.norm").alias("cand"),
-        F.when(is_display, F.col("texts")).otherwise(F.array("x")).alias("against"),
-        F.explode(F.when(is_display, F.col("all_words")).otherwise(F.col("x.tokens"))).alias("word"),
-        F.length("x.norm").alias("clen"),
-    ).select("*", F.explode(F.sequence(F.col("clen") - 2, F.col("clen") + 2)).alias("len"))
-    distance = F.levenshtein(F.col("norm"), F.col("cand"), 2)
+    c = catalogue.select("system", "cand").distinct()
+    n = F.length("cand")
+    posted = c.select("system", "cand", F.explode(F.array(*[
+        _piece_key(n, i, F.substr(F.col("cand"), _piece(n, i)[0] + 1, _piece(n, i)[1])) for i in range(PIECES)])).alias("key"))
+    size = F.length("norm")
+
+    def asked(length: Column, i: int) -> Column:
+        start, piece = _piece(length, i)
+        low, high = F.greatest(start - EDITS, F.lit(0)), F.least(start + EDITS, size - piece)
+        return F.when(low <= high, F.transform(F.sequence(low, F.greatest(low, high)), lambda p: _piece_key(length, i, F.substr(F.col("norm"), p + 1, piece)))).otherwise(
+            F.array().cast(STRINGS))
+
+    lengths = F.sequence(F.greatest(size - EDITS, F.lit(0)), size + EDITS)
+    keys = F.array_distinct(F.flatten(F.transform(lengths, lambda length: F.concat(*[asked(length, i) for i in range(PIECES)]))))
+    q = texts.select("system", "norm").distinct().select("system", "norm", F.explode(keys).alias("key"))
+    distance = F.levenshtein(F.col("norm"), F.col("cand"), EDITS)
+    return q.join(posted, ["system", "key"]).select("system", "norm", "cand").distinct().withColumn("distance", distance).where("distance >= 0")
+
+
+def edit_matches(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """Viable candidates with an edit distance of at most 2."""
+    q = _fuzzy_query(asked)
+    each = index.select("system", "code", "display", "d_low", "c_low", "texts", F.posexplode("texts").alias("place", "x"))
+    c = each.select("system", "code", "display", "d_low", "c_low", F.col("x.norm").alias("cand"),
+                    F.when(F.col("place") == 0, F.col("texts")).otherwise(F.array("x")).alias("against"))
+    pairs = edit_pairs(q, c)
     return (
-        q.join(c, ["system", "word", "len"])
-        .where(distance >= 0)
+        q.join(pairs, ["system", "norm"]).join(c, ["system", "cand"])
         .where(viable(F.col("norm"), F.col("q_neg"), F.col("q_tok"), F.col("against")))
         .select("request_id", "variant_no", "system", "system_rank", "code", "display", "d_low", "c_low", F.lit(4).alias("tier"),
-                distance.cast("double").alias("score"))
+                F.col("distance").cast("double").alias("score"))
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 
 from cohortmill.functions import scale as S
 from cohortmill.functions import text as T
+from cohortmill.operators import coding as K
 from cohortmill.operators import matching as M
 
 
@@ -58,3 +59,30 @@ def test_rank_over_ranges(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     want = {tuple(r) for r in df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(-F.col("s"), "id"))).collect()}
     assert got == want
+
+
+def test_edit_pairs_equal_all_pairs(spark):
+    rng = random.Random(4)
+    texts = {"", "a", "ab", "abc", "hot cell", "non small cell lung cancer", "x" * 40}
+    for _ in range(250):
+        t = rng.choice(sorted(texts))
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(t) + 1)
+            t = t[:at] + rng.choice(["", "a", "b ", "é"]) + t[at + rng.randrange(2):]
+        texts.add(t)
+    rows = spark.createDataFrame([(s, t) for s in ("one", "two") for t in sorted(texts)], "system string, norm string")
+    cat = rows.where("length(norm) % 3 <> 1 or system = 'one'").withColumnRenamed("norm", "cand")
+    got = {tuple(r) for r in K.edit_pairs(rows, cat).collect()}
+    want = {tuple(r) for r in rows.join(cat, "system").withColumn("distance", F.levenshtein("norm", "cand")).where("distance <= 2").collect()}
+    assert got == want and len(want) > 2 * len(texts)
+
+
+def test_trigram_pairs_equal_all_pairs(spark):
+    rng = random.Random(5)
+    words = ["lung", "lungs", "cancer", "cancers", "small", "smell", "cell", "breast", "b", "non"]
+    texts = sorted({" ".join(rng.choice(words) for _ in range(rng.randrange(1, 5))) for _ in range(150)})
+    rows = spark.createDataFrame([("one", t) for t in texts], "system string, norm string")
+    got = {(r.norm, r.cand): round(r.similarity, 9) for r in K.trigram_pairs(rows, rows.withColumnRenamed("norm", "cand")).collect()}
+    tri = {t: {f"  {w} "[i:i + 3] for w in t.split() for i in range(len(w) + 1)} for t in texts}
+    want = {(a, b): round(len(tri[a] & tri[b]) / len(tri[a] | tri[b]), 9) for a in texts for b in texts if len(tri[a] & tri[b]) / len(tri[a] | tri[b]) >= K.THRESHOLD - 1e-12}
+    assert got == want
