@@ -18,7 +18,7 @@ def lookups(spark, sf):
 
 
 def mentions(spark, sf):
-    m = V.table(spark, sf, "mentions").where(F.col("label") != "OTHER")
+    m = V.table(spark, sf, "mentions")
     none = F.lit(None).cast("string")
     return m.withColumn("variants", K.lookup_variants(F.col("text"), none, F.array().cast("array<string>")))
 
@@ -43,9 +43,10 @@ _INF = lambda x: f"list_distinct(list_filter(string_split({x}, ' '), lambda w: w
 # Words after a leading "non": the derived texts put it first or not at all.
 _NEG = lambda x: f"CASE WHEN {x} LIKE 'non %' THEN list_distinct([array_to_string(string_split({x}, ' ')[2:2], ' '), array_to_string(string_split({x}, ' ')[2:3], ' '), array_to_string(string_split({x}, ' ')[2:4], ' ')]) ELSE [] END"
 
-_BASE = f"""req AS (SELECT DISTINCT label, text, fuzzy FROM mentions WHERE label <> 'OTHER'),
+_BASE = f"""req AS (SELECT DISTINCT label, text, fuzzy FROM mentions),
 var AS (SELECT DISTINCT label, text, fuzzy, n AS variant_no, v FROM (SELECT *, 0 AS n, trim(text) AS v FROM req UNION ALL SELECT *, 1, {STRIPPED('text')} FROM req WHERE {STRIPPED('text')} <> trim(text))),
 sys(label, system, sr) AS (VALUES {', '.join(f"('{lab}', '{s}', {i})" for lab, names in V.CODE_SYSTEMS.items() for i, s in enumerate(names))}),
+nq AS (SELECT DISTINCT {NORM('v')} AS nv FROM var),
 q AS (SELECT var.*, system, sr, {NORM('v')} AS nv FROM var JOIN sys USING (label)),
 ctext AS (SELECT system, code, display, 0 AS k, display AS t FROM catalogue UNION ALL SELECT system, code, display, 1, syn1 FROM catalogue UNION ALL SELECT system, code, display, 2, syn2 FROM catalogue),
 ex AS (SELECT q.*, c.code, c.display, 1 AS tier, 0.0 AS score FROM q JOIN catalogue c ON c.system = q.system AND {CNORM('c.display')} = q.nv),
@@ -147,9 +148,9 @@ def _(spark, sf):
 
 
 @query("k9_negated_phrases", V.oracle_with(NV, _BASE, f"""SELECT DISTINCT norm, phrase FROM (
-  SELECT nv AS norm, array_to_string(ws[i + 1:i + k], ' ') AS phrase FROM (SELECT *, unnest([1, 2, 3]) AS k FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT DISTINCT nv, string_split(nv, ' ') AS ws FROM q)))
+  SELECT nv AS norm, array_to_string(ws[i + 1:i + k], ' ') AS phrase FROM (SELECT *, unnest([1, 2, 3]) AS k FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT nv, string_split(nv, ' ') AS ws FROM nq)))
   WHERE ws[i] = 'non' AND i + k <= len(ws) AND len(list_filter(ws[i + 1:i + k], lambda x: x NOT IN ({_STOP}))) > 0
-  UNION ALL SELECT nv, substr(w, 4) FROM (SELECT nv, unnest(string_split(nv, ' ')) AS w FROM q) WHERE starts_with(w, 'non') AND length(w) > 4 AND substr(w, 4) NOT IN ({_STOP}))"""))
+  UNION ALL SELECT nv, substr(w, 4) FROM (SELECT nv, unnest(string_split(nv, ' ')) AS w FROM nq) WHERE starts_with(w, 'non') AND length(w) > 4 AND substr(w, 4) NOT IN ({_STOP}))"""))
 def _(spark, sf):
     n = mentions(spark, sf).select(F.explode("variants").alias("v")).select(T.normalize_lookup(F.col("v")).alias("norm")).distinct()
     return n.select("norm", F.explode(K.negated_phrases(F.col("norm"))).alias("phrase"))
@@ -160,8 +161,9 @@ found AS (SELECT * FROM direct UNION ALL SELECT * FROM tri1 UNION ALL SELECT * F
 
 
 @query("k10_coded_mentions", V.oracle_with(NV, _TIERED, """SELECT m.mention_id, f.system, f.code, f.display, CASE f.tier WHEN 1 THEN 'exact' WHEN 2 THEN 'synonym' WHEN 3 THEN 'fuzzy' WHEN 4 THEN 'fuzzy' END AS match_type,
-       CASE f.tier WHEN 1 THEN 0.95 WHEN 2 THEN 0.85 WHEN 3 THEN 0.6 WHEN 4 THEN 0.6 ELSE 0.4 END AS confidence, f.tier IS NULL OR f.tier > 2 AS review_required
-       FROM mentions m LEFT JOIN found f ON f.label = m.label AND f.text = m.text AND f.fuzzy = m.fuzzy WHERE m.label <> 'OTHER'"""))
+       CASE f.tier WHEN 1 THEN 0.95 WHEN 2 THEN 0.85 WHEN 3 THEN 0.6 WHEN 4 THEN 0.6 ELSE CASE WHEN m.label = 'OTHER' THEN 0.0 ELSE 0.4 END END AS confidence,
+       m.label <> 'OTHER' AND (f.tier IS NULL OR f.tier > 2) AS review_required
+       FROM mentions m LEFT JOIN found f ON f.label = m.label AND f.text = m.text AND f.fuzzy = m.fuzzy"""))
 def _(spark, sf):
     return K.code_mentions(mentions(spark, sf), lookups(spark, sf), V.CODE_SYSTEMS).select(
         "mention_id", "system", "code", "display", "match_type", "confidence", "review_required")
@@ -192,8 +194,8 @@ def _coded(spark, sf):
 
 
 _CODED = f"""{_TIERED},
-cm AS (SELECT m.criterion_id, m.mention_no, f.system, f.code, f.display, f.tier, CASE f.tier WHEN 3 THEN 0.6 WHEN 4 THEN 0.6 ELSE 0.4 END AS cf
-  FROM mentions m LEFT JOIN found f ON f.label = m.label AND f.text = m.text AND f.fuzzy = m.fuzzy WHERE m.label <> 'OTHER')"""
+cm AS (SELECT m.criterion_id, m.mention_no, m.label, f.system, f.code, f.display, f.tier, CASE f.tier WHEN 3 THEN 0.6 WHEN 4 THEN 0.6 ELSE 0.4 END AS cf
+  FROM mentions m LEFT JOIN found f ON f.label = m.label AND f.text = m.text AND f.fuzzy = m.fuzzy)"""
 
 
 @query("k13_concept_dedupe", V.oracle_with(NV, _CODED, """SELECT criterion_id, system, code, CASE min(tier) WHEN 1 THEN 'exact' WHEN 2 THEN 'synonym' ELSE 'fuzzy' END AS match_type FROM cm
@@ -204,14 +206,14 @@ def _(spark, sf):
 
 # The fold in order, unrolled: criteria of the derived view have at most five coded mentions.
 _FOLDED = f"""{_CODED},
-ordered AS (SELECT *, row_number() OVER (PARTITION BY criterion_id ORDER BY mention_no) AS n FROM cm),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY criterion_id ORDER BY mention_no) AS n FROM cm WHERE label <> 'OTHER'),
 f0 AS (SELECT DISTINCT criterion_id, CAST(0.7 AS DOUBLE) AS c FROM cm),
 """ + ",\n".join(f"""f{i} AS (SELECT f.criterion_id, CASE o.tier WHEN 1 THEN greatest(c, 0.9) WHEN 2 THEN greatest(c, 0.82) WHEN 3 THEN least(c, 0.6) WHEN 4 THEN least(c, 0.6)
     ELSE CASE WHEN o.n IS NULL THEN c ELSE least(c, 0.4) END END AS c FROM f{i - 1} f LEFT JOIN ordered o ON o.criterion_id = f.criterion_id AND o.n = {i})""" for i in range(1, 6))
 
 
-@query("k14_coding_merge", V.oracle_with(NV, _FOLDED, """SELECT criterion_id, any_value(c) AS confidence, bool_or(coalesce(tier, 3) > 2) AS review_required,
-       CASE WHEN bool_or(tier IS NULL) AND bool_or(tier > 2) THEN 'mixed_coding_review' WHEN bool_or(tier IS NULL) THEN 'uncoded_entity' WHEN bool_or(tier > 2) THEN 'fuzzy_match' END AS review_reason
+@query("k14_coding_merge", V.oracle_with(NV, _FOLDED, """SELECT criterion_id, any_value(c) AS confidence, bool_or(label <> 'OTHER' AND coalesce(tier, 3) > 2) AS review_required,
+       CASE WHEN bool_or(tier IS NULL AND label <> 'OTHER') AND bool_or(tier > 2) THEN 'mixed_coding_review' WHEN bool_or(tier IS NULL AND label <> 'OTHER') THEN 'uncoded_entity' WHEN bool_or(tier > 2) THEN 'fuzzy_match' END AS review_reason
        FROM cm JOIN f5 USING (criterion_id) GROUP BY criterion_id"""))
 def _(spark, sf):
     coded = _coded(spark, sf)
