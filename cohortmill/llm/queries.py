@@ -121,19 +121,34 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 MIX_BUDGET, MIX_SEED = 0.5, 23
 
 
+def _level_sql(name: str, rows: str, keys: str) -> str:
+    """Column ``level`` of ``rows`` (raw, cap): raw times a common scale, at most cap, summing to 1. Places by cap per raw give the scale."""
+    return f"""s_{name} AS (SELECT cap / raw AS ratio, (1 - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(raw) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS scale
+  FROM {rows} WHERE raw > 0 WINDOW o AS (ORDER BY cap / raw, {keys})),
+t_{name} AS MATERIALIZED (SELECT *, least(cap, coalesce(raw * (SELECT arg_min(scale, ratio) FROM s_{name} WHERE scale <= ratio), cap)) AS target FROM {rows})"""
+
+
+def _margin_sql(dim: str, raw: str) -> str:
+    return f"""g_{dim} AS (SELECT {dim}, CAST({raw} AS DOUBLE) AS raw, n / ({MIX_BUDGET} * (SELECT total FROM a)) AS cap FROM (SELECT {dim}, sum(n) AS n FROM c GROUP BY {dim}) x),
+{_level_sql(dim, f"g_{dim}", dim)}"""
+
+
 def _rake_sql() -> str:
-    """The raking rounds, one CTE per margin."""
-    out, last = [], "w0"
-    for i in range(1, mixing.ROUNDS + 1):
-        for dim in ("source", "lang", "topic"):
-            name = f"r{i}_{dim}"
-            out.append(f"""{name} AS MATERIALIZED (
-  SELECT source, lang, topic, n, CASE WHEN s > 0 THEN w * target / s ELSE w END AS w
-  FROM {last} JOIN (SELECT {dim}, sum(w) AS s FROM {last} GROUP BY {dim}) USING ({dim}) JOIN t_{dim} USING ({dim}))""")
-            last = name
-        out.append(f"w{i} AS MATERIALIZED (SELECT source, lang, topic, n, least(w, n / ({MIX_BUDGET} * (SELECT total FROM a))) AS w FROM {last})")
-        last = f"w{i}"
-    return ",\n".join(out)
+    """Rounds of the three margins, until the gap of a round is within the tolerance or hardly less than before; then the budget is filled."""
+    last = f"it WHERE round < {mixing.ROUNDS} AND gap > {mixing.TOLERANCE} AND gap <= prior - {mixing.TOLERANCE / 4}"
+    for dim in ("source", "lang", "topic"):
+        last = f"(SELECT * REPLACE (CASE WHEN sum(w) OVER (PARTITION BY {dim}) > 0 THEN w * t_{dim} / sum(w) OVER (PARTITION BY {dim}) ELSE w END AS w) FROM {last})"
+    gaps = ", ".join(f"abs(sum(w) OVER (PARTITION BY {dim}) - t_{dim})" for dim in ("source", "lang", "topic"))
+    columns = "source, lang, topic, n, cap, t_source, t_lang, t_topic"
+    return f"""it AS (
+  SELECT 0 AS round, source, lang, topic, n, n / ({MIX_BUDGET} * total) AS cap, t_source.target AS t_source, t_lang.target AS t_lang, t_topic.target AS t_topic, n / total AS w,
+    CAST(9 AS DOUBLE) AS gap, CAST(99 AS DOUBLE) AS prior
+  FROM c JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic), a
+  UNION ALL
+  SELECT round, {columns}, w, greatest(max(g) OVER (), abs(sum(w) OVER () - {min(1.0, 1.0 / MIX_BUDGET)})) AS gap, prior
+  FROM (SELECT *, greatest({gaps}) AS g FROM (SELECT round + 1 AS round, {columns}, least(w, cap) AS w, gap AS prior FROM {last}))),
+g_fit AS MATERIALIZED (SELECT source, lang, topic, n, cap, w AS raw FROM it WHERE round = (SELECT max(round) FROM it)),
+{_level_sql("fit", "g_fit", "source, lang, topic")}"""
 
 
 _COUNTS_SQL = " UNION ALL ".join(
@@ -141,7 +156,7 @@ _COUNTS_SQL = " UNION ALL ".join(
     for i, (t, endings) in enumerate(sorted(mixing.TOPICS.items()), 1))
 _LANG_SQL = ", ".join(f"('{k}', {v})" for k, v in mixing.LANGUAGES.items())
 OP4_SQL = f"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) AS tokens,
     lower(coalesce(text, '')) AS low, coalesce(text, '') AS text FROM documents),
 tc AS ({_COUNTS_SQL}),
@@ -149,14 +164,12 @@ tp AS (SELECT rid, CASE WHEN max(c) > 0 THEN arg_max(t, c * 100 + k) ELSE 'other
 x AS MATERIALIZED (SELECT d.*, topic FROM d JOIN tp USING (rid)),
 c AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS n FROM x GROUP BY ALL),
 a AS MATERIALIZED (SELECT CAST(sum(n) AS DOUBLE) AS total FROM c),
-g_source AS (SELECT source, sqrt(sum(n)) AS raw FROM c GROUP BY source), t_source AS MATERIALIZED (SELECT source, raw / (SELECT sum(raw) FROM g_source) AS target FROM g_source),
-g_topic AS (SELECT topic, sqrt(sum(n)) AS raw FROM c GROUP BY topic), t_topic AS MATERIALIZED (SELECT topic, raw / (SELECT sum(raw) FROM g_topic) AS target FROM g_topic),
 l(lang, share) AS (VALUES {_LANG_SQL}),
-g_lang AS (SELECT lang, coalesce(share, (SELECT min(share) FROM l)) AS raw FROM (SELECT DISTINCT lang FROM c) LEFT JOIN l USING (lang)),
-t_lang AS MATERIALIZED (SELECT lang, CAST(raw AS DOUBLE) / (SELECT CAST(sum(raw) AS DOUBLE) FROM g_lang) AS target FROM g_lang),
-w0 AS MATERIALIZED (SELECT source, lang, topic, n, n / (SELECT total FROM a) AS w FROM c),
+{_margin_sql("source", "sqrt(n)")},
+{_margin_sql("topic", "sqrt(n)")},
+{_margin_sql("lang", "coalesce((SELECT max(share) FROM l WHERE l.lang = x.lang), (SELECT min(share) FROM l))")},
 {_rake_sql()},
-rates AS (SELECT source, lang, topic, round(CASE WHEN n > 0 THEN least(1.0, w * ({MIX_BUDGET} * (SELECT total FROM a)) / n) ELSE 0.0 END, 9) AS keep_rate FROM w{mixing.ROUNDS})
+rates AS (SELECT source, lang, topic, round(CASE WHEN n > 0 THEN least(1.0, target * ({MIX_BUDGET} * (SELECT total FROM a)) / n) ELSE 0.0 END, 9) AS keep_rate FROM t_fit)
 SELECT doc_id, CAST(tokens AS BIGINT) AS tokens, topic, keep_rate,
   CAST(('0x' || substr(md5('{MIX_SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(text)), 1, 8)) AS BIGINT) / 4294967296.0 < keep_rate AS selected
 FROM x JOIN rates USING (source, lang, topic)"""
