@@ -107,7 +107,10 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
 
 
 def trigram_postings(rows: DataFrame, trigrams: list[str]) -> DataFrame:
-    """(block, trigram, ids): sorted row keys of a block of rows whose lower-cased text has the trigram."""
+    """(block, trigram, ids): sorted row keys of a block of rows whose lower-cased text has the trigram.
+
+    Each trigram of the queries is looked for in the text by itself: a list of all trigrams of a text would be larger than the text.
+    """
     low = rows.select("block", "key", F.explode(F.array(F.lower(F.col("text")))).alias("low"))  # lower-cased once, not once per trigram
     have = F.filter(F.array(*[F.when(F.contains(F.col("low"), F.lit(t)), F.lit(t)) for t in trigrams]), lambda t: t.isNotNull())
     return (
@@ -143,23 +146,36 @@ def candidates(postings: DataFrame, queries: dict[str, list[list[frozenset[str]]
     )
 
 
+def running_sums(values: Column) -> Column:
+    """Sums of all values up to each place, in log2(n) passes over the array: each pass adds the value 1, 2, 4, … places before."""
+    def add(sums: Column, step: Column) -> Column:
+        before = F.concat(F.array_repeat(F.lit(0), step), F.slice(sums, F.lit(1), F.size(sums) - step))
+        return F.zip_with(sums, before, lambda x, y: x + y)
+
+    def summed(v: Column) -> Column:
+        return F.aggregate(F.filter(F.array(*[F.lit(2**i) for i in range(31)]), lambda step: step < F.size(v)), v, add)
+
+    return F.transform(F.array(values), summed)[0]  # bound to a variable, so that ``values`` is computed once
+
+
 def matches(text: Column, rule: Rule) -> Column:
-    """Array of (start, kind, end) in code points of the rule's leftmost non-overlapping matches that count."""
+    """Array of (start, kind, end) in code points of the rule's leftmost non-overlapping matches that count.
+
+    Linear in the text but for the running sums, n log n in the number of matches.
+    """
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     judged = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
     gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
-    parts = F.zip_with(F.zip_with(gaps, F.transform(whole, F.length), lambda g, w: F.struct(g.alias("gap"), w.alias("len"))), F.transform(judged, F.length),
-                       lambda x, j: F.struct(x["gap"].alias("gap"), x["len"].alias("len"), j.alias("judged")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:string,end:int>>").alias("out"))
+    parts = F.zip_with(F.zip_with(gaps, F.transform(whole, F.length), lambda g, w: F.struct(g.alias("gap"), F.coalesce(w, F.lit(0)).alias("len"))), F.transform(judged, F.length),
+                       lambda x, j: F.struct(x["gap"].alias("gap"), x["len"].alias("len"), F.coalesce(j, F.lit(-1)).alias("judged")))
 
-    def step(acc, p):
-        begin = acc["at"] + p["gap"]
-        end = begin + F.coalesce(p["len"], F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.coalesce(p["judged"], F.lit(-1)) >= rule.least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def spans(p: Column) -> Column:
+        ends = running_sums(F.transform(p, lambda x: x["gap"] + x["len"]))
+        placed = F.zip_with(p, ends, lambda x, e: F.struct((e - x["len"]).alias("start"), F.lit(rule.kind).alias("kind"), e.alias("end"), x["judged"].alias("judged")))
+        return F.transform(F.filter(placed, lambda x: x["judged"] >= rule.least), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
 
     none = F.array().cast("array<struct<start:int,kind:string,end:int>>")
-    return F.when(text.rlike(rule.pattern), F.aggregate(parts, start, step)["out"]).otherwise(none)
+    return F.when(text.rlike(rule.pattern), F.transform(F.array(parts), spans)[0]).otherwise(none)
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, doc_id: str = "doc_id", text: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
