@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cohortmill.llm.rows import least_hashes, stored, text_of
 
 BACKGROUND = 2_000    # corpus paragraphs that train the unknown class, at most
-COMMON = 0.01         # a template word in more of the background's paragraphs is no cue
+COMMON = 0.01         # a template word in more of the corpus's other paragraphs is no cue
 SHARE = 0.75          # share of a template's word pairs that a confirmed paragraph holds
 TEMPERATURES = (0.25, 0.5, 1.0, 2.0, 4.0)
 UNKNOWN = "unknown"
@@ -107,20 +107,39 @@ def blocks_of(text: Column) -> Column:
     return F.transform(F.filter(before, lambda x: F.size(x["b"]) > 1), lambda x: F.struct((x["n"] + 1).alias("paragraph"), (x["n"] + F.size(x["b"])).alias("last"), F.array_join(x["b"], " ").alias("text")))
 
 
-def fit(spark: SparkSession, background: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> Model:
+def other_paragraphs(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(h, text, w) of every paragraph that holds less than half of the word pairs of each template: a seeded hash, the text, its words."""
+    wanted = {t: F.array_distinct(pairs_of(words_of(F.lit(t)))) for _, t in templates}
+    lines = docs.select(F.col(doc_id).alias("id"), F.posexplode(paragraphs_of(text_of(text))).alias("n", "text"))
+    worded = lines.select(F.xxhash64("id", "n", "text").alias("h"), "text", words_of(F.col("text")).alias("w"))
+    held = worded.withColumn("g", F.array_intersect(pairs_of(F.col("w")), F.array_distinct(F.flatten(F.array(*wanted.values())))))
+    few = F.lit(True)
+    for want in wanted.values():
+        few = few & (F.size(F.array_intersect("g", want)) < 0.5 * F.size(want))
+    return held.where((F.size("g") == 0) | few).drop("g")
+
+
+def word_counts(paragraphs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> dict[str, int]:
+    """Paragraphs (w) that hold each template word, and under "" all of them: one aggregate whose keys are the template words."""
+    known = F.array(*map(F.lit, sorted({w for _, t in templates for w in re.findall(WORD, t.lower())})))
+    words = paragraphs.select(F.explode(F.array_append(F.array_intersect("w", known), F.lit(""))).alias("w"))
+    return {r["w"]: r["n"] for r in words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def fit(spark: SparkSession, background: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, counts: dict[str, int] | None = None) -> Model:
     """Sparse multinomial logistic regression over word 1- and 2-grams of the templates.
 
-    Cues are template words that at most COMMON of the background paragraphs hold; features are cues and pairs with a cue, so a
-    paragraph without a cue has no feature and gets the unknown class by the intercepts alone.
+    Cues are template words that at most COMMON of the paragraphs of ``counts`` hold (see ``word_counts``; by default those of the
+    background); features are cues and pairs with a cue, so a paragraph without a cue has no feature and gets the unknown class by
+    the intercepts alone.
 
     Examples: each template whole, with a copyright line before it, with a sentence of the corpus after it, and without its last words; the
     unknown class from ``background`` (text) and NOT_LICENCES. Every fifth example is held out: there the temperature with the
     least log loss is chosen, which calibrates the probabilities of all classes, unknown included.
     """
     texts = [re.findall(WORD, t.lower()) for _, t in templates]
-    seen = background.select(F.explode(F.array_distinct(words_of(F.col("text")))).alias("w"))
-    size = background.count()
-    common = {r["w"] for r in seen.where(F.col("w").isin(sorted({w for t in texts for w in t}))).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON * size).collect()}
+    counts = word_counts(background.select(words_of(F.col("text")).alias("w")), templates) if counts is None else counts
+    common = {w for w, n in counts.items() if n > COMMON * counts[""]}
     cues = sorted({w for t in texts for w in t} - common)
     pairs = {f"{a} {b}" for t in texts for a, b in zip(t, t[1:]) if a in cues or b in cues}
     vocabulary = [*cues, *sorted(pairs)]
@@ -162,8 +181,9 @@ def scan_licences(docs: DataFrame, model: Model | None = None, templates: list[t
 
     Paragraphs are lines with text. Each one's most probable family counts if it isn't the unknown class and has a probability of at least
     ``least``; it is confirmed if the paragraph holds ``share`` of the word pairs of one of the family's templates. Everything is
-    computed inside the row: no shuffle, weights and templates are constants of fixed size. The classifier is fitted on templates
-    and at most BACKGROUND corpus paragraphs (the first of rows in order of a hash); those that hold a template's words are left out.
+    computed inside the row: no shuffle, weights and templates are constants of fixed size. Template words that are common in the
+    corpus are told by counts over all its paragraphs, bar those that hold half of a template's word pairs; the classifier is fitted
+    on the templates and on BACKGROUND of those paragraphs, drawn from all of them by the least values of a hash.
 
     A notice may be wrapped: neighbouring lines are judged joined, too, and count under their first line's number if they are confirmed
     and none of the lines is confirmed for that family by itself.
@@ -187,15 +207,10 @@ def scan_licences(docs: DataFrame, model: Model | None = None, templates: list[t
         return out
 
     if model is None:
-        some = least_hashes(docs.select(text_of(text).alias("text"), F.xxhash64(F.col(doc_id), text_of(text)).alias("h")), "h", BACKGROUND // 4)
-        some = some.select(F.explode(F.slice(paragraphs_of(F.col("text")), 1, 8)).alias("text")).limit(BACKGROUND)
-        w = words_of(F.col("text"))
-        clean = F.lit(True)
-        for texts in by_family.values():
-            for t in texts:
-                want = pairs_of(words_of(F.lit(t)))
-                clean = clean & (F.size(F.array_intersect(pairs_of(w), want)) < 0.5 * F.size(want))
-        model = fit(spark, stored(some.where(clean), "background"), templates)
+        others = other_paragraphs(docs, templates, doc_id, text)
+        counts = word_counts(others, templates)
+        some = least_hashes(others.select("h", "text"), "h", BACKGROUND, counts.get("", 0))
+        model = fit(spark, stored(some.select("text"), "background"), templates, counts)
     keep = [c for c in docs.columns if c not in ("n_paragraphs", "licences")]
     none = F.array().cast("array<struct<paragraph:int,family:string,probability:double,confirmed:boolean>>")
     parts = paragraphs_of(text_of(text))

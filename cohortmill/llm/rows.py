@@ -32,12 +32,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def least_hashes(df: DataFrame, column: str, size: int) -> DataFrame:
-    """The ``size`` rows with the least values of a 64-bit hash column: a bounded sample of the whole table.
+def least_hashes(df: DataFrame, column: str, size: int, n: int | None = None) -> DataFrame:
+    """The ``size`` rows with the least values of a 64-bit hash column: a bounded sample of the whole table, of ``n`` rows if known.
 
     Rows above a bound that some four times as many rows stay under are dropped first, so the tasks together hand on a few times ``size`` rows.
     """
-    n = df.count()
+    n = df.count() if n is None else n
     if n > 4 * size:
         df = df.where(F.col(column) < F.lit(int(-(2**63) + 2**64 * (4 * size / n))))
     return df.orderBy(*[F.col(column), *[F.col(c) for c in df.columns if c != column]]).limit(size)

@@ -282,6 +282,20 @@ def test_licences_of_every_family_and_wrapped(spark):
     assert {x["paragraph"] for r in out if r["doc_id"] in wrapped for x in r["licences"] if x["confirmed"]} >= {2}
 
 
+def test_licence_cues_count_all_paragraphs(spark):
+    """Words after the eighth paragraph count; a notice that a third of the documents carry stays a cue; empty tables give no rows."""
+    rng = random.Random(6)
+    late = [" ".join(prose(rng, 6)) + " version." for _ in range(8)]
+    rows = [(i, "\n".join([*[" ".join(prose(rng, 12)) for _ in range(8)], *late, *(["Released under the MIT License."] if i % 3 == 0 else [])])) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = licences.word_counts(licences.other_paragraphs(df))
+    assert counts["version"] == 90 * 8 and counts[""] == 90 * 16 and counts.get("mit", 0) == 0
+    out = licences.scan_licences(df).collect()
+    got = {r["doc_id"]: [(x["paragraph"], x["family"]) for x in r["licences"] if x["confirmed"]] for r in out}
+    assert got == {i: [(17, "mit")] if i % 3 == 0 else [] for i in range(90)}
+    assert licences.scan_licences(df.limit(0)).collect() == []
+
+
 def test_mixture(spark, docs, none):
     out = mixing.mix_sources(docs)
     assert out.count() == docs.count() and out.where("keep_rate is null or selected is null").count() == 0
