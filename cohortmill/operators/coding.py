@@ -457,6 +457,6 @@ def merge_coding(criteria: DataFrame, coded: DataFrame, key: str = "criterion_id
         "review_status", F.when(F.col("review_required"), "pending"))
 
 
-def code_criteria(criteria: DataFrame, lookups: DataFrame, key: str = "criterion_id") -> DataFrame:
+def code_criteria(criteria: DataFrame, lookups: DataFrame, key: str = "criterion_id", systems: dict[str, list[str]] | None = None) -> DataFrame:
     """Extracted criteria (with mentions) to coded criteria, ready to be stored."""
-    return merge_coding(criteria, stage(code_mentions(mention_lookups(criteria, key), lookups)), key)
+    return merge_coding(criteria, stage(code_mentions(mention_lookups(criteria, key), lookups, systems)), key)

@@ -746,28 +746,3 @@ def list_matches(results: DataFrame, trials: DataFrame, patient_id=None, page: i
         "*", known.alias("deterministic_count"), still.alias("unresolved_count"), (known + still).alias("evaluated_count"))
     # paged last: an ordered page that is joined afterwards loses its order
     return named.orderBy(F.desc("created_at"), F.desc("match_result_id")).offset((page - 1) * per_page).limit(per_page)
-
-
-def persist_match(spark: SparkSession, evaluations: DataFrame, rules: DataFrame, trials: DataFrame, run_id: str,
-                  path: str) -> dict[str, str]:
-    """Write results, raw criteria and review items of one match run; a rerun replaces them.
-
-    The evaluations are written first and read back, so the later writes start from a stored table:
-    nothing is recomputed and a lost executor costs only its own tasks.
-    """
-    from cohortmill.operators.gaps import gap_entries, review_items
-
-    out = {n: f"{path}/{n}" for n in ("match_result_criteria", "match_results", "match_review_items", "match_runs")}
-    tagged = evaluations.withColumn("match_run_id", F.lit(run_id)).withColumn(
-        "logic_group_id", F.col("group_id")).withColumn("logic_operator", F.when(F.col("group_id").isNotNull(), "OR"))
-    tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("match_run_id").parquet(out["match_result_criteria"])
-    stored = spark.read.parquet(out["match_result_criteria"]).where(F.col("match_run_id") == run_id)
-    effective = collapse_groups(stored, rules)
-    results = summaries(pair_results(stored, rules), effective, trials).withColumn("match_run_id", F.lit(run_id))
-    results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("match_run_id").parquet(out["match_results"])
-    items = review_items(gap_entries(effective)).withColumn("match_run_id", F.lit(run_id))
-    items.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("match_run_id").parquet(out["match_review_items"])
-    done = spark.read.parquet(out["match_results"]).where(F.col("match_run_id") == run_id)
-    run_rollup(done).withColumn("match_run_id", F.lit(run_id)).withColumn("status", F.lit("completed")) \
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("match_run_id").parquet(out["match_runs"])
-    return out

@@ -55,7 +55,7 @@ def matching_overview(results: DataFrame, latest: DataFrame) -> DataFrame:
         "hard_blockers": (F.col("overall_status") == "ineligible") & n("unfavorable_count") & (state == "structured_safe"),
         "review_required": n("unknown_count") | n("requires_review_count") | ~state.isin("structured_safe", "blocked_unsupported"),
     }
-    size = lambda b: F.when(has, F.size(F.coalesce(F.col(f"report.{b}"), F.array().cast("array<string>")))).otherwise(
+    size = lambda b: F.when(has, F.when(F.col(f"report.{b}").isNotNull(), F.size(f"report.{b}")).otherwise(0)).otherwise(
         legacy[b].cast("int") if b in legacy else F.lit(0))
     return results.join(latest.select("match_run_id"), "match_run_id", "left_semi").agg(
         F.count(F.lit(1)).alias("total_match_results"), F.count_if(has).alias("persisted_gap_report_count"),

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cohortmill.functions import logic as L
 from cohortmill.functions import text as T
-from cohortmill.functions.scale import stage
+from cohortmill.functions.scale import stage, work_dir
 from cohortmill.operators import gaps as G
 from cohortmill.operators import matching as M
+from cohortmill.operators import reports as P
+from cohortmill.operators import review as Rv
 from cohortmill.operators import runs as R
 from cohortmill.operators import whatif as D
+from cohortmill.operators.match_runs import MatchStore
 from cohortmill.plans import evaluation_sql as S
 from cohortmill.plans import views as V
 from cohortmill.plans.registry import query
@@ -262,6 +267,77 @@ def _(spark, sf):
     return ev.select(*OUT, "source_type", "type", "category", "criterion_text", "state", "state_reason", "group_id")
 
 
+_JOBS: dict[tuple[str, str], str] = {}
+
+
+def match_job(spark, sf) -> MatchStore:
+    """All requests as one stored batch of match runs, written once per session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _JOBS:
+        path = f"{work_dir(spark)}/matches/{uuid.uuid4().hex}"
+        ev, rules, i = evaluated(spark, sf)
+        MatchStore(spark, path).write("all", i["requests"], ev, rules, i["trials"])
+        _JOBS[key] = path
+    return MatchStore(spark, _JOBS[key])
+
+
+def _latest_job(store):
+    return R.latest_completed_match_runs(store.read("match_runs"))
+
+
+_FOLLOW = ", ".join(f"'{b}'" for b in G.FOLLOW_UP)
+
+
+@query("m30_match_runs", osql(S.MATCH_VIEWS, f"{S.RESULTS},\n{S.ENTRIES[len(S.EFFECTIVE) + 2:]}", f"""SELECT 'all:' || q.patient_id AS match_run_id, q.patient_id,
+       coalesce(total_trials_evaluated, 0) AS total_trials_evaluated, coalesce(eligible_trials, 0) AS eligible_trials, coalesce(possible_trials, 0) AS possible_trials,
+       coalesce(ineligible_trials, 0) AS ineligible_trials, coalesce(n_criteria, 0) AS n_criteria, coalesce(n_items, 0) AS n_items
+       FROM (SELECT DISTINCT patient_id FROM requests) q LEFT JOIN ({_ROLLUP} FROM results GROUP BY patient_id) r ON r.patient_id = q.patient_id
+       LEFT JOIN (SELECT patient_id, count(*) AS n_criteria FROM evals GROUP BY 1) c ON c.patient_id = q.patient_id
+       LEFT JOIN (SELECT patient_id, count(*) AS n_items FROM entries WHERE bucket IN ({_FOLLOW}) GROUP BY 1) e ON e.patient_id = q.patient_id"""))
+def _(spark, sf):
+    """Latest run of each patient with its stored totals and the number of its stored criteria and review items."""
+    store = match_job(spark, sf)
+    of_run = lambda name, n: store.read(name).groupBy("match_run_id").agg(F.count(F.lit(1)).alias(n))
+    runs = store.read("match_runs").join(_latest_job(store), ["patient_id", "match_run_id"], "left_semi")
+    j = runs.join(of_run("match_result_criteria", "n_criteria"), "match_run_id", "left").join(of_run("match_review_items", "n_items"), "match_run_id", "left")
+    return j.fillna(0, ["n_criteria", "n_items"]).drop("status", "created_at", "completed_at")
+
+
+@query("r4_job_queue", osql(S.MATCH_VIEWS, S.ENTRIES, f"""SELECT patient_id, trial_id, nct_id, brief_title, bucket, ordinal, coalesce(nullif(trim(state_reason), ''), bucket_kind) AS reason_code,
+       bucket = 'review_required' AS review_required FROM (SELECT *, CASE bucket WHEN 'clarifiable_blockers' THEN 'clarifiable_blocker' ELSE bucket END AS bucket_kind FROM entries)
+       JOIN trials USING (trial_id) WHERE bucket IN ({_FOLLOW})"""))
+def _(spark, sf):
+    """Review queue over the items that the match job stored."""
+    store = match_job(spark, sf)
+    q = Rv.match_queue(store.read("match_review_items"), _latest_job(store), V.view(spark, sf, "trials"))
+    return q.select(*PAIR, "nct_id", "brief_title", "bucket", F.split("item_key", ":")[1].cast("long").alias("ordinal"), "reason_code", "review_required")
+
+
+@query("p2_job_coverage", osql(S.MATCH_VIEWS, f"{S.RESULTS},\n{S.ENTRIES[len(S.EFFECTIVE) + 2:]}", f"""SELECT count(*) AS total_match_results, count(*) AS persisted_gap_report_count, 0 AS legacy_match_count,
+       {", ".join(f"count(*) FILTER (WHERE overall_status = '{x}') AS {x}" for x in M.STATUS_ORDER)},
+       {", ".join(f"(SELECT count(*) FROM entries WHERE bucket = '{b}') AS {b}" for b in G.BUCKETS)} FROM results"""))
+def _(spark, sf):
+    """Coverage over the nested gap reports that the match job stored."""
+    store = match_job(spark, sf)
+    return P.matching_overview(store.read("match_results"), _latest_job(store))
+
+
+_GAP = ["ordinal", "kind", "label", "category", "criterion_text", "outcome", "state", "state_reason"]
+
+
+@query("g1_stored_reports", osql(S.MATCH_VIEWS, S.ENTRIES, """SELECT patient_id, trial_id, bucket, ordinal, CASE bucket WHEN 'clarifiable_blockers' THEN 'clarifiable_blocker'
+       WHEN 'hard_blockers' THEN 'hard_blocker' ELSE bucket END AS kind, display_category AS category, criterion_text, outcome, state, state_reason FROM entries"""))
+def _(spark, sf):
+    """Entries of the stored nested reports, in the order in which they stand there."""
+    r = match_job(spark, sf).read("match_results")
+
+    def placed(bucket):
+        return F.transform(f"report.{bucket}", lambda e, i: F.struct(F.lit(bucket).alias("bucket"), i.cast("long").alias("place"), e.alias("e")))
+
+    x = r.select(*PAIR, F.explode(F.concat(*map(placed, G.BUCKETS))).alias("x"))
+    return x.select(*PAIR, "x.bucket", F.col("x.place").alias("ordinal"), *[f"x.e.{c}" for c in _GAP if c not in ("ordinal", "label")])
+
+
 @query("m31_match_listing", V.oracle("match_results trials", """SELECT match_result_id, nct_id, brief_title, overall_status,
        favorable_count + unfavorable_count AS deterministic_count, unknown_count + requires_review_count AS unresolved_count
        FROM match_results JOIN trials USING (trial_id) ORDER BY created_at DESC, match_result_id DESC LIMIT 100"""))

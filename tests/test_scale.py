@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortmill.functions import scale as S
 from cohortmill.operators import coding as K
 from cohortmill.operators import matching as M
+from cohortmill.operators.match_runs import MatchStore
 from cohortmill.plans import matching_queries as Q
 from cohortmill.plans import views as V
 
@@ -47,16 +48,17 @@ def test_hot_requests_change_nothing(spark):
 def test_match_invariants_and_persistence(spark, tmp_path):
     ev, rules, i = Q.evaluated(spark, SF)
     ev = S.stage(ev)
-    out = M.persist_match(spark, ev, rules, i["trials"], "run1", str(tmp_path))
-    res = spark.read.parquet(out["match_results"])
+    store = MatchStore(spark, str(tmp_path))
+    store.write("1", i["requests"], ev, rules, i["trials"])
+    res = store.read("match_results")
     eff = M.collapse_groups(ev, rules)
     per_pair = eff.groupBy("patient_id", "trial_id").count()
     total = sum(F.col(c) for c in ["favorable_count", "unfavorable_count", "unknown_count", "requires_review_count"])
     assert res.join(per_pair, ["patient_id", "trial_id"]).where(total != F.col("count")).count() == 0
     assert res.count() == per_pair.count() == res.select("patient_id", "trial_id").distinct().count()
-    runs = spark.read.parquet(out["match_runs"])
+    runs = store.read("match_runs")
     assert runs.agg(F.sum("total_trials_evaluated")).first()[0] == res.count()
-    assert spark.read.parquet(out["match_review_items"]).count() > 0
+    assert store.read("match_review_items").count() > 0
 
 
 def test_requests_for_named_patients(spark):
