@@ -157,6 +157,12 @@ def write_criteria(criteria: DataFrame, path: str, run_id: str) -> None:
         "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
+def write_batch(criteria: DataFrame, path: str, batch: str) -> None:
+    """Write the criteria of many runs (column run_id) as one batch; a rerun of the batch replaces them."""
+    pending = criteria.withColumn("review_status", F.when(F.col("review_required"), "pending")).withColumn("batch", F.lit(batch))
+    pending.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
 def write_documents(resources: DataFrame, path: str, column: str = "resource") -> None:
     """One JSON document per line, without nulls."""
     resources.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
