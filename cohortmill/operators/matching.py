@@ -414,6 +414,7 @@ def evaluate(requests: DataFrame, patients: DataFrame, trials: DataFrame, runs:
     branches.
     """
     rules = stage(trial_rules(trials, runs, criteria)) if rules is None else rules
+    facts = with_columns(facts, FACT_COLUMNS)
     asked = requests.select("patient_id", "trial_id").distinct()
     hot = hot_keys(requests, ["patient_id", "trial_id"], hot_rows)
     people = split_join(asked, patient_profile(patients, facts, as_of), "patient_id", ["trial_id"], hot.get("patient_id", []))

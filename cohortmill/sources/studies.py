@@ -146,7 +146,7 @@ def sites(studies: DataFrame) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """One text file per narrative; the file name without its suffix is the key."""
+    """One text file per narrative; the file name without its suffix is the key. Spark scans no file of zero bytes, so that has no row."""
     return spark.read.text(path, wholetext=True).select(
         F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("fixture"), F.col("value").alias("text"))
 
@@ -158,7 +158,7 @@ def write_criteria(criteria: DataFrame, path: str, run_id: str) -> None:
 
 
 def write_batch(criteria: DataFrame, path: str, batch: str) -> None:
-    """Write the criteria of many runs (column run_id) as one batch; a rerun of the batch replaces them."""
+    """Write the criteria of many runs (column run_id) as one batch; a rerun of the batch replaces them, and what reads them is to be opened again."""
     pending = criteria.withColumn("review_status", F.when(F.col("review_required"), "pending")).withColumn("batch", F.lit(batch))
     pending.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
