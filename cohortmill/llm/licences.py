@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -11,6 +12,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortmill.functions.scale import barrier
 from cohortmill.llm.rows import least_hashes, stored, text_of
 
 BACKGROUND = 2_000    # corpus paragraphs that train the unknown class, at most
@@ -70,6 +72,16 @@ def pairs_of(words: Column) -> Column:
     return F.when(F.size(words) > 1, F.array_distinct(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b)))).otherwise(words)
 
 
+def template_pairs(text: str) -> list[str]:
+    """Those of a template, as constants: made of Column expressions they would be made anew for every row."""
+    w = re.findall(WORD, text.lower())
+    return list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:]))) if len(w) > 1 else w
+
+
+def constants(texts: Iterable[str]) -> Column:
+    return F.array(*map(F.lit, texts)).cast("array<string>")
+
+
 def grams_of(words: Column) -> Column:
     return F.array_distinct(F.concat(words, F.when(F.size(words) > 1, pairs_of(words)).otherwise(F.array().cast("array<string>"))))
 
@@ -109,13 +121,14 @@ def blocks_of(text: Column) -> Column:
 
 def other_paragraphs(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(h, text, w) of every paragraph that holds less than half of the word pairs of each template: a seeded hash, the text, its words."""
-    wanted = {t: F.array_distinct(pairs_of(words_of(F.lit(t)))) for _, t in templates}
+    wanted = [template_pairs(t) for _, t in templates]
     lines = docs.select(F.col(doc_id).alias("id"), F.posexplode(paragraphs_of(text_of(text))).alias("n", "text"))
-    worded = lines.select(F.xxhash64("id", "n", "text").alias("h"), "text", words_of(F.col("text")).alias("w"))
-    held = worded.withColumn("g", F.array_intersect(pairs_of(F.col("w")), F.array_distinct(F.flatten(F.array(*wanted.values())))))
+    # Words and pairs are made once per paragraph; the filter, copied into them, would make them again for every template.
+    worded = barrier(lines.select(F.xxhash64("id", "n", "text").alias("h"), "text", words_of(F.col("text")).alias("w")))
+    held = barrier(worded.withColumn("g", F.array_intersect(pairs_of(F.col("w")), constants(dict.fromkeys(p for want in wanted for p in want)))))
     few = F.lit(True)
-    for want in wanted.values():
-        few = few & (F.size(F.array_intersect("g", want)) < 0.5 * F.size(want))
+    for want in wanted:
+        few = few & (F.size(F.array_intersect("g", constants(want))) < 0.5 * len(want))
     return held.where((F.size("g") == 0) | few).drop("g")
 
 
@@ -201,8 +214,8 @@ def scan_licences(docs: DataFrame, model: Model | None = None, templates: list[t
         for f, texts in by_family.items():
             holds = F.lit(False)
             for t in texts:
-                want = pairs_of(words_of(F.lit(t)))
-                holds = holds | (F.size(F.array_intersect(pairs_of(words), want)) >= F.lit(share) * F.size(want))
+                want = template_pairs(t)
+                holds = holds | (F.size(F.array_intersect(pairs_of(words), constants(want))) >= F.lit(share) * len(want))
             out = F.when(family == f, holds).otherwise(out)
         return out
 
