@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortmill.operators.extract import extract
@@ -13,7 +10,7 @@ from cohortmill.sources.store import KeyedStore
 from cohortmill.sources.studies import parse_studies, record_error, sites, study_hash, trial_snapshot
 
 OUTCOME = "nct_id string, content_hash string, arrived_at timestamp, raw_json string, status string, error_message string"
-NO_KEY = "\x00"  # begins the state key of a record without a usable id; such keys are spread by content and leave no state
+NO_KEY = "\x00"  # begins the key of a record without a usable id; such keys are spread by content
 
 
 def read_stream(spark: SparkSession, path: str, max_files: int = 1000, lines: bool = False) -> DataFrame:
@@ -32,34 +29,29 @@ def keyed(records: DataFrame) -> DataFrame:
         F.coalesce(key, F.concat(F.lit(NO_KEY), F.xxhash64("raw_json").cast("string"))).alias("key"), study_hash().alias("content_hash"), "arrived_at", "raw_json", "error_message")
 
 
-def _judge(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Outcomes of one key's records in a batch: the newest is ingested or, when the stored hash is the same, skipped; older ones are superseded."""
-    newest = None
-    for frame in frames:
-        frame = frame.assign(nct_id=key[0], status="superseded")
-        if key[0].startswith(NO_KEY):
-            yield frame.assign(nct_id=None, status="failed")[_COLUMNS]
-            continue
-        order = pd.concat([f for f in (newest, frame) if f is not None], ignore_index=True).sort_values(["arrived_at", "content_hash", "raw_json"], na_position="first")
-        newest = order.iloc[-1:]
-        if len(order) > 1:
-            yield order.iloc[:-1].assign(raw_json=None)[_COLUMNS]
-    if newest is not None:
-        same = state.exists and state.get[0] == newest["content_hash"].iloc[0]
-        state.update((newest["content_hash"].iloc[0],))
-        yield (newest.assign(status="skipped", raw_json=None) if same else newest.assign(status="ingested"))[_COLUMNS]
-
-
-_COLUMNS = ["nct_id", "content_hash", "arrived_at", "raw_json", "status", "error_message"]
+def outcomes(records: DataFrame, stored: DataFrame) -> DataFrame:
+    """Every record of a batch with its outcome: ingested, skipped, superseded or failed.
 
+    Of the records of one key the newest (arrived_at, content_hash, raw_json; nulls lowest) is ingested or, when ``stored`` (nct_id,
+    content_hash) has its hash, skipped; older ones are superseded. Records without a usable id fail and are not compared.
+    """
+    read = keyed(records)
+    nct_id = F.when(F.col("error_message").isNull(), F.col("key")).alias("nct_id")
+    newest = Window.partitionBy("key").orderBy(F.desc("arrived_at"), F.desc("content_hash"), F.desc("raw_json"))
+    known = stored.select(F.col("nct_id").alias("key"), F.col("content_hash").alias("_known"))
+    placed = read.withColumn("_place", F.row_number().over(newest)).join(known.hint("merge"), "key", "left")
+    status = (
+        F.when(F.col("error_message").isNotNull(), "failed").when(F.col("_place") > 1, "superseded")
+        .when(F.col("_known") == F.col("content_hash"), "skipped").otherwise("ingested"))
+    return placed.withColumn("status", status).select(
+        nct_id, "content_hash", "arrived_at", F.when(F.col("status").isin("ingested", "failed"), F.col("raw_json")).alias("raw_json"), "status", "error_message")
 
-def outcomes(records: DataFrame) -> DataFrame:
-    """Every record of the stream with its outcome: ingested, skipped, superseded or failed.
 
-    What is remembered of a trial is its last content hash, in the stream's state store, so the work of a batch follows the
-    batch and not what was ingested before; a batch that is run again starts from the state before it and gives the same rows.
-    """
-    return keyed(records).groupBy("key").applyInPandasWithState(_judge, OUTCOME, "content_hash string", "append", "NoTimeout")
+def judged(records: DataFrame, store: str, batch_id: int) -> DataFrame:
+    """Outcomes of a batch of records. What is remembered of a trial is the hash in its keyed row as the batches before this one
+    left it, so a batch that is run again after a failure is judged as before."""
+    spark = records.sparkSession
+    return outcomes(records, KeyedStore(spark, f"{store}/keyed").read("trials", _empty(spark, trial_snapshot), before=batch_id))
 
 
 def ingest_batch(batch: DataFrame, store: str, batch_id: int) -> None:
@@ -107,6 +99,6 @@ def _empty(spark: SparkSession, make):
 def start(spark: SparkSession, source: str, store: str, checkpoint: str, lines: bool = False):
     """Process everything that has arrived, then stop; run again (or on a schedule) for more."""
     return (
-        outcomes(read_stream(spark, source, lines=lines)).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-        .foreachBatch(lambda df, i: ingest_batch(df, store, i)).start()
+        read_stream(spark, source, lines=lines).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        .foreachBatch(lambda df, i: ingest_batch(judged(df, store, i), store, i)).start()
     )

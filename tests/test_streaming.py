@@ -25,3 +25,16 @@ def test_only_changed_studies_are_extracted(spark, tmp_path):
     latest = {r["nct_id"]: r["eligibility_text"] for r in ingest.stored_trials(spark, store).collect()}
     assert latest["NCT00000002"] == "1. ANC >= 2000"
     assert not ingest.stored_trials(spark, store).where("accepts_healthy").count()
+
+
+def test_outcomes_of_a_batch_are_judged_by_spark(spark):
+    one, two = json.dumps(study("NCT00000001", "1. Age >= 18 years")), json.dumps(study("NCT00000002", "1. ANC >= 1500"))
+    old = json.dumps(study("NCT00000001", "1. Age >= 20 years"))
+    rows = [(one, "2024-01-02 00:00:00"), (old, "2024-01-01 00:00:00"), (old, None), (one, "2024-01-02 00:00:00"), (two, "2024-01-01 00:00:00"), ("{", None), ("{", None)]
+    records = spark.createDataFrame(rows, "raw_json string, at string").selectExpr("raw_json", "cast(at as timestamp) as arrived_at")
+    known = ingest.keyed(records.where("raw_json like '%NCT00000002%'")).selectExpr("key as nct_id", "content_hash")
+    got = ingest.outcomes(records, known)
+    seen = sorted((r.nct_id or "", r.status, r.raw_json or "") for r in got.collect())
+    assert seen == sorted([("", "failed", "{")] * 2 + [("NCT00000001", "superseded", "")] * 3 + [("NCT00000001", "ingested", one), ("NCT00000002", "skipped", "")])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "ArrowEval" not in plan
