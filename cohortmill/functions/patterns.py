@@ -20,6 +20,9 @@ EXCLUSION_SIGNALS = [
     r"\bwithout\s+(?:prior|active|known|evidence)\b",
 ]
 
+# Letters that a text of each signal holds in lower case, whatever its case was: only such without a foreign case variant (i, k and s have one).
+EXCLUSION_HINTS = ["not", "not", "cannot", "no", "no", "ence", "clude", "nel", "not", "not", "thout"]
+
 # Clause shapes
 LABELLED = r"^(.+?),\s*including:\s*a\)\s*(.+?);\s*b\)\s*(.+?)$"
 PROGRESSION_AFTER = (

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortmill.functions import patterns as P
 from cohortmill.functions import text as T
+from cohortmill.functions.scale import each
 
 _EOL = r"(?=\n|\z)"
 _HEADER = f"(?:{P.INCLUSION_HEADER}|{P.EXCLUSION_HEADER}){_EOL}"
@@ -18,7 +19,7 @@ _BOUNDARY = f"(?:{P.MARKER}|{P.INTRO_LINE}{_EOL})"
 
 
 def _lines_joined(piece: Column) -> Column:
-    return T.strip_ws(F.regexp_replace(piece, r"(?U)\s*\n\s*", " "))
+    return T.strip_ws(F.when(piece.contains("\n"), F.regexp_replace(piece, r"(?U)\s*\n\s*", " ")).otherwise(piece))
 
 
 def _drop_line(piece: Column) -> Column:
@@ -28,8 +29,8 @@ def _drop_line(piece: Column) -> Column:
 def polarity(text: Column) -> Column:
     """exclusion when any exclusion signal occurs, else inclusion."""
     hit = F.lit(False)
-    for p in P.EXCLUSION_SIGNALS:
-        hit = hit | T.has(text, p)
+    for p, hint in zip(P.EXCLUSION_SIGNALS, P.EXCLUSION_HINTS, strict=True):
+        hit = hit | (F.lower(text).contains(hint) & T.has(text, p))
     return F.when(hit, "exclusion").otherwise("inclusion")
 
 
@@ -68,8 +69,9 @@ def section_items(text: Column) -> Column:
 def split_items(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per item: key, item_no, text, type, review flag of a polarity override."""
     rows = (
-        docs.where(F.length(T.strip_ws(F.col("text"))) > 0)
-        .select(key, has_headers(F.col("text")).alias("headed"), F.posexplode(section_items(F.col("text"))).alias("item_no", "item"))
+        # what holds for the whole text is made before its items, or it would be made again for each of them
+        each(docs.where(F.length(T.strip_ws(F.col("text"))) > 0)
+             .select(key, has_headers(F.col("text")).alias("headed"), section_items(F.col("text")).alias("_items")), F.col("_items"), "item_no", "item")
         .select(key, "headed", "item_no", F.col("item.section").alias("section"), F.col("item.text").alias("text"))
     )
     detected = polarity(F.col("text"))
@@ -147,7 +149,7 @@ def labelled_clauses(text: Column) -> Column:
     prefix, first, second = (T.strip_ws(_group(text, P.LABELLED, n)) for n in (1, 2, 3))
     first = _rstrip(first, ".;")
     ok = (
-        T.has(text, P.LABELLED) & T.has(prefix, r"histopathology\s+and/or\s+cytology\s+documented")
+        text.contains(";") & T.has(text, P.LABELLED) & T.has(prefix, r"histopathology\s+and/or\s+cytology\s+documented")
         & F.lower(first).contains("breast cancer") & F.lower(second).contains("her2-positive")
     )
     suffix = "documented by histopathology and/or cytology"
@@ -178,7 +180,7 @@ def including_progression_clauses(text: Column) -> Column:
     first = _rstrip(T.strip_ws(F.concat(lemma, F.lit(" "), head)), ";,")
     tail = _rstrip(tail, " .;")
     second = T.strip_ws(F.concat(lemma, F.when(F.lower(tail).startswith("disease progression"), " documented ").otherwise(" "), tail))
-    return _clauses(T.has(text, P.INCLUDING_PROGRESSION), F.array(first, second), "AND")
+    return _clauses(text.contains(",") & T.has(text, P.INCLUDING_PROGRESSION), F.array(first, second), "AND")
 
 
 def progression_clauses(text: Column) -> Column:
@@ -186,7 +188,7 @@ def progression_clauses(text: Column) -> Column:
     prefix = T.strip_ws(_group(text, P.PROGRESSION_AFTER, 1))
     parts = split_and(_group(text, P.PROGRESSION_AFTER, 2))
     texts = F.transform(parts, lambda p: T.strip_ws(F.concat(prefix, F.lit(" "), T.strip_ws(p))))
-    return _clauses(T.has(text, P.PROGRESSION_AFTER) & (F.size(parts) >= 2), texts, "AND")
+    return _clauses(F.lower(text).contains("after") & T.has(text, P.PROGRESSION_AFTER) & (F.size(parts) >= 2), texts, "AND")
 
 
 def following_types_clauses(text: Column) -> Column:
@@ -198,7 +200,7 @@ def following_types_clauses(text: Column) -> Column:
     names = F.filter(F.transform(items, _bare), lambda p: F.length(p) > 0)
     # array_join over non-empty pieces keeps single spaces
     texts = F.transform(names, lambda n: T.strip_ws(F.array_join(F.filter(F.array(prefix, n, tail), lambda x: F.length(x) > 0), " ")))
-    ok = T.has(text, P.FOLLOWING_TYPES) & (F.size(items) >= 2) & (F.size(names) >= 2)
+    ok = text.contains(":") & T.has(text, P.FOLLOWING_TYPES) & (F.size(items) >= 2) & (F.size(names) >= 2)
     return _clauses(ok, texts, "OR")
 
 
@@ -223,13 +225,10 @@ def decompose(items: DataFrame, key: str = "doc_id") -> DataFrame:
     chosen = F.coalesce(*[F.col(f"_{n}") for n in RULES])
     which = F.coalesce(*[F.when(F.col(f"_{n}").isNotNull(), n) for n in RULES])
     group = F.sha1(F.concat_ws(":", F.col(key).cast("string"), F.col("item_no").cast("string")))
-    return (
-        out.withColumn("_split", chosen).withColumn("split_rule", which)
-        .select(
-            *[c for c in items.columns if c != "text"], F.col("text").alias("source_sentence"), "split_rule",
-            F.when(F.col("_split").isNotNull(), group).alias("logic_group_id"),
-            F.col("_split.operator").alias("logic_operator"),
-            F.posexplode(F.coalesce(F.col("_split.texts"), F.array("text"))).alias("clause_no", "text"),
-        )
-        .withColumn("source_clause_text", F.col("text"))
+    read = out.withColumn("_split", chosen).withColumn("split_rule", which).select(
+        *[c for c in items.columns if c != "text"], F.col("text").alias("source_sentence"), "split_rule",
+        F.when(F.col("_split").isNotNull(), group).alias("logic_group_id"),
+        F.col("_split.operator").alias("logic_operator"),
+        F.coalesce(F.col("_split.texts"), F.array("text")).alias("_texts"),
     )
+    return each(read, F.col("_texts"), "clause_no", "text").drop("_texts").withColumn("source_clause_text", F.col("text"))

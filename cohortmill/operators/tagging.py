@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from cohortmill.functions import text as T
 
 MENTION = "struct<text:string,label:string,start:int,end:int,expanded_text:string>"
 INLINE_PHRASES = 5_000
+CHUNK = 64  # texts whose mentions are Python objects at a time
 
 
 def _mention(text: Column, label, start: Column, end: Column) -> Column:
@@ -80,19 +82,24 @@ def tag(df: DataFrame, phrases: DataFrame, text: str = "text", inline: int = INL
 
     @F.arrow_udf(f"array<{MENTION}>")
     def mentions(column: pa.Array) -> pa.Array:
-        out = []
-        for value in column.to_pylist():
-            hits = []
-            for raw, words, start, end in _spans(value or "", reach, 0):
-                label = next((table[v] for v in _variants(raw, words) if v in table), None)
-                if label:
-                    hits.append((-len(words), start, end, raw, label))
-            kept = []
-            for h in sorted(hits):
-                if all(h[2] <= k[1] or h[1] >= k[2] for k in kept):
-                    kept.append(h)
-            out.append([dict(text=k[3], label=k[4], start=k[1], end=k[2], expanded_text=None) for k in sorted(kept, key=lambda k: k[1])])
-        return pa.array(out, type=kind)
+        # long texts hold many hits: only those of a few texts are Python objects at a time
+        parts = [pa.array([found(v.as_py()) for v in column.slice(at, CHUNK)], type=kind) for at in range(0, len(column), CHUNK)]
+        return pa.concat_arrays(parts) if parts else pa.array([], type=kind)
+
+    def found(value: str | None) -> list[dict]:
+        hits = []
+        for raw, words, start, end in _spans(value or "", reach, 0):
+            label = next((table[v] for v in _variants(raw, words) if v in table), None)
+            if label:
+                hits.append((-len(words), start, end, raw, label))
+        # kept spans do not overlap, so a new one has to clear its two neighbours only
+        starts, kept = [], []
+        for h in sorted(hits):
+            i = bisect_left(starts, h[1])
+            if (i == 0 or kept[i - 1][2] <= h[1]) and (i == len(kept) or h[2] <= kept[i][1]):
+                starts.insert(i, h[1])
+                kept.insert(i, h)
+        return [dict(text=k[3], label=k[4], start=k[1], end=k[2], expanded_text=None) for k in kept]
 
     return df.withColumn("mentions", mentions(F.col(text)))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortmill.functions import patterns as P
+from cohortmill.functions.scale import each
 from cohortmill.operators import classify as C
 from cohortmill.operators import extract as X
 from cohortmill.operators import narrative as N
@@ -185,7 +186,7 @@ def _(spark, sf):
 def _(spark, sf):
     d = items(spark, sf).select("text").distinct().where(~F.col("text").startswith("Recovered"))
     d = G.augment(d.withColumn("mentions", F.array().cast(f"array<{G.MENTION}>")))
-    return d.select("text", F.explode("mentions").alias("m")).where(F.col("m.label") == "DATE").select("text", F.col("m.text").alias("mention"))
+    return each(d, F.col("mentions"), "at", "m").where(F.col("m.label") == "DATE").select("text", F.col("m.text").alias("mention"))
 
 
 _ABBR = ", ".join(f"('{a}', '{quoted(e)}')" for a, e in Dc.default_abbreviations().items())
@@ -216,7 +217,7 @@ def _(spark, sf):
 def _(spark, sf):
     i = items(spark, sf)
     d = G.suppress_redundant(G.augment(G.tag(i, Dc.phrase_table(spark)))).withColumn("category", F.lit("diagnosis"))
-    return d.withColumn("p", X.compound_clauses()).where(F.col("p").isNotNull()).select("item_id", F.posexplode("p").alias("part_no", "part"))
+    return each(d.select("item_id", X.compound_clauses().alias("p")), F.col("p"), "part_no", "part").drop("p")
 
 
 # ---------------------------------------------------------------------- values
