@@ -23,10 +23,14 @@ from cohortmill.plans.registry import query
 PAIR = ["patient_id", "trial_id"]
 
 
+def trial_side(spark, sf):
+    v = lambda n: V.table(spark, sf, n)
+    return dict(trials=v("trials"), runs=v("pipeline_runs"), criteria=V.criteria(spark, sf))
+
+
 def inputs(spark, sf):
     v = lambda n: V.table(spark, sf, n)
-    return dict(requests=v("requests"), patients=v("patients"), trials=v("trials"), runs=v("pipeline_runs"),
-                criteria=V.criteria(spark, sf), facts=V.facts(spark, sf), as_of=V.AS_OF)
+    return dict(requests=v("requests"), patients=v("patients"), **trial_side(spark, sf), facts=V.facts(spark, sf), as_of=V.AS_OF)
 
 
 def rules_of(i):
@@ -78,12 +82,12 @@ for _name, _cat in (("m2_structured_age", "age"), ("m3_structured_sex", "sex"),
 
 @query("m5_applicable_rules", osql("trials pipeline_runs criteria", S.RULES, "SELECT trial_id, criterion_id, source_type, type, category FROM rules"))
 def _(spark, sf):
-    return rules_of(inputs(spark, sf)).select("trial_id", "criterion_id", "source_type", "type", "category")
+    return rules_of(trial_side(spark, sf)).select("trial_id", "criterion_id", "source_type", "type", "category")
 
 
 @query("m6_criterion_state", osql("trials pipeline_runs criteria", S.RULES, "SELECT criterion_id, state, state_reason FROM rules WHERE criterion_id IS NOT NULL"))
 def _(spark, sf):
-    return rules_of(inputs(spark, sf)).where(F.col("criterion_id").isNotNull()).select("criterion_id", "state", "state_reason")
+    return rules_of(trial_side(spark, sf)).where(F.col("criterion_id").isNotNull()).select("criterion_id", "state", "state_reason")
 
 
 @query("m7_review_gate", eval_sql("gate IS NOT NULL", "patient_id, trial_id, criterion_id, gate, outcome"))
