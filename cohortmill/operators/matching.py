@@ -631,11 +631,14 @@ def group_explanation(kind: Column, outcome: Column, part: int) -> Column:
 
 
 def collapse_groups(evaluations: DataFrame, rules: DataFrame) -> DataFrame:
-    """Effective rows: ungrouped evaluations as they are, one row per OR group."""
+    """Effective rows: ungrouped evaluations as they are, one row per OR group.
+
+    Both branches need the patient, whatever is asked for afterwards, so they read one shuffle of the requests.
+    """
     single = barrier(evaluations.where(F.col("group_id").isNull()).select(
         *[c for c in EVALUATION if c != "group_id"], F.lit(None).cast("string").alias("group_id"),
         F.col("category").alias("display_category"), F.lit(1).cast("long").alias("members"),
-    ), "patient_id", "trial_id")
+    ), "trial_id")
     grouped = with_group(
         evaluations.where(F.col("group_id").isNotNull())
         .groupBy("patient_id", "trial_id", "group_id").agg(*_group_aggregates()), group_texts(rules), "inner")

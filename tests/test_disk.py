@@ -1,5 +1,13 @@
 """Queries store and shuffle what they need, once."""
 
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from cohortmill.functions import scale as S
+from cohortmill.operators import match_runs as R
+from cohortmill.operators import matching as M
 from cohortmill.plans import matching_queries as Q
 from cohortmill.plans import views as V
 from cohortmill.plans.registry import QUERIES
@@ -33,3 +41,18 @@ def test_lines_are_dealt_before_they_are_sorted(spark, tmp_path):
     want = spark.sql(f"WITH {V.ctes('lines')} SELECT * FROM lines")
     assert sorted(map(str, lines.collect())) == sorted(map(str, want.collect())) and want.count() == 3
     V.register(spark, SF)
+
+
+@pytest.fixture(scope="module")
+def some(spark):
+    i = Q.inputs(spark, SF)
+    i["requests"] = S.stage(i["requests"].where("patient_id <= 20"))
+    return i, S.stage(Q.rules_of(i))
+
+
+def test_branches_of_effective_rows_read_one_shuffle_of_requests(spark, some):
+    i, rules = some
+    eff = M.collapse_groups(M.evaluate(**i, rules=rules), rules)
+    plan = _plan(eff.groupBy("category", "outcome", "missing").count())  # asks for no patient
+    dealt = [re.sub(r"#\d+L?", "", x) for x in re.findall(r"Exchange hashpartitioning\(trial_id#[^\n]*\n[^\n]*Project (\[[^\n]*_bits[^\n]*\])", plan)]
+    assert len(dealt) == 2 and len(set(dealt)) == 1 and "patient_id" in dealt[0]
