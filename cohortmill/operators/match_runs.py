@@ -53,7 +53,8 @@ class MatchStore:
               at: datetime.datetime | None = None) -> None:
         """Store the evaluations of a batch of requests with results, gap reports, review items and one run per requested patient.
 
-        The evaluations are written first and read back: nothing is recomputed and a lost executor costs only its own tasks. A patient whose
+        The evaluations are written first and read back: none is made again and a lost executor costs only its own tasks. Effective rows are
+        dealt by pair, where entries, reports and results meet without another shuffle; entries are not stored beside the reports. A patient whose
         requests meet no rule gets a run with zero totals. Run ids are batch and patient, so the same batch gives the same ids.
         """
         at, attempt = at or datetime.datetime.now(), f"a{uuid.uuid4().hex}"
@@ -64,7 +65,7 @@ class MatchStore:
             "logic_group_id", F.col("group_id")).withColumn("logic_operator", F.when(F.col("group_id").isNotNull(), "OR"))
         stored = put(tagged, "match_result_criteria")
         effective = stage(collapse_groups(stored, rules))
-        entries = stage(gap_entries(effective))
+        entries = gap_entries(effective.repartition(*PAIR))
         report = gap_payload(entries)
         lists = [F.coalesce(F.col(b), F.array().cast(report.schema[b].dataType)).alias(b) for b in BUCKETS]
         named = summaries(pair_results(stored, rules), effective, trials)

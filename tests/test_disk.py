@@ -56,3 +56,14 @@ def test_branches_of_effective_rows_read_one_shuffle_of_requests(spark, some):
     plan = _plan(eff.groupBy("category", "outcome", "missing").count())  # asks for no patient
     dealt = [re.sub(r"#\d+L?", "", x) for x in re.findall(r"Exchange hashpartitioning\(trial_id#[^\n]*\n[^\n]*Project (\[[^\n]*_bits[^\n]*\])", plan)]
     assert len(dealt) == 2 and len(set(dealt)) == 1 and "patient_id" in dealt[0]
+
+
+def test_entries_are_not_stored_beside_reports(spark, some, tmp_path, monkeypatch):
+    i, rules = some
+    stored = []
+    monkeypatch.setattr(R, "stage", lambda df: stored.append(df.columns) or S.stage(df))
+    store = R.MatchStore(spark, str(tmp_path))
+    store.write("a", i["requests"], S.stage(M.evaluate(**i, rules=rules)), rules, i["trials"])
+    assert len(stored) == 1 and "ordinal" not in stored[0]
+    n = sum(sum(len(r.report[b]) for b in R.BUCKETS if b != "hard_blockers") for r in store.read("match_results").collect())
+    assert n == store.read("match_review_items").count() > 0
