@@ -58,6 +58,20 @@ def test_branches_of_effective_rows_read_one_shuffle_of_requests(spark, some):
     assert len(dealt) == 2 and len(set(dealt)) == 1 and "patient_id" in dealt[0]
 
 
+def test_facts_of_other_kinds_are_left_out(spark, some):
+    i, rules = some
+    facts = M.with_columns(i["facts"], M.FACT_COLUMNS)
+    key = lambda r: tuple(map(str, r))
+    whole = M.fact_results(i["requests"], rules, facts).collect()
+    for cats in (["prior_therapy", "line_of_therapy"], ["lab_value"], ["sex"]):
+        few = S.stage(rules.where(F.col("category").isin(cats)))
+        ids = {r[0] for r in few.select("criterion_id").collect()}
+        found = M.fact_results(i["requests"], few, facts)
+        assert sorted(found.collect(), key=key) == sorted((r for r in whole if r.criterion_id in ids), key=key)
+        if cats != ["lab_value"]:
+            assert "Window" not in _plan(found)  # no sweep over lab values
+
+
 def test_entries_are_not_stored_beside_reports(spark, some, tmp_path, monkeypatch):
     i, rules = some
     stored = []
