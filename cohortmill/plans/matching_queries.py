@@ -522,7 +522,6 @@ _TX = """tx AS (SELECT patient_id, trial_id, CASE bucket WHEN 'hard_blockers' TH
        FROM st LEFT JOIN tx USING (patient_id, trial_id) GROUP BY ALL"""))
 def _(spark, sf):
     base, scen, rules = scenario(spark, sf)
-    base, scen = stage(base), stage(scen)
     d = D.result_deltas(M.pair_results(base, rules), M.pair_results(scen, rules),
                         G.gap_entries(M.collapse_groups(base, rules)), G.gap_entries(M.collapse_groups(scen, rules)))
     return d.select(*PAIR, "baseline_status", "scenario_status", "status_changed", "blockers_removed", "blockers_added",
