@@ -71,7 +71,10 @@ class MatchStore:
         named = summaries(pair_results(effective, rules), effective, trials)
         results = put(named.join(report, PAIR, "left").select(
             run.alias("match_run_id"), result.alias("match_result_id"), *named.columns, F.struct(*lists).alias("report"), F.lit(at).alias("created_at")), "match_results")
-        put(review_items(report_entries(results)).withColumn("match_run_id", run).withColumn("match_result_id", result), "match_review_items")
+        # A trial that is listed twice has every result of its pairs twice, with one report.
+        listed_twice = trials.groupBy("trial_id").count().where("count > 1").limit(1).count() > 0
+        reports = results.dropDuplicates(PAIR) if listed_twice else results
+        put(review_items(report_entries(reports)).withColumn("match_run_id", run).withColumn("match_result_id", result), "match_review_items")
         asked = requests.select("patient_id").distinct().join(run_rollup(results), "patient_id", "left").fillna(0)
         put(asked.select(run.alias("match_run_id"), "*", F.lit("completed").alias("status"), F.lit(at).alias("created_at"), F.lit(at).alias("completed_at")), "match_runs")
         self.commit(batch, attempt, at)

@@ -28,13 +28,16 @@ def test_results_of_effective_rows(made):
     assert _rows(M.pair_results(M.collapse_groups(ev, rules), rules)) == _rows(M.pair_results(ev, rules))
 
 
-def test_review_items_come_from_the_stored_reports(spark, made, tmp_path, monkeypatch):
+@pytest.mark.parametrize("listed", [1, 2])
+def test_review_items_come_from_the_stored_reports(spark, made, tmp_path, monkeypatch, listed):
     i, rules, ev = made
+    trials = i["trials"].withColumn("brief_title", F.explode(F.array(*[F.lit(f"t{n}") for n in range(listed)])))
     entries = G.gap_entries(M.collapse_groups(ev, rules))
     seen = []
     monkeypatch.setattr(R, "review_items", lambda e: seen.append(e) or G.review_items(e))
     store = R.MatchStore(spark, str(tmp_path))
-    store.write("a", i["requests"], ev, rules, i["trials"].withColumn("brief_title", F.lit("t")))
+    store.write("a", i["requests"], ev, rules, trials)
     assert "Window" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
     want = G.review_items(entries)
+    assert store.read("match_results").count() == listed * ev.select("patient_id", "trial_id").distinct().count()
     assert _rows(store.read("match_review_items").select(*want.columns)) == _rows(want) and want.count() > 100
